@@ -210,3 +210,9 @@ def bgp(
     if not keep_consts:
         hidden += [c for c in acc.columns if c.startswith("_k_")]
     return acc.drop(*hidden)
+
+
+def substitute(patterns: Sequence[Pattern], equal: dict[str, str]) -> list[Pattern]:
+    """``FILTER(?a = ?b)`` as substitution: rename ``?a`` to ``?b`` in every pattern,
+    so the equality becomes a join key instead of a filter over a product."""
+    return [tuple(equal.get(t, t) if isinstance(t, str) else t for t in pat) for pat in patterns]

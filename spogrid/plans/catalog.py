@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spogrid.plans import explore
+from spogrid.plans import bi, explore
 from spogrid.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,15 @@ def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     for i in range(1, 13):
         q[f"explore{i}"] = on_triples(getattr(explore, f"explore{i}"))
+    for i in range(1, 9):
+        q[f"bi{i}"] = on_triples(getattr(bi, f"bi{i}"))
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from spogrid.plans import explore_sql
+    from spogrid.plans import bi_sql, explore_sql
 
     sql: dict[str, str] = {}
     sql.update(explore_sql.SQL)
+    sql.update(bi_sql.SQL)
     return sql

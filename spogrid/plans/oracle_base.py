@@ -185,6 +185,10 @@ COMMON = ENTITY_CTES.strip() + ",\n" + TRIPLES_CTE
 
 
 def with_common(query: str, ctes: str = "") -> str:
-    """``WITH <entities>, triples, <ctes> <query>``."""
+    """``WITH <entities>, triples, <ctes> <query>``; a query that starts with its
+    own ``WITH`` has its CTEs appended to the common list."""
     extra = (",\n" + ctes.strip()) if ctes.strip() else ""
-    return f"WITH {COMMON}{extra}\n{query.strip()}"
+    q = query.strip()
+    if q[:5].upper() == "WITH ":
+        return f"WITH {COMMON}{extra},\n{q[5:]}"
+    return f"WITH {COMMON}{extra}\n{q}"
