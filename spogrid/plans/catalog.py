@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spogrid.plans import bi, explore
+from spogrid.plans import bi, explore, storage
 from spogrid.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,13 +36,22 @@ def queries() -> dict[str, Query]:
         q[f"explore{i}"] = on_triples(getattr(explore, f"explore{i}"))
     for i in range(1, 9):
         q[f"bi{i}"] = on_triples(getattr(bi, f"bi{i}"))
+    for k in STORAGE_KEYS:
+        q[k] = on_triples(getattr(storage, k))
     return q
 
 
+STORAGE_KEYS = (
+    "tt_count predicates vp_sizes related_predicates extvp_ss extvp_os extvp_so extvp_stats extvp_bounded "
+    "extvp_summary extvp_storage extvp_rows choose_tables empty_relation bgp_extvp"
+).split()
+
+
 def oracle_sql() -> dict[str, str]:
-    from spogrid.plans import bi_sql, explore_sql
+    from spogrid.plans import bi_sql, explore_sql, storage_sql
 
     sql: dict[str, str] = {}
     sql.update(explore_sql.SQL)
     sql.update(bi_sql.SQL)
+    sql.update(storage_sql.SQL)
     return sql
