@@ -53,6 +53,6 @@ def window_index(ts: Column, start: str, days: int) -> Column:
 
 
 def word_count(df: DataFrame, text: str, word: str = "word", count: str = "n") -> DataFrame:
-    """Frequency of each lower-cased word (split on non-letters) over a text column."""
-    words = df.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias(word))
+    """Frequency of each lower-cased word (split on anything but letters and digits)."""
+    words = df.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias(word))
     return words.where(F.col(word) != "").groupBy(word).agg(F.count(F.lit(1)).alias(count))

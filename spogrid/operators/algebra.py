@@ -151,3 +151,20 @@ def project(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def visible(df: DataFrame) -> DataFrame:
     """Drop auxiliary term columns."""
     return df.select(*variables(df))
+
+
+def interval_lookup(ids: DataFrame, bounds: DataFrame, order: str, size: str, id_col: str = "id") -> DataFrame:
+    """Owner of each id: the first owner (in ``order``) whose cumulative upper bound
+    (running sum of ``size``) is >= id; ids past the last bound get NULL.
+
+    ``bounds`` has one row per owner.  The running sum is a window over that
+    owner table; the lookup is a range join ``lo < id <= hi`` whose build side
+    is the owner table.
+    """
+    from pyspark.sql import Window
+
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = bounds.select(F.col(order).alias("owner"), F.sum(size).over(w).alias("hi"))
+    b = b.withColumn("lo", F.lag("hi").over(Window.orderBy("owner")))
+    cond = (F.col("lo").isNull() | (F.col(id_col) > F.col("lo"))) & (F.col(id_col) <= F.col("hi"))
+    return ids.join(b, cond, "left").select(id_col, "owner")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spogrid.plans import bi, explore, storage
+from spogrid.plans import bi, explore, storage, units
 from spogrid.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +38,25 @@ def queries() -> dict[str, Query]:
         q[f"bi{i}"] = on_triples(getattr(bi, f"bi{i}"))
     for k in STORAGE_KEYS:
         q[k] = on_triples(getattr(storage, k))
+    for k in UNIT_KEYS:
+        q[k] = on_triples(getattr(units, {"describe": "describe_q", "construct": "construct_q"}.get(k, k)))
+    q["interval_lookup"] = on_tables(units.interval_lookup)
     return q
 
 
+UNIT_KEYS = (
+    "tp_predicate tp_subject tp_object tp_var_predicate tp_blank tp_repeat_var project "
+    "filter_compare filter_logic filter_bound filter_regex filter_like filter_var_eq param_query "
+    "bgp_star bgp_chain bgp_snowflake group_join join_unbound sequence_join optional optional_filter "
+    "optional_nested optional_disjoint semi_join anti_join anti_optional band_join theta_join self_join "
+    "right_join scalar_subquery "
+    "agg_count agg_avg agg_minmax agg_having agg_nested agg_ratio argmax_group agg_union below_group_avg "
+    "distinct word_count union_pad union_distinct result_diff order_by order_expr limit offset_limit topk_sub "
+    "path_seq path_alt path_inv path_mix type_closure type_levels type_features describe construct "
+    "lang_matches fn_str fn_cast iri_prefix iri_clean fn_arith"
+).split()
+
+
 STORAGE_KEYS = (
     "tt_count predicates vp_sizes related_predicates extvp_ss extvp_os extvp_so extvp_stats extvp_bounded "
     "extvp_summary extvp_storage extvp_rows choose_tables empty_relation bgp_extvp"
@@ -54,4 +70,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(explore_sql.SQL)
     sql.update(bi_sql.SQL)
     sql.update(storage_sql.SQL)
+    from spogrid.plans import units_sql
+
+    sql.update(units_sql.SQL)
     return sql

@@ -189,6 +189,8 @@ def with_common(query: str, ctes: str = "") -> str:
     own ``WITH`` has its CTEs appended to the common list."""
     extra = (",\n" + ctes.strip()) if ctes.strip() else ""
     q = query.strip()
+    if q[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {COMMON}{extra},\n{q[15:]}"
     if q[:5].upper() == "WITH ":
         return f"WITH {COMMON}{extra},\n{q[5:]}"
     return f"WITH {COMMON}{extra}\n{q}"
