@@ -136,14 +136,18 @@ def parse_term(text: Column) -> Column:
     t = F.trim(text)
     is_iri = t.startswith("<")
     is_bnode = t.startswith("_:")
-    # literal body: from the first quote to the last unescaped quote
-    lit_re = r'^"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?$'
+    # literal body: from the first quote to the last quote before the suffix.  An
+    # escaped body holds no bare quote, so a greedy ``.*`` finds the closing one;
+    # it also matches without recursion (an alternation per character would
+    # overflow the regex engine's stack on long texts).
+    lit_re = r'(?s)^"(.*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?$'
     body = F.regexp_extract(t, lit_re, 1)
     dt_iri = F.regexp_extract(t, lit_re, 2)
     lang_tag = F.regexp_extract(t, lit_re, 3)
+    # escaped backslashes are protected first, so "\\\\n" stays backslash + n
     unescaped = reduce(
         lambda c, kv: F.regexp_replace(c, kv[0], kv[1]),
-        [(r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), (r"\\\\", "\\\\")],
+        [(r"\\\\", "\u0000"), (r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), ("\u0000", r"\\")],
         body,
     )
     value = F.when(is_iri, F.regexp_extract(t, r"^<(.*)>$", 1)).when(is_bnode, t).otherwise(unescaped)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spogrid.plans import bi, explore, storage, units
+from spogrid.plans import bi, explore, graph_io, runlog, storage, units
 from spogrid.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,17 @@ def queries() -> dict[str, Query]:
     for k in UNIT_KEYS:
         q[k] = on_triples(getattr(units, {"describe": "describe_q", "construct": "construct_q"}.get(k, k)))
     q["interval_lookup"] = on_tables(units.interval_lookup)
+    for k in ("triplify", "ntriples_parse", "tsv_read", "literal_parse", "typed_objects", "ntriples_format",
+              "property_table"):
+        q[k] = on_triples(getattr(graph_io, k))
+    q["insert_data"] = on_triples(graph_io.insert_data_q)
+    q["delete_where"] = on_triples(graph_io.delete_where_q)
+    q["quads_provenance"] = on_tables(graph_io.quads_provenance)
+    q["insert_graph"] = on_tables(graph_io.insert_graph_q)
+    q["delete_graph"] = on_tables(graph_io.delete_graph_q)
+    for k in ("run_metrics", "mix_metrics", "merge_metrics", "steady_state", "metrics_pivot", "window_28d",
+              "mix_lookup"):
+        q[k] = on_tables(getattr(runlog, k))
     return q
 
 
@@ -73,4 +84,7 @@ def oracle_sql() -> dict[str, str]:
     from spogrid.plans import units_sql
 
     sql.update(units_sql.SQL)
+    from spogrid.plans import graph_io_sql
+
+    sql.update(graph_io_sql.SQL)
     return sql

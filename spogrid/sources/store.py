@@ -123,3 +123,10 @@ def register(spark: SparkSession, triples, name: str = "triples") -> None:
     store.all.createOrReplaceTempView(name)
     for p in store.predicates():
         store.vp(p).createOrReplaceTempView(f"{name}_vp_" + "".join(ch if ch.isalnum() else "_" for ch in p))
+
+
+def select_preds(triples, preds) -> DataFrame:
+    """Triples of the given predicates only (per-predicate partitions when available)."""
+    if isinstance(triples, TripleStore):
+        return reduce(DataFrame.union, [triples.vp(p) for p in preds])
+    return triples.where(F.col("pred").isin(list(preds)))
