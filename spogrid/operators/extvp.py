@@ -80,10 +80,8 @@ def reduction_stats(triples, rows: DataFrame | None = None) -> DataFrame:
     rows = rows if rows is not None else reduction_rows(triples)
     counts = rows.groupBy("rel", "p1", "p2").agg(F.count(F.lit(1)).alias("size"))
     vp = vp_sizes(triples)
-    total = vp.agg(F.sum("size").alias("total"))  # one row
-    vp = vp.crossJoin(F.broadcast(total)).select(
-        F.col("pred").alias("p1"), F.col("size").alias("vp_size"), (F.col("size") / F.col("total")).alias("vp_ratio")
-    )
+    total = vp.agg(F.sum("size")).scalar()  # scalar subquery
+    vp = vp.select(F.col("pred").alias("p1"), F.col("size").alias("vp_size"), (F.col("size") / total).alias("vp_ratio"))
     out = counts.join(vp, "p1")
     return out.select("rel", "p1", "p2", "size", "vp_size", ratio2(F.col("size"), F.col("vp_size")).alias("ratio"), "vp_ratio")
 
@@ -104,14 +102,14 @@ def reduction_summary(stats: DataFrame, triples, bound: float) -> DataFrame:
     The number of possible tables is n*(n-1) for SS and n*n for OS / SO
     (n = number of predicates).
     """
-    n = predicates(triples).agg(F.count(F.lit(1)).alias("n"))  # one row
+    n = predicates(triples).agg(F.count(F.lit(1))).scalar()
     b = bounded(stats, bound)
     per = b.groupBy("rel").agg(
         F.count(F.when(F.col("stored"), 1)).alias("saved"),
         F.count(F.when(~F.col("stored"), 1)).alias("unsaved_nonempty"),
         F.count(F.lit(1)).alias("nonempty"),
     )
-    rels = per.crossJoin(F.broadcast(n))
+    rels = per.withColumn("n", n)
     possible = F.when(F.col("rel") == "SS", F.col("n") * (F.col("n") - 1)).otherwise(F.col("n") * F.col("n"))
     return rels.select("rel", "saved", "unsaved_nonempty", (possible - F.col("nonempty")).alias("empty"))
 

@@ -81,12 +81,13 @@ def bi4(tr, ptype="type/PROMO") -> DataFrame:
     so there is no product x feature cross product with a NOT EXISTS.
     """
     offers = _type_offers(tr, ptype)
-    total = offers.agg(F.sum("cents").alias("ts"), F.count(F.lit(1)).alias("tc"))  # one row
+    total = offers.agg(F.struct(F.sum("cents").alias("ts"), F.count(F.lit(1)).alias("tc"))).scalar()
     feats = bgp(tr, [("?product", "shop:productFeature", "?feature")])
     with_f = (
         join(offers, feats).groupBy("feature").agg(F.sum("cents").alias("sw"), F.count(F.lit(1)).alias("cw"))
     )
-    sol = with_f.crossJoin(F.broadcast(total)).where(F.col("tc") - F.col("cw") > 0)
+    sol = with_f.select("*", total.getField("ts").alias("ts"), total.getField("tc").alias("tc"))
+    sol = sol.where(F.col("tc") - F.col("cw") > 0)
     ratio = exact_avg(F.col("sw"), F.col("cw")) / exact_avg(F.col("ts") - F.col("sw"), F.col("tc") - F.col("cw"))
     return slice_(sol.select("feature", ratio.alias("priceRatio")), order=[F.desc("priceRatio"), "feature"], limit=10)
 
@@ -129,13 +130,13 @@ def _scores(tr, producer: str, with_reviewer: bool) -> DataFrame:
 
 def bi6(tr, producer="producer/3") -> DataFrame:
     """Reviewers whose average rating of a producer's products is 1.5 x the producer average."""
-    overall = _scores(tr, producer, False).agg(exact_avg(F.sum(num("score")), F.count(num("score"))).alias("avgScore"))
+    overall = _scores(tr, producer, False).agg(exact_avg(F.sum(num("score")), F.count(num("score")))).scalar()
     per = (
         _scores(tr, producer, True)
         .groupBy("reviewer")
         .agg(exact_avg(F.sum(num("score")), F.count(num("score"))).alias("reviewerAvgScore"))
     )
-    sol = per.crossJoin(F.broadcast(overall)).where(F.col("reviewerAvgScore") > F.col("avgScore") * 1.5)
+    sol = per.where(F.col("reviewerAvgScore") > overall * 1.5)
     return sol.select("reviewer", "reviewerAvgScore")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spogrid.plans import bi, explore, graph_io, runlog, storage, units
+from spogrid.plans import bi, explore, graph_io, relational, runlog, storage, units
 from spogrid.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,8 @@ def queries() -> dict[str, Query]:
     for k in ("run_metrics", "mix_metrics", "merge_metrics", "steady_state", "metrics_pivot", "window_28d",
               "mix_lookup"):
         q[k] = on_tables(getattr(runlog, k))
+    for i in range(1, 13):
+        q[f"rel{i}"] = on_tables(getattr(relational, f"rel{i}"))
     return q
 
 
@@ -87,4 +89,7 @@ def oracle_sql() -> dict[str, str]:
     from spogrid.plans import graph_io_sql
 
     sql.update(graph_io_sql.SQL)
+    from spogrid.plans import relational_sql
+
+    sql.update(relational_sql.SQL)
     return sql

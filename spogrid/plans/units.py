@@ -260,8 +260,9 @@ def right_join(tr):
 
 def scalar_subquery(tr):
     offers = bgp(tr, [("?offer", "shop:price", "?price")]).withColumn("cents", A.cents(F.col("price")))
-    avg = offers.agg(F.sum("cents").alias("s"), F.count(F.lit(1)).alias("c"))  # one row
-    sol = offers.crossJoin(F.broadcast(avg)).where(F.col("cents") * F.col("c") > F.col("s"))
+    # the global total is a scalar subquery: computed once, no join at all
+    g = offers.agg(F.struct(F.sum("cents").alias("s"), F.count(F.lit(1)).alias("c"))).scalar()
+    sol = offers.where(F.col("cents") * g.getField("c") > g.getField("s"))
     return sol.select("offer", "price")
 
 
