@@ -17,6 +17,7 @@ import hashlib
 import warnings
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +31,25 @@ def _is_variable(t) -> bool:
     return is_var(t) or is_blank(t)
 
 
-def _const_obj_cond(o) -> Column:
+def _const_obj_cond(o, obj=None, kind=None, lang=None, dt=None, num=None) -> Column:
+    """Match of a constant object against the object columns (or given expressions)."""
+    obj = F.col("obj") if obj is None else obj
+    kind = F.col("kind") if kind is None else kind
+    lang = F.col("lang") if lang is None else lang
+    dt = F.col("dt") if dt is None else dt
+    num = F.col("num") if num is None else num
     if isinstance(o, Lit):
-        cond = (F.col("obj") == o.lexical) & (F.col("kind") == "lit")
+        cond = (obj == o.lexical) & (kind == "lit")
         if o.lang is not None:
-            cond = cond & (F.lower(F.col("lang")) == o.lang.lower())
+            cond = cond & (F.lower(lang) == o.lang.lower())
         elif o.dt is not None and o.dt != "xsd:string":
-            cond = cond & (F.col("dt") == o.dt)
+            cond = cond & (dt == o.dt)
         return cond
     if isinstance(o, bool):
-        return (F.col("obj") == str(o).lower()) & (F.col("kind") == "lit")
+        return (obj == str(o).lower()) & (kind == "lit")
     if isinstance(o, (int, float)):
-        return (F.col("num") == float(o)) & (F.col("kind") == "lit")
-    return (F.col("obj") == o) & (F.col("kind") == "iri")
+        return (num == float(o)) & (kind == "lit")
+    return (obj == o) & (kind == "iri")
 
 
 def const_key(term: str) -> str:
@@ -54,16 +61,70 @@ def _is_iri_const(t) -> bool:
     return isinstance(t, str) and not _is_variable(t)
 
 
-def _scan(triples, pred) -> DataFrame:
+def _pattern_consts(pat):
+    s, p, o = pat
+    pred = None if _is_variable(p) else p
+    sub_const = s if _is_iri_const(s) else None
+    obj_iri = o if _is_iri_const(o) else None
+    obj_is_lit = not _is_variable(o) and not _is_iri_const(o)
+    return pred, sub_const, obj_iri, obj_is_lit
+
+
+def _allowed_for(pat, allowed):
+    if not allowed:
+        return None, None
+    s, _, o = pat
+    sa = allowed.get(var_name(s)) if _is_variable(s) else None
+    oa = allowed.get(var_name(o)) if _is_variable(o) else None
+    return sa, oa
+
+
+def _scan(triples, pat, allowed=None) -> DataFrame:
+    """Triples a pattern can match: for a store, only the branches whose
+    predicate and IRI prefixes fit, with constant IRIs pushed to key filters."""
     from spogrid.sources.store import TripleStore
 
     if isinstance(triples, TripleStore):
-        return triples.vp(pred) if pred is not None else triples.all
+        return triples.scan(*_pattern_consts(pat), *_allowed_for(pat, allowed))
     return triples
 
 
+def var_prefixes(store, patterns, skip=()) -> dict[str, set]:
+    """IRI prefixes each variable can take: in an inner join a variable's
+    values must fit every pattern binding it, so the keyed prefixes of the
+    candidate branches are intersected across patterns."""
+    from spogrid.sources.store import compatible
+
+    allowed: dict[str, set] = {}
+    for i, pat in enumerate(patterns):
+        if i in skip:
+            continue
+        cands = store.candidates(*_pattern_consts(pat))
+        for pos, t in (("sub", pat[0]), ("obj", pat[2])):
+            if not _is_variable(t):
+                continue
+            ps: set | None = set()
+            for b, _ in cands:
+                k = b.sub_key if pos == "sub" else b.obj_key
+                if k is None:
+                    ps = None
+                    break
+                ps.add(k.prefix)
+            if ps is None:
+                continue
+            name = var_name(t)
+            if name in allowed:
+                ps = {max(x, y, key=len) for x in allowed[name] for y in ps if compatible(x, y)}
+            allowed[name] = ps
+    return allowed
+
+
 def triple_pattern(
-    triples, pat: Pattern, source: DataFrame | None = None, keep: frozenset | set = frozenset()
+    triples,
+    pat: Pattern,
+    source: DataFrame | None = None,
+    keep: frozenset | set = frozenset(),
+    allowed: dict | None = None,
 ) -> DataFrame:
     """Solutions of one triple pattern.
 
@@ -72,7 +133,7 @@ def triple_pattern(
     in ``keep`` are carried as hidden key columns (:func:`const_key`).
     """
     s, p, o = pat
-    df = source if source is not None else _scan(triples, None if _is_variable(p) else p)
+    df = source if source is not None else _scan(triples, pat, allowed)
     if not _is_variable(p):
         df = df.where(F.col("pred") == p)
     if not _is_variable(s):
@@ -144,9 +205,13 @@ def join_order(
     """Connected greedy order: most constants first (then smallest table), then a
     pattern sharing a variable with those already joined, so no accidental cross
     product.  Ties keep the written order."""
-    n = len(patterns)
-    sizes = list(sizes) if sizes is not None else [0.0] * n
     consts = list(consts) if consts is not None else [_n_consts(p) for p in patterns]
+    return _order_units([_pattern_vars(p) for p in patterns], consts, sizes, bound)
+
+
+def _order_units(var_sets, consts, sizes=None, bound=None) -> list[int]:
+    n = len(var_sets)
+    sizes = list(sizes) if sizes is not None else [0.0] * n
     remaining = list(range(n))
 
     def key(i):
@@ -158,16 +223,69 @@ def join_order(
         first = min(remaining, key=key)
         order.append(first)
         remaining.remove(first)
-        bound = _pattern_vars(patterns[first])
+        bound = set(var_sets[first])
     while remaining:
-        connected = [i for i in remaining if _pattern_vars(patterns[i]) & bound]
+        connected = [i for i in remaining if var_sets[i] & bound]
         nxt = min(connected or remaining, key=key)
         order.append(nxt)
         remaining.remove(nxt)
-        bound |= _pattern_vars(patterns[nxt])
+        bound |= var_sets[nxt]
     return order
 
 
+def _star_groups(store, patterns, skip, allowed=None) -> list[list]:
+    """Patterns on one subject whose predicates each come from exactly one
+    functional branch of the same source: ``[(index, branch, conds), ...]``."""
+    groups: dict = {}
+    for i, pat in enumerate(patterns):
+        s, p, o = pat
+        if i in skip or _is_variable(p) or not isinstance(s, str):
+            continue
+        cands = store.candidates(*_pattern_consts(pat), *_allowed_for(pat, allowed))
+        if len(cands) != 1 or not cands[0][0].functional:
+            continue
+        b, conds = cands[0]
+        groups.setdefault((s, id(b.source)), []).append((i, b, conds))
+    return [g for g in groups.values() if len(g) >= 2]
+
+
+def _star_frame(patterns, group, keep) -> DataFrame:
+    """One scan of the shared source for a star of functional patterns."""
+    b0 = group[0][1]
+    subject = patterns[group[0][0]][0]
+    conds: list[Column] = []
+    sel: list[Column] = []
+    names: dict[str, Column] = {}
+    if _is_variable(subject):
+        names[var_name(subject)] = b0.sub
+        sel.append(b0.sub.alias(var_name(subject)))
+    else:
+        conds.append(b0.sub == subject)
+        if subject in keep:
+            names[const_key(subject)] = b0.sub
+            sel.append(b0.sub.alias(const_key(subject)))
+    for i, b, bconds in group:
+        o = patterns[i][2]
+        conds.extend(bconds)
+        conds.append(b.obj.isNotNull())
+        if _is_variable(o):
+            name = var_name(o)
+            if name in names:
+                conds.append(b.obj == names[name])
+                continue
+            names[name] = b.obj
+            sel.append(b.obj.alias(name))
+            for part, expr in (("kind", F.lit(b.kind)), ("dt", b.dt), ("lang", b.lang), ("num", b.num), ("ts", b.ts)):
+                sel.append(expr.alias(aux(name, part)))
+        else:
+            conds.append(_const_obj_cond(o, b.obj, F.lit(b.kind), b.lang, b.dt, b.num))
+            if _is_iri_const(o) and o in keep and const_key(o) not in names:
+                names[const_key(o)] = b.obj
+                sel.append(b.obj.alias(const_key(o)))
+    src = b0.source.where(reduce(lambda x, y: x & y, conds))
+    return src.select(*sel) if sel else src.select(F.lit(1).alias("__ask")).distinct()
+
+
 def bgp(
     triples,
     patterns: Sequence[Pattern],
@@ -199,12 +317,34 @@ def bgp(
     uses = Counter(t for pat in patterns for t in {pat[0], pat[2]} if _is_iri_const(t))
     keep = {t for t, n in uses.items() if n >= 2 or keep_consts}
     keyed = [tuple(t if not (_is_iri_const(t) and t in keep) else ("?" + const_key(t)) for t in pat) for pat in patterns]
-    order = join_order(
-        keyed, sizes, [_n_consts(p) for p in patterns], set(variables(seed)) if seed is not None else None
-    )
+    sizes = list(sizes) if sizes is not None else [0.0] * len(patterns)
+
+    # units: merged stars over one keyed source, and single patterns
+    units: list[tuple[set, int, float, object]] = []
+    merged: set[int] = set()
+    from spogrid.sources.store import TripleStore
+
+    allowed = None
+    if isinstance(triples, TripleStore) and triples.virtual:
+        allowed = var_prefixes(triples, patterns, set(tables))
+        for g in _star_groups(triples, patterns, set(tables), allowed):
+            idx = [i for i, _, _ in g]
+            merged.update(idx)
+            vs = set().union(*[_pattern_vars(keyed[i]) for i in idx])
+            units.append((vs, sum(_n_consts(patterns[i]) for i in idx), min(sizes[i] for i in idx),
+                          lambda g=g: _star_frame(patterns, g, keep)))
+    for i, pat in enumerate(patterns):
+        if i not in merged:
+            units.append((_pattern_vars(keyed[i]), _n_consts(pat), sizes[i],
+                          lambda i=i: triple_pattern(triples, patterns[i], tables.get(i), keep, allowed)))
+
+    order = _order_units(
+        [u[0] for u in units], [u[1] for u in units], [u[2] for u in units],
+        set(variables(seed)) if seed is not None else None,
+    )
     acc = seed
-    for i in order:
-        sol = triple_pattern(triples, patterns[i], tables.get(i), keep)
+    for k in order:
+        sol = units[k][3]()
         acc = sol if acc is None else natural_join(acc, sol)
     hidden = [c for c in acc.columns if c.startswith("_b_") or c == "__ask"]
     if not keep_consts:

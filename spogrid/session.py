@@ -24,6 +24,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8) -> Spark
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.driver.memory", os.environ.get("SPOGRID_DRIVER_MEM", "16g"))
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)

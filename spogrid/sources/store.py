@@ -27,10 +27,11 @@ class TripleStore:
     def __init__(self, branches: OrderedDict | None = None, table: DataFrame | None = None):
         self._branches = branches
         self._table = table
+        self._key_types: dict[int, object] = {}
 
     @classmethod
     def from_branches(cls, parts: Iterable) -> TripleStore:
-        """From :class:`~spogrid.sources.triplify.Branch` items ``(source, pred, cols)``."""
+        """From :class:`~spogrid.sources.triplify.Branch` items."""
         b: OrderedDict[str, list] = OrderedDict()
         for part in parts:
             b.setdefault(part.pred, []).append(part)
@@ -40,6 +41,10 @@ class TripleStore:
     def from_table(cls, df: DataFrame) -> TripleStore:
         return cls(table=df.select(*TRIPLE_COLUMNS) if "graph" not in df.columns else df)
 
+    @property
+    def virtual(self) -> bool:
+        return self._branches is not None
+
     @property
     def spark(self) -> SparkSession:
         if self._table is not None:
@@ -52,15 +57,21 @@ class TripleStore:
             return list(self._branches)
         return [r[0] for r in self._table.select("pred").distinct().collect()]
 
+    @staticmethod
+    def _frame(b) -> DataFrame:
+        return b.source.select(*b.cols()).where(F.col("obj").isNotNull())
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], TRIPLE_SCHEMA)
+
     def vp(self, pred: str) -> DataFrame:
         """The triples of one predicate (all triple columns)."""
         if self._table is not None:
             return self._table.where(F.col("pred") == pred)
         parts = self._branches.get(pred)
         if not parts:
-            return self.spark.createDataFrame([], TRIPLE_SCHEMA)
-        frames = [p.source.select(*p.cols).where(F.col("obj").isNotNull()) for p in parts]
-        return reduce(DataFrame.union, frames)
+            return self._empty()
+        return reduce(DataFrame.union, [self._frame(p) for p in parts])
 
     @cached_property
     def all(self) -> DataFrame:
@@ -74,12 +85,96 @@ class TripleStore:
                 by_source.setdefault(id(p.source), []).append(p)
         frames = []
         for group in by_source.values():
-            structs = F.array(*[F.struct(*p.cols) for p in group])
+            structs = F.array(*[F.struct(*p.cols()) for p in group])
             frames.append(
                 group[0].source.select(F.explode(structs).alias("t")).select("t.*").where(F.col("obj").isNotNull())
             )
         return reduce(DataFrame.union, frames)
 
+    # ------------------------------------------------------------ pattern access
+    def _key_cond(self, b, keyed, const: str) -> F.Column | None:
+        """``key = <const without prefix>`` cast to the key's type (pushable to the
+        scan); None when the constant cannot come from this keyed IRI."""
+        if not const.startswith(keyed.prefix):
+            return None
+        k = id(keyed.key), id(b.source)
+        if k not in self._key_types:
+            self._key_types[k] = b.source.select(keyed.key).schema.fields[0].dataType
+        return keyed.key == F.lit(const[len(keyed.prefix) :]).try_cast(self._key_types[k])
+
+    def candidates(
+        self,
+        pred: str | None,
+        sub_const: str | None,
+        obj_iri: str | None,
+        obj_is_lit: bool,
+        sub_allowed: set | None = None,
+        obj_allowed: set | None = None,
+    ):
+        """Branches that can match a pattern, each with the pushable conditions.
+
+        A branch is skipped when a constant subject / IRI object cannot have
+        its prefix, when its constant object differs from the pattern's, or
+        when its keyed subject / object prefix is not among the prefixes the
+        variable can take elsewhere in the BGP (``*_allowed``).
+        """
+        parts = self._branches.get(pred, []) if pred is not None else [b for v in self._branches.values() for b in v]
+        out = []
+        for b in parts:
+            if sub_allowed is not None and b.sub_key is not None and not _fits(b.sub_key.prefix, sub_allowed):
+                continue
+            if obj_allowed is not None and b.obj_key is not None and not _fits(b.obj_key.prefix, obj_allowed):
+                continue
+            conds = []
+            if sub_const is not None and b.sub_key is not None:
+                c = self._key_cond(b, b.sub_key, sub_const)
+                if c is None:
+                    continue
+                conds.append(c)
+            if obj_is_lit and b.kind == "iri":
+                continue
+            if obj_iri is not None:
+                if b.kind != "iri":
+                    continue
+                if b.obj_const is not None and b.obj_const != obj_iri:
+                    continue
+                if b.obj_key is not None:
+                    c = self._key_cond(b, b.obj_key, obj_iri)
+                    if c is None:
+                        continue
+                    conds.append(c)
+            out.append((b, conds))
+        return out
+
+    def scan(
+        self,
+        pred: str | None,
+        sub_const: str | None = None,
+        obj_iri: str | None = None,
+        obj_is_lit: bool = False,
+        sub_allowed: set | None = None,
+        obj_allowed: set | None = None,
+    ):
+        """Triples that can match a pattern, from the pruned branches only."""
+        if self._table is not None:
+            return self._table if pred is None else self.vp(pred)
+        frames = []
+        for b, conds in self.candidates(pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed):
+            src = b.source.where(reduce(lambda x, y: x & y, conds)) if conds else b.source
+            frames.append(src.select(*b.cols()).where(F.col("obj").isNotNull()))
+        if not frames:
+            return self._empty()
+        return reduce(DataFrame.union, frames)
+
+
+def compatible(a: str, b: str) -> bool:
+    """Two IRI prefixes can describe the same IRI."""
+    return a.startswith(b) or b.startswith(a)
+
+
+def _fits(prefix: str, allowed: set) -> bool:
+    return any(compatible(prefix, a) for a in allowed)
+
 
 def as_store(triples) -> TripleStore:
     return triples if isinstance(triples, TripleStore) else TripleStore.from_table(triples)
