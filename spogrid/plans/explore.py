@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from spogrid.functions.terms import lang, lang_matches, num, ts
 from spogrid.operators.algebra import optional, slice_, union
 from spogrid.operators.patterns import bgp
-from spogrid.operators.updates import construct, describe
-from spogrid.sources.store import as_frame
+from spogrid.operators.updates import construct, describe_where
 
 PRODUCT = "product/10"
 
@@ -215,8 +214,7 @@ def first_of(tr: DataFrame, var: str, pred: str, product: str = PRODUCT) -> Data
 def explore9(tr: DataFrame, review: DataFrame | None = None) -> DataFrame:
     """DESCRIBE the reviewer of a review: all triples about that person."""
     review = review if review is not None else first_of(tr, "review", "shop:reviewFor")
-    x = bgp(tr, [("?review", "rev:reviewer", "?x")], seed=review)
-    return describe(as_frame(tr), x.select("x")).select("sub", "pred", "obj")
+    return describe_where(tr, [("?review", "rev:reviewer", "?x")], "?x", seed=review)
 
 
 def explore10(tr: DataFrame, country="nation/15", max_days=3, date="1998-01-01") -> DataFrame:
@@ -239,8 +237,11 @@ def explore10(tr: DataFrame, country="nation/15", max_days=3, date="1998-01-01")
 def explore11(tr: DataFrame, offer: DataFrame | None = None) -> DataFrame:
     """Everything about an offer, in both directions (variable predicate, UNION)."""
     o = offer if offer is not None else first_of(tr, "offer", "shop:product")
-    out_ = bgp(tr, [("?offer", "?property", "?hasValue")], seed=o)
-    in_ = bgp(tr, [("?isValueOf", "?property", "?offer")], seed=o)
+    # the defining pattern is implied by the seed; it tells the store that ?offer
+    # is an offer IRI, so only offer-shaped branches are scanned
+    known = ("?offer", "shop:product", "?__product")
+    out_ = bgp(tr, [known, ("?offer", "?property", "?hasValue")], seed=o)
+    in_ = bgp(tr, [known, ("?isValueOf", "?property", "?offer")], seed=o)
     return union(out_.select("property", "hasValue"), in_.select("property", "isValueOf"))
 
 

@@ -28,6 +28,7 @@ class TripleStore:
         self._branches = branches
         self._table = table
         self._key_types: dict[int, object] = {}
+        self._scans: dict = {}
 
     @classmethod
     def from_branches(cls, parts: Iterable) -> TripleStore:
@@ -123,8 +124,15 @@ class TripleStore:
         for b in parts:
             if sub_allowed is not None and b.sub_key is not None and not _fits(b.sub_key.prefix, sub_allowed):
                 continue
-            if obj_allowed is not None and b.obj_key is not None and not _fits(b.obj_key.prefix, obj_allowed):
-                continue
+            if obj_allowed is not None:
+                # the object variable is bound to IRIs with known prefixes elsewhere:
+                # literals and other-prefixed IRIs cannot be equal terms
+                if b.kind == "lit":
+                    continue
+                if b.obj_key is not None and not _fits(b.obj_key.prefix, obj_allowed):
+                    continue
+                if b.obj_const is not None and not _fits(b.obj_const, obj_allowed):
+                    continue
             conds = []
             if sub_const is not None and b.sub_key is not None:
                 c = self._key_cond(b, b.sub_key, sub_const)
@@ -155,18 +163,38 @@ class TripleStore:
         sub_allowed: set | None = None,
         obj_allowed: set | None = None,
     ):
-        """Triples that can match a pattern, from the pruned branches only."""
+        """Triples that can match a pattern, from the pruned branches only.
+
+        The DataFrame is cached per signature, so a plan is analyzed once."""
         if self._table is not None:
             return self._table if pred is None else self.vp(pred)
-        frames = []
+        sig = (pred, sub_const, obj_iri, obj_is_lit, _frozen(sub_allowed), _frozen(obj_allowed))
+        if sig not in self._scans:
+            self._scans[sig] = self._scan(pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed)
+        return self._scans[sig]
+
+    def _scan(self, pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed) -> DataFrame:
+        # branches over the same source with the same key filters share one scan
+        groups: OrderedDict = OrderedDict()
         for b, conds in self.candidates(pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed):
-            src = b.source.where(reduce(lambda x, y: x & y, conds)) if conds else b.source
-            frames.append(src.select(*b.cols()).where(F.col("obj").isNotNull()))
+            groups.setdefault((id(b.source), tuple(str(c) for c in conds)), (conds, []))[1].append(b)
+        frames = []
+        for conds, bs in groups.values():
+            src = bs[0].source.where(reduce(lambda x, y: x & y, conds)) if conds else bs[0].source
+            if len(bs) == 1:
+                out = src.select(*bs[0].cols())
+            else:
+                out = src.select(F.explode(F.array(*[F.struct(*b.cols()) for b in bs])).alias("t")).select("t.*")
+            frames.append(out.where(F.col("obj").isNotNull()))
         if not frames:
             return self._empty()
         return reduce(DataFrame.union, frames)
 
 
+def _frozen(x):
+    return None if x is None else frozenset(x)
+
+
 def compatible(a: str, b: str) -> bool:
     """Two IRI prefixes can describe the same IRI."""
     return a.startswith(b) or b.startswith(a)
