@@ -54,6 +54,9 @@ def queries() -> dict[str, Query]:
         q[k] = on_tables(getattr(runlog, k))
     for i in range(1, 13):
         q[f"rel{i}"] = on_tables(getattr(relational, f"rel{i}"))
+    from spogrid.plans import stream_q
+
+    q["stream_updates"] = on_tables(stream_q.stream_updates)
     return q
 
 

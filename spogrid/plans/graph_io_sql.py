@@ -82,6 +82,20 @@ WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.graph = q.graph AND g.sub = q.sub
 GROUP BY graph, pred"""
 )
 
+Q["stream_updates"] = """WITH ins AS (
+  SELECT obj AS sub, 'shop:hasReview' AS pred, sub AS obj FROM triples WHERE pred = 'shop:reviewFor'),
+del7 AS (SELECT t.sub, t.pred, t.obj FROM triples t
+         WHERE t.sub IN (SELECT sub FROM triples WHERE pred = 'shop:deliveryDays' AND num = 7 AND kind = 'lit')),
+del4 AS (SELECT rf.obj AS sub, 'shop:hasReview' AS pred, rf.sub AS obj FROM triples rf
+         JOIN triples r4 ON r4.sub = rf.sub AND r4.pred = 'shop:rating4' WHERE rf.pred = 'shop:reviewFor')
+SELECT pred, count(*) AS n FROM (
+  SELECT pred FROM triples t
+  WHERE NOT EXISTS (SELECT 1 FROM del7 d WHERE d.sub = t.sub AND d.pred = t.pred AND d.obj = t.obj)
+  UNION ALL
+  SELECT pred FROM (SELECT sub, pred, obj FROM ins EXCEPT SELECT sub, pred, obj FROM del4
+                    EXCEPT SELECT sub, pred, obj FROM triples) x) u
+GROUP BY pred"""
+
 _LOG = """log AS (SELECT event_type AS query, CAST(ts AS DATE) AS run, value AS seconds, user_id AS n_results,
   event_type = 'error' AS timeout FROM events)"""
 R: dict[str, str] = {}
