@@ -79,13 +79,13 @@ def _allowed_for(pat, allowed):
     return sa, oa
 
 
-def _scan(triples, pat, allowed=None) -> DataFrame:
+def _scan(triples, pat, allowed=None, sub_in=None) -> DataFrame:
     """Triples a pattern can match: for a store, only the branches whose
     predicate and IRI prefixes fit, with constant IRIs pushed to key filters."""
     from spogrid.sources.store import TripleStore
 
     if isinstance(triples, TripleStore):
-        return triples.scan(*_pattern_consts(pat), *_allowed_for(pat, allowed))
+        return triples.scan(*_pattern_consts(pat), *_allowed_for(pat, allowed), sub_in=sub_in)
     return triples
 
 
@@ -125,6 +125,7 @@ def triple_pattern(
     source: DataFrame | None = None,
     keep: frozenset | set = frozenset(),
     allowed: dict | None = None,
+    sub_in: DataFrame | None = None,
 ) -> DataFrame:
     """Solutions of one triple pattern.
 
@@ -133,7 +134,7 @@ def triple_pattern(
     in ``keep`` are carried as hidden key columns (:func:`const_key`).
     """
     s, p, o = pat
-    df = source if source is not None else _scan(triples, pat, allowed)
+    df = source if source is not None else _scan(triples, pat, allowed, sub_in)
     if not _is_variable(p):
         df = df.where(F.col("pred") == p)
     if not _is_variable(s):
@@ -249,8 +250,9 @@ def _star_groups(store, patterns, skip, allowed=None) -> list[list]:
     return [g for g in groups.values() if len(g) >= 2]
 
 
-def _star_frame(patterns, group, keep) -> DataFrame:
-    """One scan of the shared source for a star of functional patterns."""
+def _star_frame(patterns, group, keep, sub_in: DataFrame | None = None) -> DataFrame:
+    """One scan of the shared source for a star of functional patterns
+    (``sub_in``: subject values to semi-join into the source first)."""
     b0 = group[0][1]
     subject = patterns[group[0][0]][0]
     conds: list[Column] = []
@@ -267,7 +269,7 @@ def _star_frame(patterns, group, keep) -> DataFrame:
     for i, b, bconds in group:
         o = patterns[i][2]
         conds.extend(bconds)
-        conds.append(b.obj.isNotNull())
+        conds.append(b.present)
         if _is_variable(o):
             name = var_name(o)
             if name in names:
@@ -283,6 +285,10 @@ def _star_frame(patterns, group, keep) -> DataFrame:
                 names[const_key(o)] = b.obj
                 sel.append(b.obj.alias(const_key(o)))
     src = b0.source.where(reduce(lambda x, y: x & y, conds))
+    if sub_in is not None:
+        from spogrid.sources.store import restrict
+
+        src = restrict(src, b0.sub, sub_in)
     return src.select(*sel) if sel else src.select(F.lit(1).alias("__ask")).distinct()
 
 
@@ -325,6 +331,14 @@ def bgp(
     from spogrid.sources.store import TripleStore
 
     allowed = None
+    seeded = set(variables(seed)) if seed is not None else set()
+
+    def sub_in(subject):
+        # a subject bound by the seed (a parameter table) restricts the source early
+        if _is_variable(subject) and var_name(subject) in seeded:
+            return seed.select(var_name(subject))
+        return None
+
     if isinstance(triples, TripleStore) and triples.virtual:
         allowed = var_prefixes(triples, patterns, set(tables))
         for g in _star_groups(triples, patterns, set(tables), allowed):
@@ -332,11 +346,12 @@ def bgp(
             merged.update(idx)
             vs = set().union(*[_pattern_vars(keyed[i]) for i in idx])
             units.append((vs, sum(_n_consts(patterns[i]) for i in idx), min(sizes[i] for i in idx),
-                          lambda g=g: _star_frame(patterns, g, keep)))
+                          lambda g=g: _star_frame(patterns, g, keep, sub_in(patterns[g[0][0]][0]))))
     for i, pat in enumerate(patterns):
         if i not in merged:
             units.append((_pattern_vars(keyed[i]), _n_consts(pat), sizes[i],
-                          lambda i=i: triple_pattern(triples, patterns[i], tables.get(i), keep, allowed)))
+                          lambda i=i: triple_pattern(triples, patterns[i], tables.get(i), keep, allowed,
+                                                     sub_in(patterns[i][0]))))
 
     order = _order_units(
         [u[0] for u in units], [u[1] for u in units], [u[2] for u in units],

@@ -60,7 +60,7 @@ class TripleStore:
 
     @staticmethod
     def _frame(b) -> DataFrame:
-        return b.source.select(*b.cols()).where(F.col("obj").isNotNull())
+        return b.source.where(b.present).select(*b.cols())
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], TRIPLE_SCHEMA)
@@ -86,10 +86,7 @@ class TripleStore:
                 by_source.setdefault(id(p.source), []).append(p)
         frames = []
         for group in by_source.values():
-            structs = F.array(*[F.struct(*p.cols()) for p in group])
-            frames.append(
-                group[0].source.select(F.explode(structs).alias("t")).select("t.*").where(F.col("obj").isNotNull())
-            )
+            frames.append(_explode(group[0].source, group))
         return reduce(DataFrame.union, frames)
 
     # ------------------------------------------------------------ pattern access
@@ -162,18 +159,26 @@ class TripleStore:
         obj_is_lit: bool = False,
         sub_allowed: set | None = None,
         obj_allowed: set | None = None,
+        sub_in: DataFrame | None = None,
     ):
         """Triples that can match a pattern, from the pruned branches only.
 
-        The DataFrame is cached per signature, so a plan is analyzed once."""
+        ``sub_in`` (one column of subject values, e.g. from a parameter table)
+        is semi-joined into each source before its triples are built.  Without
+        it the DataFrame is cached per signature, so a plan is analyzed once."""
         if self._table is not None:
-            return self._table if pred is None else self.vp(pred)
+            out = self._table if pred is None else self.vp(pred)
+            if sub_in is not None:
+                out = out.join(sub_in.select(F.col(sub_in.columns[0]).alias("sub")).distinct(), "sub", "left_semi")
+            return out
+        if sub_in is not None:
+            return self._scan(pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed, sub_in)
         sig = (pred, sub_const, obj_iri, obj_is_lit, _frozen(sub_allowed), _frozen(obj_allowed))
         if sig not in self._scans:
             self._scans[sig] = self._scan(pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed)
         return self._scans[sig]
 
-    def _scan(self, pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed) -> DataFrame:
+    def _scan(self, pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed, sub_in=None) -> DataFrame:
         # branches over the same source with the same key filters share one scan
         groups: OrderedDict = OrderedDict()
         for b, conds in self.candidates(pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed):
@@ -181,16 +186,30 @@ class TripleStore:
         frames = []
         for conds, bs in groups.values():
             src = bs[0].source.where(reduce(lambda x, y: x & y, conds)) if conds else bs[0].source
+            if sub_in is not None:
+                src = restrict(src, bs[0].sub, sub_in)
             if len(bs) == 1:
-                out = src.select(*bs[0].cols())
+                frames.append(src.where(bs[0].present).select(*bs[0].cols()))
             else:
-                out = src.select(F.explode(F.array(*[F.struct(*b.cols()) for b in bs])).alias("t")).select("t.*")
-            frames.append(out.where(F.col("obj").isNotNull()))
+                frames.append(_explode(src, bs))
         if not frames:
             return self._empty()
         return reduce(DataFrame.union, frames)
 
 
+def _explode(src: DataFrame, branches) -> DataFrame:
+    """One scan of ``src`` giving the triples of several branches."""
+    structs = F.array(*[F.when(b.present, F.struct(*b.cols())) for b in branches])
+    return src.select(F.explode(structs).alias("t")).where(F.col("t").isNotNull()).select("t.*")
+
+
+def restrict(src: DataFrame, key, values: DataFrame) -> DataFrame:
+    """Source rows whose computed subject is among ``values`` (a semi join taken
+    before any triple is built; AQE broadcasts ``values`` when small)."""
+    v = values.select(F.col(values.columns[0]).alias("__in")).distinct()
+    return src.join(v, key == F.col("__in"), "left_semi")
+
+
 def _frozen(x):
     return None if x is None else frozenset(x)
 
