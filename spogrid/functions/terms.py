@@ -127,46 +127,49 @@ def typed_value_columns(lexical: Column, dt: Column) -> tuple[Column, Column]:
     return num_c, ts_c
 
 
+def _replace_all(c: Column, pairs) -> Column:
+    """Literal (non-regex) replacements in order."""
+    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), pairs, c)
+
+
+# escaped backslashes are protected first, so an escaped backslash followed by
+# 'n' stays a backslash and an 'n'
+_UNESCAPE = [("\\\\", "\u0000"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\u0000", "\\")]
+_ESCAPE = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+
+
 def parse_term(text: Column) -> Column:
     """Parse one N-Triples term (``<iri>``, ``_:b``, ``"x"``, ``"x"^^<dt>``, ``"x"@en``).
 
-    Returns a struct ``(value, kind, dt, lang)``; escaped quotes inside the
-    literal are kept and unescaped, unlike a shortest-match extraction.
+    Returns a struct ``(value, kind, dt, lang)``.  The literal body runs from
+    the first to the last quote (an escaped body holds no bare quote), found
+    with string functions; only the short suffix after it goes through a
+    regular expression, so long texts cost one pass of literal replacements.
     """
     t = F.trim(text)
     is_iri = t.startswith("<")
     is_bnode = t.startswith("_:")
-    # literal body: from the first quote to the last quote before the suffix.  An
-    # escaped body holds no bare quote, so a greedy ``.*`` finds the closing one;
-    # it also matches without recursion (an alternation per character would
-    # overflow the regex engine's stack on long texts).
-    lit_re = r'(?s)^"(.*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?$'
-    body = F.regexp_extract(t, lit_re, 1)
-    dt_iri = F.regexp_extract(t, lit_re, 2)
-    lang_tag = F.regexp_extract(t, lit_re, 3)
-    # escaped backslashes are protected first, so "\\\\n" stays backslash + n
-    unescaped = reduce(
-        lambda c, kv: F.regexp_replace(c, kv[0], kv[1]),
-        [(r"\\\\", "\u0000"), (r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), ("\u0000", r"\\")],
-        body,
+    n = F.length(t)
+    last = n - F.instr(F.reverse(t), '"') + 1  # position of the closing quote
+    body = F.substr(t, F.lit(2), last - F.lit(2))
+    suffix = F.substr(t, last + F.lit(1), n)
+    dt_iri = F.regexp_extract(suffix, r"^\^\^<(.*)>$", 1)
+    lang_tag = F.regexp_extract(suffix, r"^@([A-Za-z0-9-]+)$", 1)
+    is_lit = ~is_iri & ~is_bnode
+    value = (
+        F.when(is_iri, F.substr(t, F.lit(2), n - F.lit(2)))
+        .when(is_bnode, t)
+        .otherwise(_replace_all(body, _UNESCAPE))
     )
-    value = F.when(is_iri, F.regexp_extract(t, r"^<(.*)>$", 1)).when(is_bnode, t).otherwise(unescaped)
     kind = F.when(is_iri, F.lit("iri")).when(is_bnode, F.lit("bnode")).otherwise(F.lit("lit"))
-    dt = F.when(~is_iri & ~is_bnode & (dt_iri != ""), shorten(dt_iri)).when(
-        ~is_iri & ~is_bnode & (lang_tag == ""), F.lit("xsd:string")
-    )
-    lang_c = F.when(~is_iri & ~is_bnode & (lang_tag != ""), F.lower(lang_tag))
+    dt = F.when(is_lit & (dt_iri != ""), shorten(dt_iri)).when(is_lit & (lang_tag == ""), F.lit("xsd:string"))
+    lang_c = F.when(is_lit & (lang_tag != ""), F.lower(lang_tag))
     return F.struct(value.alias("value"), kind.alias("kind"), dt.alias("dt"), lang_c.alias("lang"))
 
 
 def format_term(obj: Column, kind: Column, dt: Column, lang_c: Column) -> Column:
     """Inverse of :func:`parse_term`: the N-Triples text of an object term."""
-    escaped = reduce(
-        lambda c, kv: F.regexp_replace(c, kv[0], kv[1]),
-        [(r"\\", r"\\\\"), ('"', r'\\"'), ("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t")],
-        obj,
-    )
-    quoted = F.concat(F.lit('"'), escaped, F.lit('"'))
+    quoted = F.concat(F.lit('"'), _replace_all(obj, _ESCAPE), F.lit('"'))
     literal = (
         F.when(lang_c.isNotNull(), F.concat(quoted, F.lit("@"), lang_c))
         .when(dt.isNotNull() & (dt != "xsd:string"), F.concat(quoted, F.lit("^^<"), expand(dt), F.lit(">")))
