@@ -117,6 +117,24 @@ def mix_lookup(spark, positions: DataFrame, pos_col: str = "position") -> DataFr
     return positions.join(F.broadcast(mix), positions[pos_col] == mix["position"]).drop(mix["position"])
 
 
+def positions(df: DataFrame, col: str = "pos") -> DataFrame:
+    """Rows of an ordered DataFrame with their 0-based position.
+
+    ``zipWithIndex`` counts rows per partition first, so positions are
+    assigned in parallel without moving the rows to one task.
+    """
+    schema = df.schema.add(col, "long")
+    return df.rdd.zipWithIndex().map(lambda rv: (*rv[0], rv[1])).toDF(schema)
+
+
+def ordered_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Positions where two ordered results differ (full outer join on position)."""
+    e = positions(expected).select("pos", F.struct(*expected.columns).alias("expected"))
+    a = positions(actual).select("pos", F.struct(*actual.columns).alias("actual"))
+    j = e.join(a, "pos", "full")
+    return j.where(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
 def result_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Multiset difference: rows whose count differs, with both counts.
 

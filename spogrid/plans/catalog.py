@@ -44,6 +44,7 @@ def queries() -> dict[str, Query]:
     for k in ("triplify", "ntriples_parse", "tsv_read", "literal_parse", "typed_objects", "ntriples_format",
               "property_table"):
         q[k] = on_triples(getattr(graph_io, k))
+    q["sql_views"] = on_triples(graph_io.sql_views)
     q["insert_data"] = on_triples(graph_io.insert_data_q)
     q["delete_where"] = on_triples(graph_io.delete_where_q)
     q["quads_provenance"] = on_tables(graph_io.quads_provenance)

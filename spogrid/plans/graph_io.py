@@ -143,3 +143,18 @@ def delete_graph_q(tables) -> DataFrame:
     quads = Q.order_graphs(tables, tables.store)
     out = delete_where(quads, [("?o", "shop:deliveryDays", 1)], graph="graph/5-LOW")
     return _counts(out, "graph")
+
+
+def sql_views(tr) -> DataFrame:
+    """Register the store as SQL views (one per predicate) and query them with
+    named parameters: product labels containing a word, with their size."""
+    from spogrid.sources.store import register
+
+    spark = as_frame(tr).sparkSession
+    register(spark, tr, "shop")
+    return spark.sql(
+        """SELECT l.sub AS product, l.obj AS label, CAST(n.num AS BIGINT) AS size
+           FROM shop_vp_rdfs_label l JOIN shop_vp_shop_productPropertyNumeric1 n ON n.sub = l.sub
+           WHERE l.obj LIKE :pattern AND n.num >= :min_size""",
+        args={"pattern": "%gear%", "min_size": 10},
+    )

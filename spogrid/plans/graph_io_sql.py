@@ -96,6 +96,10 @@ SELECT pred, count(*) AS n FROM (
                     EXCEPT SELECT sub, pred, obj FROM triples) x) u
 GROUP BY pred"""
 
+Q["sql_views"] = """SELECT l.sub AS product, l.obj AS label, CAST(n.num AS BIGINT) AS size
+FROM triples l JOIN triples n ON n.sub = l.sub AND n.pred = 'shop:productPropertyNumeric1'
+WHERE l.pred = 'rdfs:label' AND l.obj LIKE '%gear%' AND n.num >= 10"""
+
 _LOG = """log AS (SELECT event_type AS query, CAST(ts AS DATE) AS run, value AS seconds, user_id AS n_results,
   event_type = 'error' AS timeout FROM events)"""
 R: dict[str, str] = {}

@@ -75,3 +75,14 @@ def test_interval_lookup(spark):
     bounds = spark.createDataFrame([("a", 2), ("b", 3)], "owner string, n long")
     out = G.interval_lookup(ids, bounds, "owner", "n")
     assert rows(out, "id", "owner") == [(0, "a"), (2, "a"), (3, "b"), (9, None)]
+
+
+def test_result_diff_unordered_and_ordered(spark):
+    from spogrid.operators.metrics import ordered_diff, result_diff
+
+    a = spark.createDataFrame([(1,), (2,), (2,), (3,)], "x int")
+    b = spark.createDataFrame([(2,), (3,), (3,), (1,)], "x int")
+    got = rows(result_diff(a, b), "x", "expected", "actual")
+    assert got == [(2, 2, 1), (3, 1, 2)]
+    d = ordered_diff(a.orderBy("x"), b.orderBy("x"))
+    assert sorted(r.pos for r in d.collect()) == [2]
