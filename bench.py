@@ -68,11 +68,9 @@ def main() -> None:
     stored = load_triples(spark, f"{work}/vp")
 
     def build_reductions():
-        rows = extvp.reduction_rows(stored)
-        stats = extvp.reduction_stats(stored, rows).cache()
-        stats.write.mode("overwrite").parquet(f"{work}/stats")
-        extvp.write_reductions(rows, stats, BOUND, f"{work}/extvp")
-        stats.unpersist()
+        extvp.reduction_stats(stored).write.mode("overwrite").parquet(f"{work}/stats")
+        stats = spark.read.parquet(f"{work}/stats")
+        extvp.write_reductions(stored, stats, BOUND, f"{work}/extvp")
 
     builds["extvp_build"] = timed(build_reductions)
     stats = spark.read.parquet(f"{work}/stats")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spogrid.operators.patterns import _is_variable
+from spogrid.session import materialize
 from spogrid.sources.store import TripleStore, as_frame
 
 RELATIONS = ("SS", "OS", "SO")
@@ -71,19 +72,71 @@ def vp_sizes(triples) -> DataFrame:
     return as_frame(triples).groupBy("pred").agg(F.count(F.lit(1)).alias("size"))
 
 
+def value_counts(triples) -> DataFrame:
+    """``(v, p, side, n)``: triples per subject value (side 'S') and per IRI
+    object value (side 'O') and predicate, from ONE scan and ONE aggregation
+    (map-side combined)."""
+    t = as_frame(triples)
+    pairs = F.array(
+        F.struct(F.col("sub").alias("v"), F.col("pred").alias("p"), F.lit("S").alias("side")),
+        F.when(F.col("kind") == "iri", F.struct(F.col("obj").alias("v"), F.col("pred").alias("p"), F.lit("O").alias("side"))),
+    )
+    return (
+        t.select(F.explode(pairs).alias("x"))
+        .where(F.col("x").isNotNull())
+        .select("x.*")
+        .groupBy("v", "p", "side")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def reduction_counts(triples, rels: Sequence[str] = RELATIONS, counts: DataFrame | None = None) -> DataFrame:
+    """``(rel, p1, p2, size)`` without building the reduced rows.
+
+    Triples are counted per ``(value, p1)`` first; joining those counts with
+    the ``(value, p2)`` index and summing gives each reduction's size, so a
+    value with many triples contributes one row per predicate pair instead of
+    one per triple and pair.
+    """
+    c = counts if counts is not None else materialize(value_counts(triples), "value-counts")
+    by_sub = c.where(F.col("side") == "S").select("v", F.col("p").alias("p1"), "n")
+    by_obj = c.where(F.col("side") == "O").select("v", F.col("p").alias("p1"), "n")
+    idx_s = by_sub.select("v", F.col("p1").alias("p2"))
+    idx_o = by_obj.select("v", F.col("p1").alias("p2"))
+    out = []
+    if "SS" in rels:
+        out.append(by_sub.join(idx_s, "v").where(F.col("p1") != F.col("p2")).withColumn("rel", F.lit("SS")))
+    if "OS" in rels:
+        out.append(by_obj.join(idx_s, "v").withColumn("rel", F.lit("OS")))
+    if "SO" in rels:
+        out.append(by_sub.join(idx_o, "v").withColumn("rel", F.lit("SO")))
+    res = out[0]
+    for f in out[1:]:
+        res = res.unionByName(f)
+    return res.groupBy("rel", "p1", "p2").agg(F.sum("n").alias("size"))
+
+
 def reduction_stats(triples, rows: DataFrame | None = None) -> DataFrame:
     """``(rel, p1, p2, size, vp_size, ratio, vp_ratio)`` of every non-empty reduction.
 
-    ``ratio`` = size / size of VP(p1), rounded to two decimals; ``vp_ratio`` =
-    size of VP(p1) / number of triples.
+    ``ratio`` = size / size of VP(p1), rounded half-up to two decimals;
+    ``vp_ratio`` = size of VP(p1) / number of triples.  Sizes, VP sizes and the
+    total all derive from one aggregation (:func:`value_counts`) unless reduced
+    ``rows`` are given.
     """
-    rows = rows if rows is not None else reduction_rows(triples)
-    counts = rows.groupBy("rel", "p1", "p2").agg(F.count(F.lit(1)).alias("size"))
-    vp = vp_sizes(triples)
-    total = vp.agg(F.sum("size")).scalar()  # scalar subquery
-    vp = vp.select(F.col("pred").alias("p1"), F.col("size").alias("vp_size"), (F.col("size") / total).alias("vp_ratio"))
+    # one scan, one aggregation, written once: every consumer below reads it
+    c = materialize(value_counts(triples), "value-counts")
+    if rows is not None:
+        counts = rows.groupBy("rel", "p1", "p2").agg(F.count(F.lit(1)).alias("size"))
+    else:
+        counts = reduction_counts(triples, counts=c)
+    vp = c.where(F.col("side") == "S").groupBy(F.col("p").alias("p1")).agg(F.sum("n").alias("vp_size"))
+    total = vp.agg(F.sum("vp_size")).scalar()  # scalar subquery
+    vp = vp.withColumn("vp_ratio", F.col("vp_size") / total)
     out = counts.join(vp, "p1")
-    return out.select("rel", "p1", "p2", "size", "vp_size", ratio2(F.col("size"), F.col("vp_size")).alias("ratio"), "vp_ratio")
+    return out.select(
+        "rel", "p1", "p2", "size", "vp_size", ratio2(F.col("size"), F.col("vp_size")).alias("ratio"), "vp_ratio"
+    )
 
 
 def ratio2(size, whole):
@@ -120,14 +173,35 @@ def storage(stats: DataFrame, bound: float) -> DataFrame:
     return b.groupBy("rel").agg(F.sum("size").alias("stored_triples"), F.count(F.lit(1)).alias("tables"))
 
 
-def write_reductions(rows: DataFrame, stats: DataFrame, bound: float, path: str, mode: str = "overwrite") -> None:
-    """Write only the kept reductions, partitioned by ``(rel, p1, p2)``.
+def kept_rows(triples, stats: DataFrame, bound: float) -> DataFrame:
+    """Reduced rows of the kept tables only.
 
-    The kept-table list is a semi join with the (bounded) statistics, so no
-    table list passes through the driver.
+    The kept ``(rel, p1, p2)`` list has at most (number of predicates)^2 rows
+    per relation, a proven bound, so it is broadcast; both join sides are cut
+    to the kept predicates before the join.
     """
-    keep = bounded(stats, bound).where(F.col("stored")).select("rel", "p1", "p2")
-    kept = rows.join(keep, ["rel", "p1", "p2"], "left_semi")
+    keep = F.broadcast(bounded(stats, bound).where(F.col("stored")).select("rel", "p1", "p2"))
+    t = as_frame(triples)
+    out = []
+    for rel, pos_v, idx_pos in (("SS", "sub", "sub"), ("OS", "obj", "sub"), ("SO", "sub", "obj")):
+        k = keep.where(F.col("rel") == rel)
+        left = t.join(k.select(F.col("p1").alias("pred")).distinct(), "pred", "left_semi")
+        if rel == "OS":
+            left = left.where(F.col("kind") == "iri")
+        idx = _index(t, idx_pos).join(k.select("p2").distinct(), "p2", "left_semi")
+        j = left.join(idx, left[pos_v] == idx["v"]).withColumn("rel", F.lit(rel))
+        j = j.join(k, (j["rel"] == k["rel"]) & (j["pred"] == k["p1"]) & (j["p2"] == k["p2"]), "left_semi")
+        out.append(j.select("rel", F.col("pred").alias("p1"), "p2", "sub", "obj", "kind", "dt", "lang", "num", "ts"))
+    res = out[0]
+    for f in out[1:]:
+        res = res.unionByName(f)
+    return res
+
+
+def write_reductions(triples, stats: DataFrame, bound: float, path: str, mode: str = "overwrite") -> None:
+    """Write only the kept reductions, partitioned by ``(rel, p1, p2)``; no table
+    list passes through the driver."""
+    kept = kept_rows(triples, stats, bound)
     kept.repartition("rel", "p1", "p2", "sub").write.mode(mode).partitionBy("rel", "p1", "p2").parquet(path)
 
 

@@ -48,3 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = os.path.join("/tmp", "spogrid-checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it
+    back: later consumers share the result and the lineage is cut (this
+    survives executor loss, unlike a cache)."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/spogrid-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
