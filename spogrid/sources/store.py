@@ -95,10 +95,21 @@ class TripleStore:
         scan); None when the constant cannot come from this keyed IRI."""
         if not const.startswith(keyed.prefix):
             return None
-        k = id(keyed.key), id(b.source)
+        rest = const[len(keyed.prefix) :]
+        if keyed.parts:
+            # composite key: one pushable filter per part
+            pieces = rest.split(keyed.sep)
+            if len(pieces) != len(keyed.parts):
+                return None
+            conds = [c == F.lit(v).try_cast(self._type(b, c)) for c, v in zip(keyed.parts, pieces)]
+            return reduce(lambda x, y: x & y, conds)
+        return keyed.key == F.lit(rest).try_cast(self._type(b, keyed.key))
+
+    def _type(self, b, col):
+        k = id(col), id(b.source)
         if k not in self._key_types:
-            self._key_types[k] = b.source.select(keyed.key).schema.fields[0].dataType
-        return keyed.key == F.lit(const[len(keyed.prefix) :]).try_cast(self._key_types[k])
+            self._key_types[k] = b.source.select(col).schema.fields[0].dataType
+        return self._key_types[k]
 
     def candidates(
         self,
