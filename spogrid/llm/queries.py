@@ -5,24 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spogrid.llm import bpe, orc_tokens
+from spogrid.llm import bpe, langmix, lattice_lm, license_scan, orc_tokens, quality, url_vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(column: str, n: int) -> Column:
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), _fold("doc_id", 5) != 0)
+    held_out = (_fold("doc_id", 5) == 0).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(
+        _table(spark, sf_dir, "documents"), _fold("doc_id", 5) != 1, public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = _fold("doc_id", 4)
+    model = langmix.learn(docs, fold != 2)
+    held_out = (fold == 2).alias("held_out")
+    return langmix.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "mixture")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op8_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_vocabulary.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_to_orc(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = (op4_byte_bpe, op10_orc_tokens)
+QUERIES = (op1_quality, op4_byte_bpe, op5_lattice_lm, op6_language_mixture, op7_license_scan, op8_url_vocabulary, op10_orc_tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_vocabulary": url_vocabulary.sql()}
