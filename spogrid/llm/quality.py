@@ -4,7 +4,7 @@ Tokens are runs of word bytes and runs of other bytes that are not white space,
 A-Z lower-cased; each falls into one of ``cells`` by its hash. Random indexing
 gives every cell a fixed sparse vector of +1 and -1; a cell's word vector is
 the sum of those of its neighbours (two on either side) in the sample, taken
-to length one. A document is the mean of its tokens' vectors, with a few pooled numbers
+to length one, less the mean of all, and again taken to length one. A document is the mean of its tokens' vectors, with a few pooled numbers
 (share of tokens that repeat the one before, length, share of unknown cells, length of the
 mean). A two-layer network in numpy learns labels from these, and a temperature
 fitted on rows that it has not seen calibrates its probabilities.
@@ -34,7 +34,7 @@ from spogrid.llm.textkit import LOWER, SOLID, WORD, byte_view, chunks, word_hash
 
 CELLS, WIDTH, SLOT = 1 << 14, 48, 256
 FIT_ROWS = 20_000
-HIDDEN, EPOCHS, RATE = 32, 40, 3e-3
+HIDDEN, EPOCHS, RATE = 64, 60, 6e-3
 CHUNK = 1 << 19
 SEED = 7
 _MARK = SOLID & ~WORD
@@ -70,8 +70,8 @@ def token_cells(texts: pa.Array, cells: int = CELLS) -> tuple[np.ndarray, np.nda
 
 
 def context_sums(cell: np.ndarray, doc: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """cell x width: index vectors of the neighbours of every occurrence."""
-    out = np.zeros_like(index)
+    """cell x (width + 1): index vectors of the neighbours of every occurrence, and the occurrences."""
+    out = np.zeros((len(index), index.shape[1] + 1), np.float32)
     if not len(cell):
         return out
     own = index[cell]
@@ -81,8 +81,9 @@ def context_sums(cell: np.ndarray, doc: np.ndarray, index: np.ndarray) -> np.nda
         near[k:] += own[:-k] * same
         near[:-k] += own[k:] * same
     order = np.argsort(cell, kind="stable")
-    seen, first = np.unique(cell[order], return_index=True)
-    out[seen] = np.add.reduceat(near[order], first, axis=0)
+    seen, first, n = np.unique(cell[order], return_index=True, return_counts=True)
+    out[seen, :-1] = np.add.reduceat(near[order], first, axis=0)
+    out[seen, -1] = n
     return out
 
 
@@ -109,6 +110,11 @@ def _forward(x: np.ndarray, weights) -> tuple[np.ndarray, np.ndarray]:
     return hidden, (hidden @ w2 + b2)[:, 0]
 
 
+def standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Numbers far outside the sample's range, as in a text of one word, are taken to its rim."""
+    return np.clip((x - mean) / spread, -10, 10)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -145,7 +151,7 @@ def _word_vectors(sample: DataFrame) -> np.ndarray:
 
     def part_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
-        total = np.zeros_like(index)
+        total = np.zeros((CELLS, WIDTH + 1))
         for batch in batches:
             for _, texts in chunks(batch, "text", CHUNK):
                 total += context_sums(*token_cells(texts), index)
@@ -157,17 +163,23 @@ def _word_vectors(sample: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("slot").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(raw, np.float32).astype(np.float64)
+                total[k] = total.get(k, 0) + np.frombuffer(raw)
         for k, sums in total.items():
             yield pa.record_batch([pa.array([k]), pa.array([sums.tobytes()])], ["slot", "sums"])
 
     schema = "slot long, sums binary"
     rows = sample.select("text").mapInArrow(part_sums, schema).repartition(8, "slot").mapInArrow(add, schema).collect()
-    vectors = np.zeros((CELLS, WIDTH))
+    sums = np.zeros((CELLS, WIDTH + 1))
     for k, raw in rows:
-        vectors[k : k + SLOT] = np.frombuffer(raw, np.float64).reshape(SLOT, WIDTH)
-    size = np.sqrt((vectors**2).sum(1, keepdims=True))
-    return (vectors / np.maximum(size, 1e-9)).astype(np.float32)
+        sums[k : k + SLOT] = np.frombuffer(raw).reshape(SLOT, WIDTH + 1)
+    return word_vectors(sums[:, :-1], sums[:, -1])
+
+
+def word_vectors(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    unit = lambda v: v / np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-9)
+    vectors, known = unit(sums), sums.any(1)
+    mean = n @ vectors / max(n.sum(), 1)
+    return np.where(known[:, None], unit(vectors - mean), 0).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text",
@@ -194,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, fit_rows: int = FIT_
         return QualityModel(vectors, np.zeros(0), np.zeros(0), (), 1.0, share)
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found], float)
     mean, spread = x.mean(0), x.std(0) + 1e-3
-    x = (x - mean) / spread
+    x = standard(x, mean, spread)
     apart = np.arange(len(x)) % 5 == 0  # rows that only calibrate
     weights = train(x[~apart], y[~apart])
     return QualityModel(vectors, mean, spread, weights, calibrate(_forward(x[apart], weights)[1], y[apart]))
@@ -203,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, fit_rows: int = FIT_
 def score_texts(texts: pa.Array, model: QualityModel) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    x = (pool(*token_cells(texts), len(texts), model.vectors) - model.mean) / model.spread
+    x = standard(pool(*token_cells(texts), len(texts), model.vectors), model.mean, model.spread)
     return _sigmoid(_forward(x, model.weights)[1] / model.temperature)
 
 
