@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spogrid.llm import bpe, langmix, lattice_lm, license_scan, orc_tokens, quality, url_vocabulary
+from spogrid.llm import bpe, embedding_dedup, langmix, lattice_lm, license_scan, orc_tokens, quality, url_vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,30 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+OP3_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS size FROM e),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+reach(id, c) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id WHERE l.b > r.c),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
+n_of AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON id = vec_id LEFT JOIN n_of ON a = vec_id"""
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -56,7 +80,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_to_orc(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = (op1_quality, op4_byte_bpe, op5_lattice_lm, op6_language_mixture, op7_license_scan, op8_url_vocabulary, op10_orc_tokens)
+QUERIES = (op1_quality, op3_embedding_dedup, op4_byte_bpe, op5_lattice_lm, op6_language_mixture, op7_license_scan, op8_url_vocabulary, op10_orc_tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -64,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_vocabulary": url_vocabulary.sql()}
+    return {"op3_embedding_dedup": OP3_SQL, "op8_url_vocabulary": url_vocabulary.sql()}
