@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spogrid.llm.textkit import LOWER, byte_view, chunks, word_spans
+from spogrid.llm.textkit import LOWER, byte_view, chunks, kept, word_spans
 
 UNKNOWN = "und"
 SYMBOLS = 64
@@ -209,3 +209,16 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
+
+
+def keep(docs: DataFrame, model: LangModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents with a language that has at least that share of their words, with all their columns."""
+
+    def judge():
+        def decide(texts: pa.Array) -> np.ndarray:
+            names, score, _ = infer(model, texts)
+            return (np.array(names) != UNKNOWN) & (score >= least)
+
+        return decide
+
+    return kept(docs, text_col, judge)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spogrid.llm.shared import stored
-from spogrid.llm.textkit import LOWER, SOLID, WORD, byte_view, chunks, word_hashes, word_spans
+from spogrid.llm.textkit import LOWER, SOLID, WORD, byte_view, chunks, kept, word_hashes, word_spans
 
 CELLS, WIDTH, SLOT = 1 << 14, 48, 256
 FIT_ROWS = 20_000
@@ -231,3 +231,9 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, id_col:
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The documents of that score or a better one, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept(docs, text_col, lambda: lambda texts: score_texts(texts, shared.value) >= threshold, CHUNK)

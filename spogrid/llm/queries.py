@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spogrid.llm import bpe, embedding_dedup, langmix, lattice_lm, license_scan, orc_tokens, quality, url_vocabulary
+from spogrid.llm import bpe, embedding_dedup, langmix, lattice_lm, license_scan, orc_tokens, quality, shingle_join, template_decontam, url_vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op2_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "matched", "coverage", "run", "shift")
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", "kept")
@@ -76,11 +81,33 @@ def op8_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_vocabulary.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b, c = x.n AND c = y.n AS same FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 10 * c >= 8 * (x.n + y.n - c)),
+reach(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id WHERE l.b > r.c),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
+n_of AS (SELECT a, count(*) AS n_links, min(CASE WHEN same THEN b END) AS other FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(other, doc_id)) AS class_id, component_id, coalesce(n_links, 0) AS n_links, doc_id = component_id AS kept
+FROM documents JOIN least ON id = doc_id LEFT JOIN n_of ON a = doc_id"""
+
+
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_to_orc(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = (op1_quality, op3_embedding_dedup, op4_byte_bpe, op5_lattice_lm, op6_language_mixture, op7_license_scan, op8_url_vocabulary, op10_orc_tokens)
+QUERIES = (op1_quality, op2_template_decontam, op3_embedding_dedup, op4_byte_bpe, op5_lattice_lm, op6_language_mixture, op7_license_scan, op8_url_vocabulary, op9_shingle_join, op10_orc_tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -88,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op8_url_vocabulary": url_vocabulary.sql()}
+    return {"op2_template_decontam": template_decontam.sql(), "op3_embedding_dedup": OP3_SQL, "op8_url_vocabulary": url_vocabulary.sql(), "op9_shingle_join": OP9_SQL}

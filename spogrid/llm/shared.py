@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spogrid.session import checkpoint_dir
 
@@ -19,3 +20,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Rows of a few numbers each up to which a table is broadcast (some 10 MB).
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast where its counted rows are few; else joins shuffle it. For stored tables."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 2 << 20
 
@@ -52,6 +53,19 @@ def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterat
         at = end
 
 
+def kept(docs: DataFrame, name: str, judge: Callable[[], Callable[[pa.Array], np.ndarray]], limit: int = CHUNK_BYTES) -> DataFrame:
+    """The rows whose text the judge keeps, with all their columns. ``judge`` is called once in each
+    task, and what it returns gives True or False for each of some texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = judge()
+        for batch in batches:
+            for part, texts in chunks(batch, name, limit):
+                yield part.filter(pa.array(decide(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def word_spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and text number of every maximal run of bytes that ``inside`` marks, within each text."""
     n = len(data)
