@@ -42,7 +42,7 @@ UNITS = (
 # What marks surface forms (in order), then what turns marked and lower-cased text into a template. $1, $2: groups.
 MARKS = (
     ("([0-9])[.,:/]([0-9])", f"$1{JOINER}$2"),
-    (r"([\p{L}\p{N},;] )(\p{Lu})", f"$1{NAME}$2"),
+    (r"([\p{L}\p{N},;] )(\p{Lu}\p{Ll})", f"$1{NAME}$2"),
 )
 TEMPLATE = (
     (f"{NAME}[\\p{{L}}\\p{{N}}{JOINER}]+", NAME),

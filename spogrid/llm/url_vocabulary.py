@@ -126,9 +126,9 @@ def sql(rules=RULES, strict=STRICT, soft=SOFT, limit: float = SOFT_LIMIT) -> str
     return f"""
 WITH p AS (
   SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
-         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{upper}', '{lower}') AS host,
-         coalesce(regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1), '') AS path
-  FROM pages),
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+         regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path
+  FROM (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
 j AS (SELECT *, {total} AS soft_weight,
         regexp_matches(low, '{at.format("|".join(strict))}') AS bad FROM p)
 SELECT page_id, host, path, {by_rule(lambda r: r[1] + r[2])} END AS rule,
