@@ -15,13 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spogrid.operators.patterns import natural_join, shared_vars, variables
-
-
-def _rename_right(b: DataFrame, names: Sequence[str]) -> DataFrame:
-    for n in names:
-        b = b.withColumnRenamed(n, n + "__r")
-    return b
+from spogrid.operators.patterns import _RIGHT, natural_join, renamed, same_term, shared_vars, variables
 
 
 def _drop_dup_aux(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -32,21 +26,26 @@ def _compatible_join(
     a: DataFrame, b: DataFrame, how: str, maybe_unbound: Sequence[str] = (), cond: Column | None = None
 ) -> DataFrame:
     shared = shared_vars(a, b)
-    b = _rename_right(_drop_dup_aux(a, b), shared)
+    b = renamed(a, b)
     parts = []
     for v in shared:
-        eq = F.col(v) == F.col(v + "__r")
+        eq = same_term(a, b, v)
         if v in maybe_unbound:
-            eq = eq | F.col(v).isNull() | F.col(v + "__r").isNull()
+            eq = eq | F.col(v).isNull() | F.col(v + _RIGHT).isNull()
         parts.append(eq)
     on = reduce(lambda x, y: x & y, parts) if parts else F.lit(True)
     if cond is not None:
         # shared names resolve to the left side, equal to the right under the join
         on = on & cond
     out = a.join(b, on, how)
-    for v in shared:
-        out = out.withColumn(v, F.coalesce(F.col(v), F.col(v + "__r")) if v in maybe_unbound else F.col(v))
-    return out.drop(*[v + "__r" for v in shared])
+    for v in (v for v in shared if v in maybe_unbound):
+        # the side that binds the variable describes it
+        described = [c for c in b.columns if c.endswith(_RIGHT) and c.split("__")[0] == v and c != v + _RIGHT]
+        out = out.withColumns(
+            {c[: -len(_RIGHT)]: F.when(F.col(v).isNull(), F.col(c)).otherwise(F.col(c[: -len(_RIGHT)])) for c in described}
+        )
+        out = out.withColumn(v, F.coalesce(F.col(v), F.col(v + _RIGHT)))
+    return out.drop(*[c for c in b.columns if c.endswith(_RIGHT)])
 
 
 def join(a: DataFrame, b: DataFrame, maybe_unbound: Sequence[str] = ()) -> DataFrame:
@@ -66,9 +65,8 @@ def optional(a: DataFrame, b: DataFrame, cond: Column | None = None, maybe_unbou
     OPTIONAL is part of the join condition (``cond``).  With no shared variable
     it is still a left join (unmatched left rows kept)."""
     if cond is None and not maybe_unbound:
-        shared = shared_vars(a, b)
-        if shared:
-            return a.join(_drop_dup_aux(a, b), on=shared, how="left")
+        if shared_vars(a, b):
+            return natural_join(a, b, "left")
     return _compatible_join(a, b, "left", maybe_unbound, cond)
 
 
@@ -79,14 +77,18 @@ def union(*dfs: DataFrame) -> DataFrame:
 
 def exists(a: DataFrame, b: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
     """FILTER EXISTS / IN: left semi join."""
-    on = list(on) if on is not None else shared_vars(a, b)
-    return a.join(b.select(*on), on=on, how="left_semi")
+    return _half_join(a, b, on, "left_semi")
 
 
 def not_exists(a: DataFrame, b: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
     """FILTER NOT EXISTS / NOT IN / OPTIONAL + !bound: left anti join."""
+    return _half_join(a, b, on, "left_anti")
+
+
+def _half_join(a: DataFrame, b: DataFrame, on: Sequence[str] | None, how: str) -> DataFrame:
     on = list(on) if on is not None else shared_vars(a, b)
-    return a.join(b.select(*on), on=on, how="left_anti")
+    b = renamed(a, b.select(*[c for c in b.columns if c.split("__")[0] in on]))
+    return a.join(b, reduce(lambda x, y: x & y, [same_term(a, b, v) for v in on]), how)
 
 
 def cross(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ columns cost nothing: Catalyst prunes them before the scan.
 from __future__ import annotations
 
 import hashlib
-import warnings
 from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
@@ -31,7 +30,7 @@ def _is_variable(t) -> bool:
     return is_var(t) or is_blank(t)
 
 
-def _const_obj_cond(o, obj=None, kind=None, lang=None, dt=None, num=None) -> Column:
+def const_obj_cond(o, obj=None, kind=None, lang=None, dt=None, num=None) -> Column:
     """Match of a constant object against the object columns (or given expressions)."""
     obj = F.col("obj") if obj is None else obj
     kind = F.col("kind") if kind is None else kind
@@ -41,10 +40,11 @@ def _const_obj_cond(o, obj=None, kind=None, lang=None, dt=None, num=None) -> Col
     if isinstance(o, Lit):
         cond = (obj == o.lexical) & (kind == "lit")
         if o.lang is not None:
-            cond = cond & (F.lower(lang) == o.lang.lower())
-        elif o.dt is not None and o.dt != "xsd:string":
-            cond = cond & (dt == o.dt)
-        return cond
+            return cond & (F.lower(lang) == o.lang.lower())
+        if o.dt is not None and o.dt != "xsd:string":
+            return cond & (dt == o.dt)
+        # a plain literal: without a language, of no type or xsd:string
+        return cond & lang.isNull() & (dt.isNull() | (dt == "xsd:string"))
     if isinstance(o, bool):
         return (obj == str(o).lower()) & (kind == "lit")
     if isinstance(o, (int, float)):
@@ -140,7 +140,7 @@ def triple_pattern(
     if not _is_variable(s):
         df = df.where(F.col("sub") == s)
     if not _is_variable(o):
-        df = df.where(_const_obj_cond(o))
+        df = df.where(const_obj_cond(o))
 
     cols: list[Column] = []
     names: list[str] = []
@@ -152,12 +152,16 @@ def triple_pattern(
         name = var_name(t)
         if name in seen:
             df = df.where(F.col(seen[name]) == F.col(position))
+            if position == "obj":  # subjects and predicates are IRIs
+                df = df.where(F.col("kind") == "iri")
             continue
         seen[name] = position
         cols.append(F.col(position).alias(name))
         names.append(name)
         if position == "obj":
             cols.extend(F.col(a).alias(aux(name, a)) for a in TERM_AUX)
+        else:
+            cols.extend(iri_aux(name))
     for position, t in (("sub", s), ("obj", o)):
         if _is_iri_const(t) and t in keep and const_key(t) not in names:
             cols.append(F.col(position).alias(const_key(t)))
@@ -167,6 +171,12 @@ def triple_pattern(
     return df.select(*cols)
 
 
+def iri_aux(name: str) -> list[Column]:
+    """Term columns of a variable that stands for an IRI (a subject or predicate)."""
+    types = {"num": "double", "ts": "timestamp_ntz"}
+    return [F.lit("iri" if a == "kind" else None).cast(types.get(a, "string")).alias(aux(name, a)) for a in TERM_AUX]
+
+
 def variables(df: DataFrame) -> list[str]:
     """Visible variable columns of a solution DataFrame (no auxiliary columns)."""
     return [c for c in df.columns if "__" not in c]
@@ -178,15 +188,41 @@ def shared_vars(a: DataFrame, b: DataFrame) -> list[str]:
 
 
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Join two solution sets on all shared variables (never just the first one)."""
+    """Join two solution sets on all shared variables (never just the first one), as terms:
+    see :func:`same_term`.  Without a shared variable it is an error; a cross
+    product must be asked for (:func:`~spogrid.operators.algebra.cross`)."""
     on = shared_vars(a, b)
-    # both sides may describe a shared object variable; keep one description
-    dup_aux = [c for c in b.columns if "__" in c and c in a.columns]
-    b = b.drop(*dup_aux)
     if not on:
-        warnings.warn("patterns share no variable: cross product", stacklevel=2)
-        return a.crossJoin(b)
-    return a.join(b, on=on, how=how)
+        raise ValueError("patterns share no variable: this would be a cross product; ask for it with cross()")
+    b = renamed(a, b)
+    out = a.join(b, reduce(lambda x, y: x & y, [same_term(a, b, v) for v in on]), how)
+    return out.drop(*[c for c in b.columns if c.endswith(_RIGHT)])
+
+
+# Suffix of the right side's columns in a join whose names the left side has too.
+_RIGHT = "__right"
+
+
+def renamed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``b`` with the columns that ``a`` has too renamed."""
+    have = set(a.columns)
+    return b.select(*[F.col(c).alias(c + _RIGHT) if c in have else F.col(c) for c in b.columns])
+
+
+def same_term(a: DataFrame, b: DataFrame, v: str) -> Column:
+    """Equality of a shared variable as a term: lexical form, kind, datatype and language (``b`` is
+    :func:`renamed`).  Where one side carries only the text (a parameter table), texts are compared.
+    Kinds that are constant on both sides fold away before the join is planned."""
+    cond = F.col(v) == F.col(v + _RIGHT)
+    if aux(v, "kind") in a.columns and aux(v, "kind") + _RIGHT in b.columns:
+        for part in ("kind", "dt", "lang"):
+            left, right = F.col(aux(v, part)), F.col(aux(v, part) + _RIGHT)
+            if part == "dt":  # xsd:string is the type of plain literals
+                left, right = (F.when(x != "xsd:string", x) for x in (left, right))
+            if part == "lang":
+                left, right = F.lower(left), F.lower(right)
+            cond = cond & left.eqNullSafe(right)
+    return cond
 
 
 def _pattern_vars(pat) -> set[str]:
@@ -247,7 +283,7 @@ def _star_groups(store, patterns, skip, allowed=None) -> list[list]:
             continue
         b, conds = cands[0]
         groups.setdefault((s, id(b.source)), []).append((i, b, conds))
-    return [g for g in groups.values() if len(g) >= 2]
+    return [g for g in groups.values() if len(g) >= 2 and store.unique(g[0][1])]
 
 
 def _star_frame(patterns, group, keep, sub_in: DataFrame | None = None) -> DataFrame:
@@ -259,12 +295,13 @@ def _star_frame(patterns, group, keep, sub_in: DataFrame | None = None) -> DataF
     sel: list[Column] = []
     names: dict[str, Column] = {}
     if _is_variable(subject):
-        names[var_name(subject)] = b0.sub
+        names[var_name(subject)] = (b0.sub, None)
         sel.append(b0.sub.alias(var_name(subject)))
+        sel.extend(iri_aux(var_name(subject)))
     else:
         conds.append(b0.sub == subject)
         if subject in keep:
-            names[const_key(subject)] = b0.sub
+            names[const_key(subject)] = (b0.sub, None)
             sel.append(b0.sub.alias(const_key(subject)))
     for i, b, bconds in group:
         o = patterns[i][2]
@@ -273,16 +310,21 @@ def _star_frame(patterns, group, keep, sub_in: DataFrame | None = None) -> DataF
         if _is_variable(o):
             name = var_name(o)
             if name in names:
-                conds.append(b.obj == names[name])
+                expr, other = names[name]
+                kind = "iri" if other is None else other.kind
+                conds.append((b.obj == expr) & F.lit(b.kind == kind))
+                if other is not None:
+                    conds.append(F.when(b.dt != "xsd:string", b.dt).eqNullSafe(F.when(other.dt != "xsd:string", other.dt)))
+                    conds.append(F.lower(b.lang).eqNullSafe(F.lower(other.lang)))
                 continue
-            names[name] = b.obj
+            names[name] = (b.obj, b)
             sel.append(b.obj.alias(name))
             for part, expr in (("kind", F.lit(b.kind)), ("dt", b.dt), ("lang", b.lang), ("num", b.num), ("ts", b.ts)):
                 sel.append(expr.alias(aux(name, part)))
         else:
-            conds.append(_const_obj_cond(o, b.obj, F.lit(b.kind), b.lang, b.dt, b.num))
+            conds.append(const_obj_cond(o, b.obj, F.lit(b.kind), b.lang, b.dt, b.num))
             if _is_iri_const(o) and o in keep and const_key(o) not in names:
-                names[const_key(o)] = b.obj
+                names[const_key(o)] = (b.obj, b)
                 sel.append(b.obj.alias(const_key(o)))
     src = b0.source.where(reduce(lambda x, y: x & y, conds))
     if sub_in is not None:
@@ -369,5 +411,14 @@ def bgp(
 
 def substitute(patterns: Sequence[Pattern], equal: dict[str, str]) -> list[Pattern]:
     """``FILTER(?a = ?b)`` as substitution: rename ``?a`` to ``?b`` in every pattern,
-    so the equality becomes a join key instead of a filter over a product."""
+    so the equality becomes a join key instead of a filter over a product.
+    :func:`assign` gives ``?a`` back to the solutions."""
     return [tuple(equal.get(t, t) if isinstance(t, str) else t for t in pat) for pat in patterns]
+
+
+def assign(sol: DataFrame, equal: dict[str, str]) -> DataFrame:
+    """After :func:`substitute`: the replaced variables, bound to the same terms."""
+    for a, b in equal.items():
+        a, b = var_name(a), var_name(b)
+        sol = sol.withColumns({a: F.col(b)} | {aux(a, x): F.col(aux(b, x)) for x in TERM_AUX if aux(b, x) in sol.columns})
+    return sol

@@ -217,11 +217,12 @@ def explore9(tr: DataFrame, review: DataFrame | None = None) -> DataFrame:
     return describe_where(tr, [("?review", "rev:reviewer", "?x")], "?x", seed=review)
 
 
-def explore10(tr: DataFrame, country="nation/15", max_days=3, date="1998-01-01") -> DataFrame:
-    """Cheap, fast offers from vendors of one country, cheapest 10."""
+def explore10(tr: DataFrame, product=PRODUCT, country="nation/17", max_days=3, date="1998-01-01") -> DataFrame:
+    """Cheap, fast offers of a product from vendors of one country, cheapest 10."""
     sol = bgp(
         tr,
         [
+            ("?offer", "shop:product", product),
             ("?offer", "shop:vendor", "?vendor"),
             ("?offer", "dc:publisher", "?vendor"),
             ("?vendor", "shop:country", country),

@@ -174,7 +174,8 @@ SELECT offer, price FROM (
   SELECT DISTINCT ov.sub AS offer, pr.obj AS price
   FROM triples ov
   JOIN triples pu ON pu.sub = ov.sub AND pu.pred = 'dc:publisher' AND pu.obj = ov.obj
-  JOIN triples vc ON vc.sub = ov.obj AND vc.pred = 'shop:country' AND vc.obj = 'nation/15' AND vc.kind = 'iri'
+  JOIN triples vc ON vc.sub = ov.obj AND vc.pred = 'shop:country' AND vc.obj = 'nation/17' AND vc.kind = 'iri'
+  JOIN triples po ON po.sub = ov.sub AND po.pred = 'shop:product' AND po.obj = 'product/10' AND po.kind = 'iri'
   {_j("dd", "ov.sub", "shop:deliveryDays")}
   {_j("pr", "ov.sub", "shop:price")}
   {_j("d", "ov.sub", "shop:validTo")}
@@ -215,9 +216,14 @@ EXPLORE12_CTE = f"""s AS (
   {_j("dd", "param.id", "shop:deliveryDays")}
   {_j("vt", "param.id", "shop:validTo")})"""
 
+_EXPORT_TYPE = {
+    "productlabel": "'xsd:string'", "vendorname": "'xsd:string'", "price": "'shop:USD'", "deliveryDays": "'xsd:integer'",
+    "validTo": "'xsd:dateTime'",
+}
+
 EXPLORE12 = (
-    "SELECT DISTINCT sub, pred, obj FROM (\n  "
-    + "\n  UNION ALL ".join(f"SELECT offer AS sub, '{p}' AS pred, {v} AS obj FROM s" for p, v in _EXPORT)
+    "SELECT DISTINCT sub, pred, obj, CASE WHEN dt IS NULL THEN 'iri' ELSE 'lit' END AS kind, dt, CAST(NULL AS VARCHAR) AS lang FROM (\n  "
+    + "\n  UNION ALL ".join(f"SELECT offer AS sub, '{p}' AS pred, {v} AS obj, {_EXPORT_TYPE.get(v, 'NULL')} AS dt FROM s" for p, v in _EXPORT)
     + ") c WHERE obj IS NOT NULL"
 )
 

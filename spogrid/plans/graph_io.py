@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spogrid.functions.terms import TRIPLE_COLUMNS, format_term, parse_term, shorten, typed_value_columns
 from spogrid.operators.patterns import bgp
-from spogrid.operators.updates import delete_where, describe, insert_data, insert_graph
+from spogrid.operators.updates import delete_where, describe_where, insert_data, insert_graph
 from spogrid.sources import quads as Q
 from spogrid.sources import textio
 from spogrid.sources.store import as_frame
@@ -87,8 +87,8 @@ def typed_objects(tr) -> DataFrame:
 
 def ntriples_format(tr) -> DataFrame:
     """N-Triples text of every vendor description."""
-    vendors = bgp(tr, [("?v", "rdf:type", "shop:Vendor")])
-    return textio.format_ntriples(describe(as_frame(tr), vendors))
+    vendors = describe_where(tr, [("?v", "rdf:type", "shop:Vendor")], "?v", terms=True)
+    return textio.format_ntriples(vendors)
 
 
 def quads_provenance(tables) -> DataFrame:
@@ -122,7 +122,7 @@ def insert_data_q(tr) -> DataFrame:
 
 def delete_where_q(tr) -> DataFrame:
     """DELETE WHERE { ?o shop:deliveryDays 7 . ?o ?p ?x }."""
-    out = delete_where(as_frame(tr), [("?o", "shop:deliveryDays", 7), ("?o", "?p", "?x")])
+    out = delete_where(tr, [("?o", "shop:deliveryDays", 7), ("?o", "?p", "?x")])
     return _counts(out)
 
 

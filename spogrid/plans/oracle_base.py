@@ -44,18 +44,18 @@ vendor AS (
 person AS (
   SELECT c_custkey AS nr, c_name AS name, sha1('mailto:' || lower(c_name)) AS mbox_sha1sum,
          c_nationkey AS country FROM customer),
-country AS (SELECT n_nationkey AS nr, n_name AS label, n_regionkey AS region FROM nation),
-region_e AS (SELECT r_regionkey AS nr, r_name AS label FROM region),
+country AS (SELECT n_nationkey AS nr, n_name AS label, n_regionkey AS region, n_nationkey * n_nationkey % 25 AS partner FROM nation),
+region_e AS (SELECT r_regionkey AS nr, r_name AS label, 'region/' || CAST(r_regionkey AS VARCHAR) AS note FROM region),
 offer AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS nr,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d')) AS nr,
          l_partkey AS product, l_suppkey AS vendor,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS price, l_shipdate AS validTo,
          CAST(l_linenumber AS BIGINT) AS deliveryDays,
          'site/vendor' || CAST(l_suppkey AS VARCHAR) || '/offer/'
-           || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS offerWebpage
+           || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d')) AS offerWebpage
   FROM lineitem),
 review_core AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS nr,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d')) AS nr,
          l_orderkey AS orderkey, l_partkey AS product,
          'review of product ' || CAST(l_partkey AS VARCHAR) AS title,
          CAST(l_linenumber AS BIGINT) AS rating1,
@@ -148,6 +148,8 @@ def _triples_sql() -> str:
         _type("country", cs, "shop:Country"),
         _lit_str("country", cs, "rdfs:label", "label"),
         _iri("country", cs, "shop:locatedIn", "'region/' || CAST(region AS VARCHAR)"),
+        _iri("country", cs, "shop:partner", "'nation/' || CAST(partner AS VARCHAR)"),
+        _lit_str("region_e", rs, "rdfs:comment", "note"),
         _type("region_e", rs, "shop:Region"),
         _lit_str("region_e", rs, "rdfs:label", "label"),
         _iri("region_e", rs, "shop:locatedIn", "'region/World'"),

@@ -33,11 +33,11 @@ def rel1(t, f1="cold", f2="gear", x=5):
 def rel2(t, nr=P):
     e = t.entities
     pt = e.product.where(F.col("nr") == nr)
-    pr = e.producer.select(F.col("nr").alias("producer"), F.col("label").alias("producerLabel"))
+    pr = e.producer.select(F.col("nr").alias("producer"))
     pfp = e.productfeatureproduct.select(F.col("product").alias("nr"), "productFeature")
-    out = pt.join(pfp, "nr").join(pr, "producer")
+    out = pt.join(pfp, "nr").join(pr, "producer", "left_semi")
     return out.select(
-        "label", "comment", F.col("producerLabel").alias("producer"), "productFeature", "propertyTex1",
+        "label", "comment", "producer", "productFeature", "propertyTex1",
         "propertyTex2", "propertyTex3", "propertyNum1", "propertyNum2", "propertyTex4", "propertyTex5", "propertyNum4",
     )
 
@@ -89,7 +89,7 @@ def rel7(t, nr=P, country=21, date="1998-01-01"):
     )
     rpn = (
         e.review_core.where(F.col("product") == nr)
-        .join(e.review_order, "nr")
+        .join(e.review_order.select("nr", "person"), "nr")
         .join(e.person.select(F.col("nr").alias("pnnr"), "name"), F.col("person") == F.col("pnnr"))
         .select(F.col("product").alias("k"), F.col("nr").alias("rnr"), "title", "pnnr", "name", "rating1", "rating2")
     )
@@ -116,25 +116,28 @@ def _first_offer(e, nr=P) -> DataFrame:
 
 def rel9(t):
     e = t.entities
-    r = _first_review(e).join(e.review_order, F.col("rnr") == F.col("nr")).select("person")
+    r = _first_review(e).join(e.review_order.select("nr", "person"), F.col("rnr") == F.col("nr")).select("person")
     p = e.person.join(r, F.col("nr") == F.col("person"), "left_semi")
     r2 = e.review_core.join(e.review_order.select("nr", "person"), "nr")
     out = p.select(F.col("nr").alias("person"), "name", "mbox_sha1sum", "country").join(r2, "person")
     return out.select("person", "name", "mbox_sha1sum", "country", F.col("nr").alias("review"), "product", "title")
 
 
-def rel10(t, country=15, max_days=3, date="1998-01-01"):
+def rel10(t, nr=P, country=17, max_days=3, date="1998-01-01"):
     e = t.entities
     v = e.vendor.where(F.col("country") == country).select(F.col("nr").alias("vendor"))
     o = e.offer.where((F.col("deliveryDays") <= max_days) & (F.col("validTo") > F.lit(date).cast("timestamp_ntz")))
-    o = o.join(v, "vendor", "left_semi")
+    o = o.where(F.col("product") == nr).join(v, "vendor", "left_semi")
     return slice_(o, project=["nr", "price"], distinct=True, order=["price", "nr"], limit=10)
 
 
 def rel11(t):
     e = t.entities
     o = e.offer.join(_first_offer(e), F.col("nr") == F.col("onr"))
-    return o.select("product", "vendor", "price", "validTo", "deliveryDays", "offerWebpage")
+    p = e.product.select(F.col("nr").alias("product"), "producer")
+    return o.join(p, "product").select(
+        "product", "producer", "vendor", "price", "validFrom", "validTo", "deliveryDays", "offerWebpage", "publisher", "publishDate"
+    )
 
 
 def rel12(t):

@@ -11,8 +11,8 @@ from spogrid.functions.terms import Lit, num, ts
 from spogrid.operators import aggregates as A
 from spogrid.operators import algebra as G
 from spogrid.operators.paths import alt, closure, inv, levels, path, seq
-from spogrid.operators.patterns import bgp, substitute, triple_pattern
-from spogrid.operators.updates import construct, describe
+from spogrid.operators.patterns import assign, bgp, substitute, triple_pattern
+from spogrid.operators.updates import construct, describe_where
 from spogrid.sources.store import as_frame
 
 P10 = "product/10"
@@ -93,8 +93,9 @@ def filter_like(tr):
 
 
 def filter_var_eq(tr):
-    pats = substitute([("?offer", "shop:vendor", "?v"), ("?offer", "dc:publisher", "?pub")], {"?pub": "?v"})
-    return _vis(bgp(tr, pats))
+    equal = {"?pub": "?v"}
+    pats = substitute([("?offer", "shop:vendor", "?v"), ("?offer", "dc:publisher", "?pub")], equal)
+    return _vis(assign(bgp(tr, pats), equal))
 
 
 def param_query(tr, params=None):
@@ -445,8 +446,7 @@ def type_features(tr):
 
 # ---------------------------------------------------------------- query forms
 def describe_q(tr):
-    ids = bgp(tr, [("?x", "rdf:type", "type/PROMO")])
-    return describe(as_frame(tr), ids).select("sub", "pred", "obj")
+    return describe_where(tr, [("?x", "rdf:type", "type/PROMO")], "?x")
 
 
 def construct_q(tr):

@@ -26,7 +26,7 @@ Q["tp_object"] = "SELECT sub AS s FROM triples WHERE pred = 'shop:country' AND o
 Q["tp_var_predicate"] = "SELECT sub AS s, pred AS p FROM triples WHERE obj = 'nation/7' AND kind = 'iri'"
 Q["tp_blank"] = f"""SELECT a.obj AS product, b.obj AS reviewer FROM triples a {_j("b", "a.sub", "rev:reviewer")}
 WHERE a.pred = 'shop:reviewFor'"""
-Q["tp_repeat_var"] = "SELECT sub AS x, pred AS p FROM triples WHERE sub = obj"
+Q["tp_repeat_var"] = "SELECT sub AS x, pred AS p FROM triples WHERE sub = obj AND kind = 'iri'"
 Q["project"] = f"""SELECT a.obj AS product, b.obj AS vendor FROM triples a {_j("b", "a.sub", "shop:vendor")}
 WHERE a.pred = 'shop:product'"""
 
@@ -41,8 +41,8 @@ Q["filter_bound"] = f"""SELECT l.sub AS p, l.obj AS label, t.obj AS t4 FROM trip
 {_j("t", "l.sub", "shop:productPropertyTextual4")} WHERE l.pred = 'rdfs:label'"""
 Q["filter_regex"] = f"SELECT * FROM ({_LABELS}) x WHERE regexp_matches(label, '^(red|blue) [a-z]+$')"
 Q["filter_like"] = f"SELECT * FROM ({_LABELS}) x WHERE label LIKE '%gear%'"
-Q["filter_var_eq"] = f"""SELECT a.sub AS offer, a.obj AS v FROM triples a
-JOIN triples b ON b.sub = a.sub AND b.pred = 'dc:publisher' AND b.obj = a.obj WHERE a.pred = 'shop:vendor'"""
+Q["filter_var_eq"] = f"""SELECT a.sub AS offer, a.obj AS v, b.obj AS pub FROM triples a
+JOIN triples b ON b.sub = a.sub AND b.pred = 'dc:publisher' AND b.obj = a.obj AND b.kind = a.kind WHERE a.pred = 'shop:vendor'"""
 Q["param_query"] = f"""SELECT l.sub AS product, l.obj AS label FROM triples l
 JOIN triples t ON t.sub = l.sub AND t.pred = 'rdf:type' AND t.obj = 'type/PROMO' AND t.kind = 'iri'
 JOIN triples f ON f.sub = l.sub AND f.pred = 'shop:productFeature' AND f.obj = 'feature/cold' AND f.kind = 'iri'
@@ -214,7 +214,7 @@ SELECT node, max(depth) AS depth FROM lv GROUP BY node"""
 # ---------------------------------------------------------------- query forms
 Q["describe"] = """SELECT sub, pred, obj FROM triples WHERE sub IN (
   SELECT sub FROM triples WHERE pred = 'rdf:type' AND obj = 'type/PROMO' AND kind = 'iri')"""
-Q["construct"] = f"""SELECT DISTINCT sub, pred, obj FROM (
+Q["construct"] = f"""SELECT DISTINCT sub, pred, obj, 'iri' AS kind, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS VARCHAR) AS lang FROM (
   SELECT a.sub AS sub, 'export:vendorCountry' AS pred, c.obj AS obj FROM triples a {_j("c", "a.obj", "shop:country")}
   WHERE a.pred = 'shop:vendor'
   UNION ALL

@@ -29,6 +29,7 @@ class TripleStore:
         self._table = table
         self._key_types: dict[int, object] = {}
         self._scans: dict = {}
+        self._unique: dict = {}
 
     @classmethod
     def from_branches(cls, parts: Iterable) -> TripleStore:
@@ -58,9 +59,25 @@ class TripleStore:
             return list(self._branches)
         return [r[0] for r in self._table.select("pred").distinct().collect()]
 
-    @staticmethod
-    def _frame(b) -> DataFrame:
-        return b.source.where(b.present).select(*b.cols())
+    def unique(self, b) -> bool:
+        """Whether the subject key of a branch's source is unique there: counted once for each
+        source and key (a job over the key columns alone) and kept with the store."""
+        if b.sub_key is None:
+            return False
+        keys = b.sub_key.parts or (b.sub_key.key,)
+        at = id(b.source), str(keys)
+        if at not in self._unique:
+            twice = b.source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+            self._unique[at] = twice.isEmpty()
+        return self._unique[at]
+
+    def _is_set(self, branches) -> bool:
+        """No triple comes twice: one row for each key, or a source that is distinct by itself."""
+        return all(not b.functional or self.unique(b) for b in branches)
+
+    def _frame(self, b) -> DataFrame:
+        out = b.source.where(b.present).select(*b.cols())
+        return out if self._is_set([b]) else out.distinct()
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], TRIPLE_SCHEMA)
@@ -79,15 +96,35 @@ class TripleStore:
         """The whole triple table."""
         if self._table is not None:
             return self._table
-        # one scan per source entity: explode an array with one struct per predicate
+        return self.only(list(self._branches))
+
+    def only(self, preds) -> DataFrame:
+        """The triples of some predicates, one scan for each source."""
+        if self._table is not None:
+            return self._table.where(F.col("pred").isin(list(preds)))
         by_source: OrderedDict[int, list] = OrderedDict()
-        for parts in self._branches.values():
-            for p in parts:
-                by_source.setdefault(id(p.source), []).append(p)
+        for p in preds:
+            for b in self._branches.get(p, []):
+                by_source.setdefault(id(b.source), []).append(b)
         frames = []
         for group in by_source.values():
-            frames.append(_explode(group[0].source, group))
-        return reduce(DataFrame.union, frames)
+            out = self._frame(group[0]) if len(group) == 1 else _explode(group[0].source, group)
+            frames.append(out if self._is_set(group) else out.distinct())
+        return reduce(DataFrame.union, frames) if frames else self._empty()
+
+    def predicates_of(self, patterns) -> set[str]:
+        """Predicates that some patterns, joined, can match: named ones, and for a variable those of
+        the sources that its subject and object can come from."""
+        from spogrid.operators.patterns import _allowed_for, _pattern_consts, var_prefixes
+
+        if self._branches is None:
+            named = {p for _, p, _ in patterns if not p.startswith(("?", "_:"))}
+            return named if len(named) == len(patterns) else set(self.predicates())
+        allowed = var_prefixes(self, patterns)
+        found = set()
+        for pat in patterns:
+            found |= {b.pred for b, _ in self.candidates(*_pattern_consts(pat), *_allowed_for(pat, allowed))}
+        return found
 
     # ------------------------------------------------------------ pattern access
     def _key_cond(self, b, keyed, const: str) -> F.Column | None:
@@ -99,10 +136,10 @@ class TripleStore:
         if keyed.parts:
             # composite key: one pushable filter per part
             pieces = rest.split(keyed.sep)
-            if len(pieces) != len(keyed.parts):
-                return None
+            if len(pieces) != len(keyed.parts):  # a part is missing, or holds the separator
+                return keyed.key == F.lit(rest)
             conds = [c == F.lit(v).try_cast(self._type(b, c)) for c, v in zip(keyed.parts, pieces)]
-            return reduce(lambda x, y: x & y, conds)
+            return reduce(lambda x, y: x & y, conds, keyed.key == F.lit(rest))
         return keyed.key == F.lit(rest).try_cast(self._type(b, keyed.key))
 
     def _type(self, b, col):
@@ -199,10 +236,8 @@ class TripleStore:
             src = bs[0].source.where(reduce(lambda x, y: x & y, conds)) if conds else bs[0].source
             if sub_in is not None:
                 src = restrict(src, bs[0].sub, sub_in)
-            if len(bs) == 1:
-                frames.append(src.where(bs[0].present).select(*bs[0].cols()))
-            else:
-                frames.append(_explode(src, bs))
+            out = src.where(bs[0].present).select(*bs[0].cols()) if len(bs) == 1 else _explode(src, bs)
+            frames.append(out if self._is_set(bs) else out.distinct())
         if not frames:
             return self._empty()
         return reduce(DataFrame.union, frames)

@@ -1,9 +1,9 @@
 from pyspark.sql import functions as F
 
 from spogrid.operators.paths import alt, closure, inv, levels, path, seq
-from spogrid.operators.updates import construct, delete_where, describe, insert_data
-from spogrid.functions.terms import TRIPLE_SCHEMA
-from spogrid.streaming.updates import UPDATE_SCHEMA, apply_batch, apply_update_stream, version_path
+from spogrid.functions.terms import TRIPLE_SCHEMA, Lit
+from spogrid.operators.updates import construct, delete_data, delete_where, describe, insert_data
+from spogrid.streaming.updates import UPDATE_SCHEMA, apply_batch, apply_update_stream, base_path, compact, current
 from tests.conftest import rows
 
 
@@ -67,11 +67,44 @@ def test_stream_equals_batch(spark, graph, tmp_path):
     )
     batch = apply_batch(graph, tx)
     root = str(tmp_path)
-    graph.write.parquet(version_path(f"{root}/store", None))
+    graph.write.parquet(base_path(f"{root}/store"))
     for n in (1, 2, 3):
         tx.where(F.col("txn") == n).write.mode("append").parquet(f"{root}/in")
-    last = apply_update_stream(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt", files_per_batch=1)
-    streamed = spark.read.schema(TRIPLE_SCHEMA).parquet(version_path(f"{root}/store", last))
+    apply_update_stream(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt", files_per_batch=1)
+    streamed = current(spark, f"{root}/store")
     assert rows(streamed, "sub", "pred", "obj") == rows(batch, "sub", "pred", "obj")
     got = rows(streamed, "sub", "pred", "obj")
     assert ("a/1", "ex:p", "b/1") in got and ("a/2", "ex:p", "b/2") not in got
+
+
+def test_late_transactions_lose(spark, graph, tmp_path):
+    t = lambda op, n: ("a/1", "ex:p", "b/1", "iri", None, None, None, None, op, n)
+    root = str(tmp_path)
+    graph.write.parquet(base_path(f"{root}/store"))
+    for k, row in enumerate([t("insert", 1), t("delete", 5), t("insert", 3)]):
+        _tx(spark, [row]).coalesce(1).write.parquet(f"{root}/in/{k}")
+    for k in range(3):  # one batch each, the late one last
+        apply_update_stream(spark, f"{root}/in/{k}", f"{root}/s{k}", f"{root}/ckpt{k}")
+        spark.read.parquet(f"{root}/s{k}/delta/epoch=0").write.mode("overwrite").parquet(f"{root}/store/delta/epoch={k}")
+    assert current(spark, f"{root}/store").where("sub = 'a/1'").count() == 0
+    compact(spark, f"{root}/store", f"{root}/packed")
+    _tx(spark, [t("insert", 4)]).write.parquet(f"{root}/packed/delta/epoch=9")
+    assert current(spark, f"{root}/packed").where("sub = 'a/1'").count() == 0
+    _tx(spark, [t("insert", 6)]).write.parquet(f"{root}/packed/delta/epoch=10")
+    assert current(spark, f"{root}/packed").where("sub = 'a/1'").count() == 1
+
+
+def test_updates_compare_whole_terms(spark):
+    row = lambda obj, kind, dt, lang: ("a", "p", obj, kind, dt, lang, None, None)
+    frame = lambda *r: spark.createDataFrame(list(r), TRIPLE_SCHEMA)
+    fr, en, plain, typed, iri = row("chat", "lit", None, "fr"), row("chat", "lit", None, "en"), row("chat", "lit", None, None), row("chat", "lit", "xsd:string", None), row("chat", "iri", None, None)
+    store = frame(fr)
+    assert insert_data(store, frame(en)).count() == 2
+    assert insert_data(store, frame(row("chat", "lit", None, "FR"))).count() == 1
+    assert insert_data(frame(plain), frame(typed, typed, iri)).count() == 2
+    assert delete_data(store, frame(en)).count() == 1 and delete_data(store, frame(fr)).count() == 0
+    both = frame(fr, en, plain, iri)
+    left = delete_where(both, [("?s", "p", Lit("chat"))]).collect()
+    assert sorted((r["kind"], r["lang"] or "") for r in left) == [("iri", ""), ("lit", "en"), ("lit", "fr")]
+    left = delete_where(both, [("?s", "p", Lit("chat", lang="en"))]).collect()
+    assert len(left) == 3 and not [r for r in left if r["lang"] == "en"]
