@@ -134,8 +134,33 @@ def _replace_all(c: Column, pairs) -> Column:
 
 # escaped backslashes are protected first, so an escaped backslash followed by
 # 'n' stays a backslash and an 'n'
-_UNESCAPE = [("\\\\", "\u0000"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\u0000", "\\")]
-_ESCAPE = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
+_PROTECT = [("\\\\", "\u0000")]
+_UNESCAPE = [('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\u0000", "\\")]
+_ESCAPE = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
+
+
+def unescape(c: Column) -> Column:
+    """Text without N-Triples escapes: the short ones, ``\\uXXXX`` and ``\\UXXXXXXXX``."""
+    # most texts have no escape; the others are held in an array of one, so that
+    # each step sees a value and not an expression that grows with the steps
+    steps = F.element_at(F.transform(F.array(c), _unescape), 1)
+    return F.when(F.contains(c, F.lit("\\")), steps).otherwise(c)
+
+
+def _unescape(c: Column) -> Column:
+    c = _replace_all(c, _PROTECT)
+    for mark, size, charset in (("\\u", 4, "UTF-16BE"), ("\\U", 8, "UTF-32")):
+        c = _decode_codes(c, mark, size, charset)
+    return _replace_all(c, _UNESCAPE)
+
+
+def _decode_codes(c: Column, mark: str, size: int, charset: str) -> Column:
+    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(f"\\{mark}([0-9A-Fa-f]{{{size}}})"), 1))
+
+    def put(text: Column, code: Column) -> Column:
+        return F.replace(text, F.concat(F.lit(mark), code), F.decode(F.unhex(code), charset))
+
+    return F.aggregate(codes, c, put)
 
 
 def parse_term(text: Column) -> Column:
@@ -157,9 +182,9 @@ def parse_term(text: Column) -> Column:
     lang_tag = F.regexp_extract(suffix, r"^@([A-Za-z0-9-]+)$", 1)
     is_lit = ~is_iri & ~is_bnode
     value = (
-        F.when(is_iri, F.substr(t, F.lit(2), n - F.lit(2)))
+        F.when(is_iri, unescape(F.substr(t, F.lit(2), n - F.lit(2))))
         .when(is_bnode, t)
-        .otherwise(_replace_all(body, _UNESCAPE))
+        .otherwise(unescape(body))
     )
     kind = F.when(is_iri, F.lit("iri")).when(is_bnode, F.lit("bnode")).otherwise(F.lit("lit"))
     dt = F.when(is_lit & (dt_iri != ""), shorten(dt_iri)).when(is_lit & (lang_tag == ""), F.lit("xsd:string"))

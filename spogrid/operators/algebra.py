@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spogrid.operators.patterns import _RIGHT, natural_join, renamed, same_term, shared_vars, variables
+from spogrid.session import materialize
 
 
 def _drop_dup_aux(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -159,14 +160,32 @@ def interval_lookup(ids: DataFrame, bounds: DataFrame, order: str, size: str, id
     """Owner of each id: the first owner (in ``order``) whose cumulative upper bound
     (running sum of ``size``) is >= id; ids past the last bound get NULL.
 
-    ``bounds`` has one row per owner.  The running sum is a window over that
-    owner table; the lookup is a range join ``lo < id <= hi`` whose build side
-    is the owner table.
+    Both the running sum and the lookup go by range partitions, so neither needs all
+    rows in one task or a join on a range alone.  Owners are
+    dealt by ``order`` and summed within a partition, upon the totals of those before it.  Then ids and
+    bounds are dealt together by value and sorted: the owner of an id is that of the next
+    bound, in its partition or else the first bound of a later one.  What crosses
+    partitions is one row for each of them.  A null id has no owner.
     """
-    from pyspark.sql import Window
-
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = bounds.select(F.col(order).alias("owner"), F.sum(size).over(w).alias("hi"))
-    b = b.withColumn("lo", F.lag("hi").over(Window.orderBy("owner")))
-    cond = (F.col("lo").isNull() | (F.col(id_col) > F.col("lo"))) & (F.col(id_col) <= F.col("hi"))
-    return ids.join(b, cond, "left").select(id_col, "owner")
+    w_order = Window.partitionBy("part").orderBy("owner")
+    dealt = bounds.select(F.col(order).alias("owner"), F.col(size).alias("n")).repartitionByRange("owner")
+    dealt = materialize(dealt.withColumn("part", F.spark_partition_id()), "owners")
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("n"))
+    sums = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    running = dealt.withColumn("hi", F.sum("n").over(w_order.rowsBetween(Window.unboundedPreceding, 0))).join(sums, "part")
+    his = running.select((F.col("base") + F.col("hi")).alias("v"), F.lit(True).alias("bound"), "owner", F.lit(None).alias("id"))
+
+    # an id goes before a bound of its own value; of bounds with one value the first owner's counts
+    both = ids.select(F.col(id_col).alias("v"), F.lit(False).alias("bound"), F.lit(None).alias("owner"), F.col(id_col).alias("id"))
+    both = both.where("v IS NOT NULL").unionByName(his).repartitionByRange("v")
+    both = materialize(both.withColumn("part", F.spark_partition_id()), "intervals")
+    firsts = both.where("bound").groupBy("part").agg(F.min(F.struct("v", "owner")).alias("f"))
+    parts = both.select("part").distinct().join(firsts, "part", "left")
+    later = F.first("f", ignorenulls=True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing))
+    parts = parts.select("part", later.alias("later"))
+    w = Window.partitionBy("part").orderBy("v", "bound", "owner").rowsBetween(0, Window.unboundedFollowing)
+    here = F.first(F.when(F.col("bound"), F.struct("owner")), ignorenulls=True).over(w)
+    found = both.withColumn("here", here).where("NOT bound").join(parts, "part")
+    out = found.select(F.col("id").alias(id_col), F.coalesce("here.owner", "later.owner").alias("owner"))
+    missing = ids.where(F.col(id_col).isNull()).select(id_col, F.lit(None).cast(out.schema["owner"].dataType).alias("owner"))
+    return out.unionByName(missing)

@@ -29,7 +29,10 @@ RELATIONS = ("SS", "OS", "SO")
 
 
 def predicates(triples) -> DataFrame:
-    """Distinct predicates."""
+    """Distinct predicates.  Of a store over entities, those with a row: a predicate is asked for its
+    first triple only, so no column is read that its presence does not need."""
+    if isinstance(triples, TripleStore) and triples.virtual:
+        return triples.present_predicates()
     return as_frame(triples).select("pred").distinct()
 
 
@@ -40,7 +43,7 @@ def _index(t: DataFrame, position: str) -> DataFrame:
 
 def related_predicates(triples, rel: str) -> DataFrame:
     """Pairs ``(p1, p2)`` with a non-empty ``rel`` reduction."""
-    return reduction_rows(triples, [rel]).select("p1", "p2").distinct()
+    return reduction_counts(triples, [rel]).select("p1", "p2")
 
 
 def reduction_rows(triples, rels: Sequence[str] = RELATIONS) -> DataFrame:
@@ -68,7 +71,7 @@ def reduction_rows(triples, rels: Sequence[str] = RELATIONS) -> DataFrame:
 
 
 def vp_sizes(triples) -> DataFrame:
-    """``(pred, size)`` of each vertical partition."""
+    """``(pred, size)`` of each vertical partition (on a stored table the partition column alone is read)."""
     return as_frame(triples).groupBy("pred").agg(F.count(F.lit(1)).alias("size"))
 
 
@@ -145,42 +148,60 @@ def ratio2(size, whole):
 
 
 def bounded(stats: DataFrame, bound: float) -> DataFrame:
-    """Statistics with a ``stored`` flag: kept when size < vp_size x bound (strict)."""
-    return stats.withColumn("stored", F.col("size") < F.col("vp_size") * F.lit(bound))
+    """Statistics with the ``bound`` and a ``stored`` flag: kept when size < vp_size x bound (strict).
+    These travel together, so tables are chosen among those that were written."""
+    return stats.withColumns({"bound": F.lit(float(bound)), "stored": F.col("size") < F.col("vp_size") * F.lit(bound)})
 
 
-def reduction_summary(stats: DataFrame, triples, bound: float) -> DataFrame:
-    """Per relation: saved, non-empty but not saved, and empty tables.
+def statistics(triples, bound: float) -> DataFrame:
+    """Statistics of all reductions under one bound, written once: the explicit step before
+    summaries, table choice and writing."""
+    return materialize(bounded(reduction_stats(triples), bound), "reduction-stats")
+
+
+def _flagged(stats: DataFrame, bound: float | None) -> DataFrame:
+    if "stored" in stats.columns:
+        return stats
+    if bound is None:
+        raise ValueError("statistics without a bound: use bounded() or statistics()")
+    return bounded(stats, bound)
+
+
+def reduction_summary(stats: DataFrame, triples, bound: float | None = None) -> DataFrame:
+    """Per relation: saved, non-empty but not saved, and empty tables; a row for each of
+    the three relations, also when it has no table.
 
     The number of possible tables is n*(n-1) for SS and n*n for OS / SO
     (n = number of predicates).
     """
     n = predicates(triples).agg(F.count(F.lit(1))).scalar()
-    b = bounded(stats, bound)
-    per = b.groupBy("rel").agg(
+    b = _flagged(stats, bound).select("rel", "stored")
+    names = stats.sparkSession.createDataFrame([(r,) for r in RELATIONS], "rel string")
+    per = b.unionByName(names.withColumn("stored", F.lit(None).cast("boolean"))).groupBy("rel").agg(
         F.count(F.when(F.col("stored"), 1)).alias("saved"),
         F.count(F.when(~F.col("stored"), 1)).alias("unsaved_nonempty"),
-        F.count(F.lit(1)).alias("nonempty"),
+        F.count("stored").alias("nonempty"),
     )
     rels = per.withColumn("n", n)
     possible = F.when(F.col("rel") == "SS", F.col("n") * (F.col("n") - 1)).otherwise(F.col("n") * F.col("n"))
     return rels.select("rel", "saved", "unsaved_nonempty", (possible - F.col("nonempty")).alias("empty"))
 
 
-def storage(stats: DataFrame, bound: float) -> DataFrame:
+def storage(stats: DataFrame, bound: float | None = None) -> DataFrame:
     """Stored triples and number of tables below the bound, per relation."""
-    b = bounded(stats, bound).where(F.col("stored"))
+    b = _flagged(stats, bound).where(F.col("stored"))
     return b.groupBy("rel").agg(F.sum("size").alias("stored_triples"), F.count(F.lit(1)).alias("tables"))
 
 
-def kept_rows(triples, stats: DataFrame, bound: float) -> DataFrame:
+def kept_rows(triples, stats: DataFrame, bound: float | None = None) -> DataFrame:
     """Reduced rows of the kept tables only.
 
-    The kept ``(rel, p1, p2)`` list has at most (number of predicates)^2 rows
-    per relation, a proven bound, so it is broadcast; both join sides are cut
-    to the kept predicates before the join.
+    Both join sides are cut to the kept predicates before the join, and the
+    triples further to those whose value the index holds: a value that many
+    triples carry and no index row matches (a class) never reaches the shuffle.
+    Whether the kept list is broadcast is left to its size at run time.
     """
-    keep = F.broadcast(bounded(stats, bound).where(F.col("stored")).select("rel", "p1", "p2"))
+    keep = _flagged(stats, bound).where(F.col("stored")).select("rel", "p1", "p2")
     t = as_frame(triples)
     out = []
     for rel, pos_v, idx_pos in (("SS", "sub", "sub"), ("OS", "obj", "sub"), ("SO", "sub", "obj")):
@@ -189,6 +210,7 @@ def kept_rows(triples, stats: DataFrame, bound: float) -> DataFrame:
         if rel == "OS":
             left = left.where(F.col("kind") == "iri")
         idx = _index(t, idx_pos).join(k.select("p2").distinct(), "p2", "left_semi")
+        left = left.join(idx.select(F.col("v").alias("__v")).distinct(), left[pos_v] == F.col("__v"), "left_semi")
         j = left.join(idx, left[pos_v] == idx["v"]).withColumn("rel", F.lit(rel))
         j = j.join(k, (j["rel"] == k["rel"]) & (j["pred"] == k["p1"]) & (j["p2"] == k["p2"]), "left_semi")
         out.append(j.select("rel", F.col("pred").alias("p1"), "p2", "sub", "obj", "kind", "dt", "lang", "num", "ts"))
@@ -198,11 +220,12 @@ def kept_rows(triples, stats: DataFrame, bound: float) -> DataFrame:
     return res
 
 
-def write_reductions(triples, stats: DataFrame, bound: float, path: str, mode: str = "overwrite") -> None:
+def write_reductions(triples, stats: DataFrame, bound: float | None, path: str, mode: str = "overwrite") -> None:
     """Write only the kept reductions, partitioned by ``(rel, p1, p2)``; no table
-    list passes through the driver."""
+    list passes through the driver.  The rebalance makes files of the advisory size: small tables share a
+    task, large ones are split."""
     kept = kept_rows(triples, stats, bound)
-    kept.repartition("rel", "p1", "p2", "sub").write.mode(mode).partitionBy("rel", "p1", "p2").parquet(path)
+    kept.hint("rebalance", "rel", "p1", "p2").write.mode(mode).partitionBy("rel", "p1", "p2").parquet(path)
 
 
 # ------------------------------------------------------------------ table choice
@@ -226,13 +249,13 @@ def _candidate_pairs(patterns: Sequence[tuple]) -> list[tuple[int, str, str, str
     return out
 
 
-def choose_tables(spark, patterns: Sequence[tuple], stats: DataFrame, bound: float = 1.0) -> DataFrame:
+def choose_tables(spark, patterns: Sequence[tuple], stats: DataFrame, bound: float | None = None) -> DataFrame:
     """Smallest stored table per pattern: ``(idx, rel, p1, p2, size)``; VP when no
     reduction applies (``rel`` = 'VP').  Ties keep the earlier candidate."""
     cands = _candidate_pairs(patterns)
     schema = "idx int, cand int, rel string, p1 string, p2 string"
     cdf = spark.createDataFrame([(i, k, r, a, b) for k, (i, r, a, b) in enumerate(cands)], schema)
-    st = bounded(stats, bound).where(F.col("stored")).select("rel", "p1", "p2", "size")
+    st = _flagged(stats, bound).where(F.col("stored")).select("rel", "p1", "p2", "size")
     scored = cdf.join(st, ["rel", "p1", "p2"])
     vp_rows = [(i, -1, "VP", p, None) for i, (_, p, _) in enumerate(patterns) if not _is_variable(p)]
     vp = spark.createDataFrame(vp_rows, schema).join(

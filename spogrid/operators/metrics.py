@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spogrid.session import materialize
+
 R = 6
 
 # The explore query mix, query number per mix position.
@@ -118,13 +120,17 @@ def mix_lookup(spark, positions: DataFrame, pos_col: str = "position") -> DataFr
 
 
 def positions(df: DataFrame, col: str = "pos") -> DataFrame:
-    """Rows of an ordered DataFrame with their 0-based position.
-
-    ``zipWithIndex`` counts rows per partition first, so positions are
-    assigned in parallel without moving the rows to one task.
-    """
-    schema = df.schema.add(col, "long")
-    return df.rdd.zipWithIndex().map(lambda rv: (*rv[0], rv[1])).toDF(schema)
+    """Rows of an ordered DataFrame with their 0-based position, without moving rows to one
+    task: the rows are numbered within their partitions and written so, and the
+    partitions' sizes (one row for each) say where each begins."""
+    number = F.monotonically_increasing_id()  # partition above, row below
+    numbered = materialize(df.select("*", number.alias("__id")), "ordered")
+    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = numbered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__base"))
+    out = numbered.withColumn("__part", part).join(sizes, "__part")
+    return out.withColumn(col, F.col("__base") + row).drop("__part", "__base", "__id")
 
 
 def ordered_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:

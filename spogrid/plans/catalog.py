@@ -37,12 +37,14 @@ def queries() -> dict[str, Query]:
     for i in range(1, 9):
         q[f"bi{i}"] = on_triples(getattr(bi, f"bi{i}"))
     for k in STORAGE_KEYS:
-        q[k] = on_triples(getattr(storage, k))
+        q[k] = on_tables(getattr(storage, k))
     for k in UNIT_KEYS:
         q[k] = on_triples(getattr(units, {"describe": "describe_q", "construct": "construct_q"}.get(k, k)))
-    q["interval_lookup"] = on_tables(units.interval_lookup)
-    for k in ("triplify", "ntriples_parse", "tsv_read", "literal_parse", "typed_objects", "ntriples_format",
-              "property_table"):
+    for k in ("interval_lookup", "ordered_diff"):
+        q[k] = on_tables(getattr(units, k))
+    for k in ("ntriples_parse", "tsv_read"):
+        q[k] = on_tables(getattr(graph_io, k))
+    for k in ("triplify", "literal_parse", "typed_objects", "ntriples_format", "property_table", "property_bridge"):
         q[k] = on_triples(getattr(graph_io, k))
     q["sql_views"] = on_triples(graph_io.sql_views)
     q["insert_data"] = on_triples(graph_io.insert_data_q)
@@ -62,7 +64,7 @@ def queries() -> dict[str, Query]:
 
 
 UNIT_KEYS = (
-    "tp_predicate tp_subject tp_object tp_var_predicate tp_blank tp_repeat_var project "
+    "tp_predicate tp_subject tp_object tp_var_predicate tp_review tp_blank tp_repeat_var project "
     "filter_compare filter_logic filter_bound filter_regex filter_like filter_var_eq param_query "
     "bgp_star bgp_chain bgp_snowflake group_join join_unbound sequence_join optional optional_filter "
     "optional_nested optional_disjoint semi_join anti_join anti_optional band_join theta_join self_join "

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spogrid.functions.terms import TRIPLE_COLUMNS, format_term, parse_term, shorten, typed_value_columns
+from spogrid.functions.terms import format_term, parse_term, shorten, typed_value_columns
 from spogrid.operators.patterns import bgp
 from spogrid.operators.updates import delete_where, describe_where, insert_data, insert_graph
+from spogrid.session import shared_folder
 from spogrid.sources import quads as Q
 from spogrid.sources import textio
 from spogrid.sources.store import as_frame
@@ -23,17 +22,6 @@ PRODUCT_COLUMNS = {
 }
 
 
-def _round_trip(tr, line_fn, parse_df) -> DataFrame:
-    """Format each triple as a line, parse the line back in the same row, and
-    count per predicate the rows that come back identical."""
-    orig = as_frame(tr).select(*[F.col(c).alias("o_" + c) for c in TRIPLE_COLUMNS], line_fn().alias("__line"))
-    parsed = parse_df(orig, "__line")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("o_" + c)) for c in TRIPLE_COLUMNS])
-    return parsed.groupBy(F.col("o_pred").alias("pred")).agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(same, 1)).alias("same")
-    )
-
-
 def triplify(tr) -> DataFrame:
     """The triple table by predicate: size, distinct subjects, smallest and largest object."""
     return as_frame(tr).groupBy("pred").agg(
@@ -44,13 +32,27 @@ def triplify(tr) -> DataFrame:
     )
 
 
-def ntriples_parse(tr) -> DataFrame:
-    """Format every triple as an N-Triples line, parse it back, count exact round trips."""
-    return _round_trip(tr, textio.ntriples_line, textio.with_parsed_line)
+def _read_summary(triples: DataFrame) -> DataFrame:
+    """What was read, by predicate and kind of object."""
+    return triples.groupBy("pred", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("sub").alias("n_sub"), F.min("obj").alias("min_obj"), F.max("obj").alias("max_obj"),
+        F.sum(F.length("obj")).alias("n_chars"), F.count("lang").alias("n_lang"), F.min("dt").alias("dt"),
+        F.min("num").alias("min_num"), F.max("num").alias("max_num"), F.max("ts").alias("max_ts"),
+    )
 
 
-def tsv_read(tr) -> DataFrame:
-    return _round_trip(tr, textio.tsv_line, textio.with_parsed_tsv)
+def ntriples_parse(t) -> DataFrame:
+    """Write the whole store as N-Triples files, read the files, summarize the triples read."""
+    path = shared_folder(t.spark, "ntriples")
+    textio.write_ntriples(t.store, path)
+    return _read_summary(textio.read_ntriples(t.spark, path))
+
+
+def tsv_read(t) -> DataFrame:
+    """The same with tab-separated files."""
+    path = shared_folder(t.spark, "tsv")
+    textio.write_tsv(t.store, path)
+    return _read_summary(textio.read_tsv(t.spark, path))
 
 
 def literal_parse(tr) -> DataFrame:
@@ -100,6 +102,11 @@ def property_table(tr) -> DataFrame:
     return Q.property_table(tr, PRODUCT_COLUMNS)
 
 
+def property_bridge(tr) -> DataFrame:
+    """Values of the multi-valued ones among some predicates."""
+    return Q.property_tables(tr, PRODUCT_COLUMNS | {"feature": "shop:productFeature", "class": "rdf:type"})[1]
+
+
 def _counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys, "pred").agg(F.count(F.lit(1)).alias("n"))
 

@@ -26,7 +26,9 @@ _LINE = f"'<' || {_expand('sub')} || '> <' || {_expand('pred')} || '> ' || {_OBJ
 
 Q["triplify"] = """SELECT pred, count(*) AS n, count(DISTINCT sub) AS n_sub, min(obj) AS min_obj, max(obj) AS max_obj
 FROM triples GROUP BY pred"""
-Q["ntriples_parse"] = "SELECT pred, count(*) AS n, count(*) AS same FROM triples GROUP BY pred"
+Q["ntriples_parse"] = """SELECT pred, kind, count(*) AS n, count(DISTINCT sub) AS n_sub, min(obj) AS min_obj, max(obj) AS max_obj,
+  sum(length(obj)) AS n_chars, count(lang) AS n_lang, min(dt) AS dt, min(num) AS min_num, max(num) AS max_num, max(ts) AS max_ts
+FROM triples GROUP BY pred, kind"""
 Q["tsv_read"] = Q["ntriples_parse"]
 Q["literal_parse"] = "SELECT kind, dt, lang, count(*) AS n, count(*) AS same FROM triples GROUP BY kind, dt, lang"
 Q["typed_objects"] = """SELECT pred, count(*) AS n, count(num) AS n_num, count(ts) AS n_ts, min(num) AS min_num,
@@ -55,6 +57,8 @@ Q["property_table"] = """SELECT sub,
   min(obj) FILTER (WHERE pred = 'shop:productPropertyTextual4') AS tex4
 FROM triples WHERE pred IN ('rdfs:label', 'shop:productPropertyNumeric1', 'shop:productPropertyNumeric2',
   'shop:productPropertyNumeric4', 'shop:productPropertyTextual4') GROUP BY sub"""
+Q["property_bridge"] = """SELECT sub, CASE pred WHEN 'rdf:type' THEN 'class' ELSE 'feature' END AS property, obj AS value
+FROM triples WHERE pred IN ('rdf:type', 'shop:productFeature')"""
 Q["insert_data"] = """WITH new AS (
   SELECT obj AS sub, 'shop:hasReview' AS pred, sub AS obj FROM triples WHERE pred = 'shop:reviewFor'
   UNION ALL SELECT sub, pred, obj FROM triples WHERE pred = 'rdfs:label'),

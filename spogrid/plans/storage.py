@@ -1,4 +1,9 @@
-"""Storage-layer queries: triple table, vertical partitions, reductions, statistics."""
+"""Storage-layer queries: triple table, vertical partitions, reductions, statistics.
+
+They read the stored layouts: the triple table partitioned by predicate, the
+reductions' statistics and the kept reductions, each written to the shared
+folder by the first query of a session that needs it.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,6 @@ from pyspark.sql import functions as F
 
 from spogrid.operators import extvp
 from spogrid.operators.patterns import bgp
-from spogrid.sources.store import as_frame
-
-BOUND = 0.25
 
 # a BGP used to exercise table choice: reviews, their product's label and a sparse rating
 CHOICE_BGP = [
@@ -21,82 +23,76 @@ CHOICE_BGP = [
 EMPTY_BGP = [("?x", "shop:price", "?p"), ("?x", "foaf:name", "?n")]
 
 
-def tt_count(tr) -> DataFrame:
-    """Size of the triple table, by kind of object."""
-    return as_frame(tr).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+def tt_count(t) -> DataFrame:
+    """Size of the stored triple table, by kind of object."""
+    return t.stored.all.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def predicates(tr) -> DataFrame:
-    return extvp.predicates(tr)
+def predicates(t) -> DataFrame:
+    return extvp.predicates(t.store)
 
 
-def vp_sizes(tr) -> DataFrame:
-    return extvp.vp_sizes(tr)
+def vp_sizes(t) -> DataFrame:
+    return extvp.vp_sizes(t.stored)
 
 
-def related_predicates(tr) -> DataFrame:
-    return extvp.related_predicates(tr, "SS")
+def related_predicates(t) -> DataFrame:
+    return extvp.related_predicates(t.stored, "SS")
 
 
-def _rel_sizes(tr, rel: str) -> DataFrame:
-    rows = extvp.reduction_rows(tr, [rel])
-    return rows.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("size"))
+def _rel_sizes(t, rel: str) -> DataFrame:
+    return extvp.reduction_counts(t.stored, [rel]).select("p1", "p2", "size")
 
 
-def extvp_ss(tr) -> DataFrame:
-    return _rel_sizes(tr, "SS")
+def extvp_ss(t) -> DataFrame:
+    return _rel_sizes(t, "SS")
 
 
-def extvp_os(tr) -> DataFrame:
-    return _rel_sizes(tr, "OS")
+def extvp_os(t) -> DataFrame:
+    return _rel_sizes(t, "OS")
 
 
-def extvp_so(tr) -> DataFrame:
-    return _rel_sizes(tr, "SO")
+def extvp_so(t) -> DataFrame:
+    return _rel_sizes(t, "SO")
 
 
-def extvp_stats(tr) -> DataFrame:
-    return extvp.reduction_stats(tr)
+def extvp_stats(t) -> DataFrame:
+    return t.reduction_stats.drop("bound", "stored")
 
 
-def extvp_bounded(tr) -> DataFrame:
-    return extvp.bounded(extvp.reduction_stats(tr), BOUND).select("rel", "p1", "p2", "size", "stored")
+def extvp_bounded(t) -> DataFrame:
+    return t.reduction_stats.select("rel", "p1", "p2", "size", "stored")
 
 
-def extvp_summary(tr) -> DataFrame:
-    return extvp.reduction_summary(extvp.reduction_stats(tr), tr, BOUND)
+def extvp_summary(t) -> DataFrame:
+    return extvp.reduction_summary(t.reduction_stats, t.stored)
 
 
-def extvp_storage(tr) -> DataFrame:
-    return extvp.storage(extvp.reduction_stats(tr), BOUND)
+def extvp_storage(t) -> DataFrame:
+    return extvp.storage(t.reduction_stats)
 
 
-def extvp_rows(tr) -> DataFrame:
-    """Rows of one kept reduction: labels of products that have a fourth text property."""
-    rows = extvp.reduction_rows(tr, ["SS"])
-    t = extvp.reduced_store(rows)("SS", "rdfs:label", "shop:productPropertyTextual4")
-    return t.select("sub", "obj")
+def extvp_rows(t) -> DataFrame:
+    """Every kept reduction as it was written: rows, subjects, and smallest and largest object."""
+    return t.reductions.groupBy("rel", "p1", "p2").agg(
+        F.count(F.lit(1)).alias("size"), F.countDistinct("sub").alias("n_sub"), F.min("obj").alias("min_obj"), F.max("obj").alias("max_obj")
+    )
 
 
-def choose_tables(tr) -> DataFrame:
-    spark = as_frame(tr).sparkSession
-    return extvp.choose_tables(spark, CHOICE_BGP, extvp.reduction_stats(tr), BOUND)
+def choose_tables(t) -> DataFrame:
+    return extvp.choose_tables(t.spark, CHOICE_BGP, t.reduction_stats)
 
 
-def empty_relation(tr) -> DataFrame:
-    spark = as_frame(tr).sparkSession
-    return extvp.empty_relations(spark, EMPTY_BGP, extvp.reduction_stats(tr))
+def empty_relation(t) -> DataFrame:
+    return extvp.empty_relations(t.spark, EMPTY_BGP, t.reduction_stats)
 
 
-def bgp_extvp(tr) -> DataFrame:
-    """The table-choice BGP answered from the chosen reduced tables.
+def bgp_extvp(t) -> DataFrame:
+    """The table-choice BGP answered from the chosen reduced tables, as they were written.
 
     The choice is one row per pattern (planning metadata, bounded by the
     pattern count) and is collected to build the plan; the data never is.
     """
-    stats = extvp.reduction_stats(tr)
-    spark = as_frame(tr).sparkSession
-    choice = extvp.choose_tables(spark, CHOICE_BGP, stats, BOUND).collect()
-    rows = extvp.reduction_rows(tr)
-    tables = extvp.bgp_tables(tr, rows, choice)
-    return bgp(tr, CHOICE_BGP, tables=tables).select("review", "product", "r4", "label", "t4")
+    choice = extvp.choose_tables(t.spark, CHOICE_BGP, t.reduction_stats).collect()
+    tables = extvp.bgp_tables(t.stored, t.reductions, choice)
+    return bgp(t.stored, CHOICE_BGP, tables=tables).select("review", "product", "r4", "label", "t4")

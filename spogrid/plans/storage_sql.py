@@ -33,26 +33,25 @@ _CHOICE = [
 ]
 
 
-def _cands(pats):
-    out = []
-    for i, (s1, p1, o1) in enumerate(pats):
-        for j, (s2, p2, o2) in enumerate(pats):
-            if i == j:
-                continue
-            if s1 == s2 and p1 != p2:
-                out.append((i, "SS", p1, p2))
-            if o1 == s2:
-                out.append((i, "OS", p1, p2))
-            if s1 == o2:
-                out.append((i, "SO", p1, p2))
-    return out
+# Pairs of patterns that share a variable, as (pattern, relation, its predicate, the other's).
+_CHOICE_PAIRS = [
+    (0, "SS", "shop:reviewFor", "shop:rating4"),
+    (0, "OS", "shop:reviewFor", "rdfs:label"),
+    (0, "OS", "shop:reviewFor", "shop:productPropertyTextual4"),
+    (1, "SS", "shop:rating4", "shop:reviewFor"),
+    (2, "SO", "rdfs:label", "shop:reviewFor"),
+    (2, "SS", "rdfs:label", "shop:productPropertyTextual4"),
+    (3, "SO", "shop:productPropertyTextual4", "shop:reviewFor"),
+    (3, "SS", "shop:productPropertyTextual4", "rdfs:label"),
+]
+_EMPTY_PAIRS = [(0, "SS", "shop:price", "foaf:name"), (1, "SS", "foaf:name", "shop:price")]
 
 
 def _values(rows):
     return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
 
 
-_C = _cands(_CHOICE)
+_C = _CHOICE_PAIRS
 CHOOSE = f"""
 WITH cand(cand, idx, rel, p1, p2) AS (VALUES {_values([(k,) + c for k, c in enumerate(_C)])}),
 scored AS (
@@ -64,7 +63,7 @@ SELECT idx, rel, p1, p2, size FROM (
   SELECT *, row_number() OVER (PARTITION BY idx ORDER BY size, cand) AS rn FROM scored) WHERE rn = 1
 """
 
-_E = _cands([("?x", "shop:price", "?p"), ("?x", "foaf:name", "?n")])
+_E = _EMPTY_PAIRS
 EMPTY = f"""
 SELECT c.idx, c.rel, c.p1, c.p2 FROM (VALUES {_values(_E)}) c(idx, rel, p1, p2)
 WHERE NOT EXISTS (SELECT 1 FROM stats s WHERE s.rel = c.rel AND s.p1 = c.p1 AND s.p2 = c.p2)
@@ -90,17 +89,17 @@ SQL = {
     "extvp_stats": _q("SELECT * FROM stats"),
     "extvp_bounded": _q("SELECT rel, p1, p2, size, stored FROM bstats"),
     "extvp_summary": _q(
-        """SELECT rel, count(*) FILTER (WHERE stored) AS saved, count(*) FILTER (WHERE NOT stored) AS unsaved_nonempty,
-       CASE WHEN rel = 'SS' THEN n * (n - 1) ELSE n * n END - count(*) AS empty
-FROM bstats, (SELECT count(DISTINCT pred) AS n FROM triples) np GROUP BY rel, n"""
+        """SELECT r.rel, count(*) FILTER (WHERE stored) AS saved, count(*) FILTER (WHERE NOT stored) AS unsaved_nonempty,
+       CASE WHEN r.rel = 'SS' THEN n * (n - 1) ELSE n * n END - count(stored) AS empty
+FROM (VALUES ('SS'), ('OS'), ('SO')) r(rel) CROSS JOIN (SELECT count(DISTINCT pred) AS n FROM triples) np
+LEFT JOIN bstats b ON b.rel = r.rel GROUP BY r.rel, n"""
     ),
     "extvp_storage": _q(
         "SELECT rel, sum(size) AS stored_triples, count(*) AS tables FROM bstats WHERE stored GROUP BY rel"
     ),
-    "extvp_rows": with_common(
-        """SELECT l.sub, l.obj FROM triples l
-WHERE l.pred = 'rdfs:label'
-  AND EXISTS (SELECT 1 FROM triples t WHERE t.sub = l.sub AND t.pred = 'shop:productPropertyTextual4')"""
+    "extvp_rows": _q(
+        """SELECT rel, p1, p2, count(*) AS size, count(DISTINCT sub) AS n_sub, min(obj) AS min_obj, max(obj) AS max_obj
+FROM red JOIN (SELECT rel, p1, p2 FROM bstats WHERE stored) k USING (rel, p1, p2) GROUP BY rel, p1, p2"""
     ),
     "choose_tables": _q(CHOOSE.replace("WITH cand", "WITH cand", 1)),
     "empty_relation": _q(EMPTY),

@@ -10,6 +10,7 @@ from spogrid.functions import terms as T
 from spogrid.functions.terms import Lit, num, ts
 from spogrid.operators import aggregates as A
 from spogrid.operators import algebra as G
+from spogrid.operators import metrics
 from spogrid.operators.paths import alt, closure, inv, levels, path, seq
 from spogrid.operators.patterns import assign, bgp, substitute, triple_pattern
 from spogrid.operators.updates import construct, describe_where
@@ -39,6 +40,14 @@ def tp_var_predicate(tr):
     return _vis(triple_pattern(tr, ("?s", "?p", "nation/7")))
 
 
+def tp_review(tr):
+    """All that is known of one review, and of what points to its reviewer: constants with composite keys."""
+    review = bgp(tr, [("?r", "shop:reviewFor", P10)]).agg(F.min("r")).first()[0]
+    about = _vis(triple_pattern(tr, (review, "?p", "?o"))).withColumn("s", F.lit(review))
+    reviewer = bgp(tr, [(review, "rev:reviewer", "?x")]).first()["x"]
+    return about.unionByName(_vis(triple_pattern(tr, ("?s", "?p", reviewer))).withColumn("o", F.lit(reviewer)))
+
+
 def tp_blank(tr):
     return _vis(bgp(tr, [("_:r", "shop:reviewFor", "?product"), ("_:r", "rev:reviewer", "?reviewer")]))
 
@@ -277,6 +286,15 @@ def interval_lookup(tables):
     return lookup(ids, bounds, order="owner", size="n")
 
 
+def ordered_diff(tables):
+    """Positions at which two ordered answers differ: product labels, and the same with rows changed and left out."""
+    p = tables.entities.product.select("nr", "label")
+    changed = p.where(F.col("nr") % 70 != 0).withColumn("label", F.when(F.col("nr") % 50 == 0, F.upper("label")).otherwise(F.col("label")))
+    diff = metrics.ordered_diff(p.orderBy("label", "nr"), changed.orderBy("label", "nr"))
+    cells = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("expected", "actual") for c in ("nr", "label")]
+    return diff.select("pos", *cells)
+
+
 # ---------------------------------------------------------------- aggregates
 def _reviews(tr):
     return bgp(tr, [("?review", "shop:reviewFor", "?product")])

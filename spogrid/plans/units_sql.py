@@ -27,6 +27,15 @@ Q["tp_var_predicate"] = "SELECT sub AS s, pred AS p FROM triples WHERE obj = 'na
 Q["tp_blank"] = f"""SELECT a.obj AS product, b.obj AS reviewer FROM triples a {_j("b", "a.sub", "rev:reviewer")}
 WHERE a.pred = 'shop:reviewFor'"""
 Q["tp_repeat_var"] = "SELECT sub AS x, pred AS p FROM triples WHERE sub = obj AND kind = 'iri'"
+Q["tp_review"] = """WITH r AS (SELECT min(sub) AS id FROM triples WHERE pred = 'shop:reviewFor' AND obj = 'product/10' AND kind = 'iri'),
+x AS (SELECT obj AS id FROM triples, r WHERE sub = r.id AND pred = 'rev:reviewer')
+SELECT sub AS s, pred AS p, obj AS o FROM triples, r WHERE sub = r.id
+UNION ALL SELECT sub, pred, obj FROM triples, x WHERE obj = x.id AND kind = 'iri'"""
+Q["ordered_diff"] = """WITH e AS (SELECT row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS pos, p_partkey AS nr, p_name AS label FROM part),
+a AS (SELECT row_number() OVER (ORDER BY label, nr) - 1 AS pos, nr, label FROM (
+  SELECT p_partkey AS nr, CASE WHEN p_partkey % 50 = 0 THEN upper(p_name) ELSE p_name END AS label FROM part WHERE p_partkey % 70 <> 0))
+SELECT pos, e.nr AS expected_nr, e.label AS expected_label, a.nr AS actual_nr, a.label AS actual_label FROM e FULL JOIN a USING (pos)
+WHERE e.nr IS DISTINCT FROM a.nr OR e.label IS DISTINCT FROM a.label"""
 Q["project"] = f"""SELECT a.obj AS product, b.obj AS vendor FROM triples a {_j("b", "a.sub", "shop:vendor")}
 WHERE a.pred = 'shop:product'"""
 

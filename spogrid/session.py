@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale; the cluster's own values win where set.
 _DEFAULTS = {
@@ -18,26 +23,36 @@ _DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
-    """Local session for tests and the bench; on a cluster use the given session."""
+    """Local session for tests and the bench.  A session that runs already is returned as it
+    is, and without ``master`` only settings that the cluster leaves open are made."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     builder = SparkSession.builder.appName("spogrid")
+    given = SparkConf()
+    settings = dict(_DEFAULTS)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.ui.enabled", "false")
-    builder = builder.config("spark.ui.showConsoleProgress", "false")
-    builder = builder.config("spark.driver.memory", os.environ.get("SPOGRID_DRIVER_MEM", "16g"))
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
+        settings |= {
+            "spark.sql.shuffle.partitions": str(shuffle_partitions),
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": os.environ.get("SPOGRID_DRIVER_MEM", "16g"),
+        }
+    for k, v in settings.items():
+        if not given.contains(k):
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we set one.
+    A local session (tests) without the setting gets a temporary folder, which
+    goes when Python ends.  On a cluster it is an error: a folder of one
+    machine is not seen by the others.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,18 +60,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = os.path.join("/tmp", "spogrid-checkpoints")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="spogrid-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
-def materialize(df, name: str):
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/spogrid-tables/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it
     back: later consumers share the result and the lineage is cut (this
     survives executor loss, unlike a cache)."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/spogrid-tables/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this session has written under the shared folder; no DataFrame over it is usable after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/spogrid-tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

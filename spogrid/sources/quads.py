@@ -2,7 +2,7 @@
 
 A quad DataFrame is the triple table plus a ``graph`` column.  Provenance
 describes each graph with triples about the graph itself; a property table
-turns one predicate per column (``groupBy(sub).pivot(pred)``).
+turns one predicate per column (``groupBy(sub).pivot(pred)``), multi-valued ones a bridge table.
 """
 
 from __future__ import annotations
@@ -51,10 +51,24 @@ def provenance(quads: DataFrame) -> DataFrame:
     return out.where(F.col("obj").isNotNull())
 
 
+def property_tables(triples, columns: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """One row per subject with one column per predicate (``{name: pred}``), and a
+    bridge table ``(sub, property, value)``: a predicate of which some subject has several
+    values is not a column but has all its values there."""
+    names = {p: n for n, p in columns.items()}
+    t = select_preds(triples, list(names)).select("sub", "pred", "obj")
+    # whether a predicate is multi-valued: one flag for each, decided from counts
+    counts = t.groupBy("sub", "pred").agg(F.count(F.lit(1)).alias("n"))
+    several = {r["pred"] for r in counts.where("n > 1").select("pred").distinct().collect()}
+    single = [p for p in names if p not in several]
+    wide = t.where(F.col("pred").isin(single)).groupBy("sub").pivot("pred", single).agg(F.min("obj")) if single else None
+    name = F.create_map(*[F.lit(x) for item in names.items() for x in item])
+    bridge = t.where(F.col("pred").isin(sorted(several))).select("sub", name[F.col("pred")].alias("property"), F.col("obj").alias("value"))
+    if wide is None:
+        return t.select("sub").distinct(), bridge
+    return wide.select("sub", *[F.col(f"`{p}`").alias(names[p]) for p in single]), bridge
+
+
 def property_table(triples, columns: Mapping[str, str]) -> DataFrame:
-    """One row per subject, one column per predicate (``{name: pred}``); a
-    multi-valued predicate keeps its smallest value."""
-    preds = list(columns.values())
-    t = select_preds(triples, preds)
-    wide = t.groupBy("sub").pivot("pred", preds).agg(F.min("obj"))
-    return wide.select("sub", *[F.col(f"`{p}`").alias(n) for n, p in columns.items()])
+    """The wide table of :func:`property_tables`."""
+    return property_tables(triples, columns)[0]

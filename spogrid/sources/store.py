@@ -112,6 +112,14 @@ class TripleStore:
             frames.append(out if self._is_set(group) else out.distinct())
         return reduce(DataFrame.union, frames) if frames else self._empty()
 
+    def present_predicates(self) -> DataFrame:
+        """Predicates that have a triple: one narrow existence test for each."""
+        parts = [
+            b.source.where(b.present).select(F.lit(p).alias("pred")).limit(1)
+            for p, branches in self._branches.items() for b in branches
+        ]
+        return reduce(DataFrame.union, parts).distinct()
+
     def predicates_of(self, patterns) -> set[str]:
         """Predicates that some patterns, joined, can match: named ones, and for a variable those of
         the sources that its subject and object can come from."""
@@ -283,20 +291,14 @@ def as_frame(triples) -> DataFrame:
 def write_triples(triples, path: str, mode: str = "overwrite") -> None:
     """Write the triple table partitioned by predicate (the VP layout).
 
-    Rows are range-partitioned on ``(pred, sub)``, so a hot predicate (say
-    ``rdf:type``, a third of all rows) spreads over many tasks instead of one,
-    and rows are sorted by subject so Parquet min/max statistics let a
+    Rows are rebalanced by predicate to tasks of the advisory partition size: a hot
+    predicate (say ``rdf:type``, a third of all rows) spreads over many tasks, and small ones
+    share one.  Rows are sorted by subject, so Parquet min/max statistics let a
     bound-subject lookup skip row groups.
     """
     df = as_frame(triples)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (
-        df.repartitionByRange(n, "pred", "sub")
-        .sortWithinPartitions("pred", "sub")
-        .write.mode(mode)
-        .partitionBy("pred")
-        .parquet(path)
-    )
+    df = df.hint("rebalance", "pred").sortWithinPartitions("pred", "sub")
+    df.write.mode(mode).partitionBy("pred").parquet(path)
 
 
 def load_triples(spark: SparkSession, path: str) -> TripleStore:
@@ -309,8 +311,12 @@ def register(spark: SparkSession, triples, name: str = "triples") -> None:
     """Make the triple table and one view per predicate queryable from SQL."""
     store = as_store(triples)
     store.all.createOrReplaceTempView(name)
+    views: dict[str, str] = {}
     for p in store.predicates():
-        store.vp(p).createOrReplaceTempView(f"{name}_vp_" + "".join(ch if ch.isalnum() else "_" for ch in p))
+        view = f"{name}_vp_" + "".join(ch if ch.isalnum() else "_" for ch in p)
+        if views.setdefault(view.lower(), p) != p:
+            raise ValueError(f"{views[view.lower()]} and {p} would both be the view {view}")
+        store.vp(p).createOrReplaceTempView(view)
 
 
 def select_preds(triples, preds) -> DataFrame:
