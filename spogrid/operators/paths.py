@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spogrid.operators.patterns import natural_join, triple_pattern
+from spogrid.operators.patterns import bgp, natural_join, triple_pattern
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,11 @@ def path(triples, s: str, expr, o: str) -> DataFrame:
         if isinstance(e, Inv):
             return tr(e.part, b, a)
         if isinstance(e, Seq):
+            if all(isinstance(x, str) or isinstance(x, Inv) and isinstance(x.part, str) for x in e.parts):
+                # plain steps are one graph pattern: its variables prune and its scans merge
+                nodes = [a, *(f"?_m{next(counter)}" for _ in e.parts[1:]), b]
+                steps = zip(e.parts, nodes, nodes[1:], strict=False)
+                return bgp(triples, [(x, p, y) if isinstance(p, str) else (y, p.part, x) for p, x, y in steps])
             cur, acc = a, None
             for k, part in enumerate(e.parts):
                 nxt = b if k == len(e.parts) - 1 else f"?_m{next(counter)}"

@@ -133,9 +133,15 @@ def triple_pattern(
     the pattern's predicate; it must have the triple columns.  Constant IRIs
     in ``keep`` are carried as hidden key columns (:func:`const_key`).
     """
+    from spogrid.sources.store import select_preds
+
     s, p, o = pat
-    df = source if source is not None else _scan(triples, pat, allowed, sub_in)
-    if not _is_variable(p):
+    if isinstance(p, tuple):
+        df = source if source is not None else select_preds(triples, p)
+        df, p = df.where(F.col("pred").isin(list(p))), None
+    else:
+        df = source if source is not None else _scan(triples, pat, allowed, sub_in)
+    if p is not None and not _is_variable(p):
         df = df.where(F.col("pred") == p)
     if not _is_variable(s):
         df = df.where(F.col("sub") == s)
@@ -147,7 +153,7 @@ def triple_pattern(
     seen: dict[str, str] = {}
     # a variable used twice in one pattern means equality of the positions
     for position, t in (("sub", s), ("pred", p), ("obj", o)):
-        if not _is_variable(t):
+        if t is None or not _is_variable(t):
             continue
         name = var_name(t)
         if name in seen:
@@ -270,30 +276,59 @@ def _order_units(var_sets, consts, sizes=None, bound=None) -> list[int]:
     return order
 
 
-def _star_groups(store, patterns, skip, allowed=None) -> list[list]:
+def _star_groups(store, patterns, skip, allowed=None) -> dict:
     """Patterns on one subject whose predicates each come from exactly one
-    functional branch of the same source: ``[(index, branch, conds), ...]``."""
+    functional branch of the same source: ``(subject, source) -> [(index, branch, conds), ...]``.
+
+    A source that extends another (the same rows, joined with more columns)
+    takes in the patterns over that one: the join is needed anyway."""
     groups: dict = {}
     for i, pat in enumerate(patterns):
         s, p, o = pat
-        if i in skip or _is_variable(p) or not isinstance(s, str):
+        if i in skip or not isinstance(p, str) or _is_variable(p) or not isinstance(s, str):
             continue
         cands = store.candidates(*_pattern_consts(pat), *_allowed_for(pat, allowed))
-        if len(cands) != 1 or not cands[0][0].functional:
+        if len(cands) != 1 or not cands[0][0].functional or not store.unique(cands[0][0]):
             continue
         b, conds = cands[0]
         groups.setdefault((s, id(b.source)), []).append((i, b, conds))
-    return [g for g in groups.values() if len(g) >= 2 and store.unique(g[0][1])]
-
-
-def _star_frame(patterns, group, keep, sub_in: DataFrame | None = None) -> DataFrame:
+    for s, source in list(groups):
+        wider = next((k for k in groups if k[0] == s and store.base_of(k[1]) == source), None)
+        if wider:
+            groups[wider] += groups.pop((s, source))
+    return groups
+
+
+def _extras(store, group, patterns) -> list:
+    """Of some patterns on a star's subject, those its source answers in the same scan:
+    ``[(pattern, branches), ...]``, one functional branch for each predicate."""
+    source = id(group[0][1].source)
+    out = []
+    for pat in patterns:
+        preds = pat[1] if isinstance(pat[1], tuple) else (pat[1],)
+        found = [store.candidates(*_pattern_consts((pat[0], p, pat[2]))) for p in preds]
+        if all(
+            len(c) == 1 and c[0][0].functional and source in (id(c[0][0].source), store.extension_of(id(c[0][0].source), source))
+            for c in found
+        ):
+            out.append((pat, [c[0][0] for c in found]))
+    return out
+
+
+def _term_struct(b) -> Column:
+    return F.struct(b.obj.alias("obj"), F.lit(b.kind).alias("kind"), b.dt.alias("dt"), b.lang.alias("lang"), b.num.alias("num"), b.ts.alias("ts"))
+
+
+def _star_frame(patterns, group, keep, sub_in: DataFrame | None = None, optionals=(), choices=()) -> DataFrame:
     """One scan of the shared source for a star of functional patterns
-    (``sub_in``: subject values to semi-join into the source first)."""
+    (``sub_in``: subject values to semi-join into the source first).  ``optionals``
+    are nullable columns of the same row, ``choices`` give one row for each of several
+    predicates that the row has."""
     b0 = group[0][1]
     subject = patterns[group[0][0]][0]
     conds: list[Column] = []
     sel: list[Column] = []
-    names: dict[str, Column] = {}
+    names: dict[str, tuple] = {}
     if _is_variable(subject):
         names[var_name(subject)] = (b0.sub, None)
         sel.append(b0.sub.alias(var_name(subject)))
@@ -331,6 +366,16 @@ def _star_frame(patterns, group, keep, sub_in: DataFrame | None = None) -> DataF
         from spogrid.sources.store import restrict
 
         src = restrict(src, b0.sub, sub_in)
+    for (_, _, o), (b,) in optionals:
+        name = var_name(o)
+        sel.append(F.when(b.present, b.obj).alias(name))
+        for part, expr in (("kind", F.lit(b.kind)), ("dt", b.dt), ("lang", b.lang), ("num", b.num), ("ts", b.ts)):
+            sel.append(F.when(b.present, expr).alias(aux(name, part)))
+    for (_, _, o), branches in choices:
+        name = var_name(o)
+        terms = F.filter(F.array(*[F.when(b.present, _term_struct(b)) for b in branches]), lambda x: x.isNotNull())
+        src = src.select("*", F.explode(terms).alias("__c_" + name))
+        sel += [F.col(f"__c_{name}.{part}").alias(name if part == "obj" else aux(name, part)) for part in ("obj", *TERM_AUX)]
     return src.select(*sel) if sel else src.select(F.lit(1).alias("__ask")).distinct()
 
 
@@ -341,9 +386,15 @@ def bgp(
     sizes: Sequence[float] | None = None,
     keep_consts: bool = False,
     seed: DataFrame | None = None,
+    optionals: Sequence[Pattern] = (),
 ) -> DataFrame:
     """Basic graph pattern: n-ary inner natural join of the pattern solutions.
 
+    A predicate may be a tuple of predicates: the pattern then matches any of them (a
+    UNION of patterns).  ``optionals`` are single OPTIONAL patterns, each with a new
+    variable as its object.  Where the store knows that one source row holds them beside other
+    patterns on the same subject, both are columns of the same scan instead of joins.
+
     ``triples`` is a triple DataFrame or a :class:`~spogrid.sources.store.TripleStore`
     (then a bound predicate reads only its own partition).
 
@@ -364,12 +415,14 @@ def bgp(
     tables = tables or {}
     uses = Counter(t for pat in patterns for t in {pat[0], pat[2]} if _is_iri_const(t))
     keep = {t for t, n in uses.items() if n >= 2 or keep_consts}
+    keep |= {pat[0] for pat in optionals if _is_iri_const(pat[0])}
     keyed = [tuple(t if not (_is_iri_const(t) and t in keep) else ("?" + const_key(t)) for t in pat) for pat in patterns]
     sizes = list(sizes) if sizes is not None else [0.0] * len(patterns)
 
     # units: merged stars over one keyed source, and single patterns
     units: list[tuple[set, int, float, object]] = []
     merged: set[int] = set()
+    joined = list(optionals)
     from spogrid.sources.store import TripleStore
 
     allowed = None
@@ -382,13 +435,21 @@ def bgp(
         return None
 
     if isinstance(triples, TripleStore) and triples.virtual:
-        allowed = var_prefixes(triples, patterns, set(tables))
-        for g in _star_groups(triples, patterns, set(tables), allowed):
-            idx = [i for i, _, _ in g]
+        several = {i for i, pat in enumerate(patterns) if isinstance(pat[1], tuple)}
+        allowed = var_prefixes(triples, patterns, set(tables) | several)
+        for (subject, _), g in _star_groups(triples, patterns, set(tables) | several, allowed).items():
+            mine = [pat for pat in joined if pat[0] == subject]
+            opts = _extras(triples, g, mine)
+            alts = _extras(triples, g, [patterns[i] for i in several if i not in merged and patterns[i][0] == subject])
+            if len(g) + len(opts) + len(alts) < 2:
+                continue
+            taken = [pat for pat, _ in opts]
+            joined = [pat for pat in joined if pat not in taken]
+            idx = [i for i, _, _ in g] + [i for i in several if patterns[i] in [pat for pat, _ in alts]]
             merged.update(idx)
             vs = set().union(*[_pattern_vars(keyed[i]) for i in idx])
             units.append((vs, sum(_n_consts(patterns[i]) for i in idx), min(sizes[i] for i in idx),
-                          lambda g=g: _star_frame(patterns, g, keep, sub_in(patterns[g[0][0]][0]))))
+                          lambda g=g, o=opts, a=alts: _star_frame(patterns, g, keep, sub_in(patterns[g[0][0]][0]), o, a)))
     for i, pat in enumerate(patterns):
         if i not in merged:
             units.append((_pattern_vars(keyed[i]), _n_consts(pat), sizes[i],
@@ -403,6 +464,8 @@ def bgp(
     for k in order:
         sol = units[k][3]()
         acc = sol if acc is None else natural_join(acc, sol)
+    for pat in joined:
+        acc = natural_join(acc, triple_pattern(triples, pat, None, keep, None), "left")
     hidden = [c for c in acc.columns if c.startswith("_b_") or c == "__ask"]
     if not keep_consts:
         hidden += [c for c in acc.columns if c.startswith("_k_")]

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from spogrid.functions.terms import num, ts
 from spogrid.operators.aggregates import argmax, below_group_avg, cents, exact_avg, window_index
-from spogrid.operators.algebra import join, not_exists, slice_, union
+from spogrid.operators.algebra import join, not_exists, slice_
 from spogrid.operators.patterns import bgp, substitute
 
 
+RATINGS = tuple(f"shop:rating{i}" for i in (1, 2, 3, 4))
+
+
 def bi1(tr, country1="nation/3", country2="nation/7") -> DataFrame:
     """Product types most reviewed by reviewers of one country for producers of another."""
     sol = bgp(
@@ -123,9 +126,7 @@ def _scores(tr, producer: str, with_reviewer: bool) -> DataFrame:
     pats = [("?product", "shop:producer", producer), ("?review", "shop:reviewFor", "?product")]
     if with_reviewer:
         pats.append(("?review", "rev:reviewer", "?reviewer"))
-    base = bgp(tr, pats)
-    ratings = union(*[bgp(tr, [("?review", f"shop:rating{i}", "?score")]) for i in (1, 2, 3, 4)])
-    return join(base, ratings)
+    return bgp(tr, [*pats, ("?review", RATINGS, "?score")])
 
 
 def bi6(tr, producer="producer/3") -> DataFrame:

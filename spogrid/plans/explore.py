@@ -53,14 +53,12 @@ def explore2(tr: DataFrame, product=PRODUCT) -> DataFrame:
             (P, "shop:productPropertyNumeric1", "?propertyNumeric1"),
             (P, "shop:productPropertyNumeric2", "?propertyNumeric2"),
         ],
-        keep_consts=True,
+        optionals=[
+            (P, "shop:productPropertyTextual4", "?propertyTextual4"),
+            (P, "shop:productPropertyTextual5", "?propertyTextual5"),
+            (P, "shop:productPropertyNumeric4", "?propertyNumeric4"),
+        ],
     )
-    for pred, var in (
-        ("shop:productPropertyTextual4", "?propertyTextual4"),
-        ("shop:productPropertyTextual5", "?propertyTextual5"),
-        ("shop:productPropertyNumeric4", "?propertyNumeric4"),
-    ):
-        main = optional(main, bgp(tr, [(P, pred, var)], keep_consts=True))
     return main.select(
         "label", "comment", "producer", "productFeature", "propertyTextual1", "propertyTextual2",
         "propertyTextual3", "propertyNumeric1", "propertyNumeric2", "propertyTextual4",
@@ -175,9 +173,8 @@ def explore7(tr: DataFrame, product=PRODUCT, country="nation/21", date="1998-01-
             ("?review", "dc:title", "?revTitle"),
         ],
         keep_consts=True,
+        optionals=[("?review", f"shop:rating{i}", f"?rating{i}") for i in (1, 2)],
     )
-    for i in (1, 2):
-        reviews = optional(reviews, bgp(tr, [("?review", f"shop:rating{i}", f"?rating{i}")]))
     sol = optional(optional(main, offers), reviews)
     return sol.select(
         "productLabel", "offer", "price", "vendor", "vendorTitle", "review", "revTitle", "reviewer", "revName",
@@ -197,9 +194,8 @@ def explore8(tr: DataFrame, product=PRODUCT, language="EN") -> DataFrame:
             ("?review", "rev:reviewer", "?reviewer"),
             ("?reviewer", "foaf:name", "?reviewerName"),
         ],
+        optionals=[("?review", f"shop:rating{i}", f"?rating{i}") for i in (1, 2, 3, 4)],
     ).where(lang_matches(lang("text"), language))
-    for i in (1, 2, 3, 4):
-        sol = optional(sol, bgp(tr, [("?review", f"shop:rating{i}", f"?rating{i}")]))
     sol = slice_(sol, order=[ts("reviewDate").desc(), "review"], limit=20)
     return sol.select(
         "title", "text", "reviewDate", "reviewer", "reviewerName", "rating1", "rating2", "rating3", "rating4"

@@ -84,10 +84,10 @@ def filter_logic(tr):
 
 
 def filter_bound(tr):
-    sol = G.optional(
-        bgp(tr, [("?p", "rdfs:label", "?label"), ("?p", "rdf:type", "shop:Product")]),
-        bgp(tr, [("?p", "shop:productPropertyTextual4", "?t4")]),
-    )
+    sol = bgp(
+        tr, [("?p", "rdfs:label", "?label"), ("?p", "rdf:type", "shop:Product")],
+        optionals=[("?p", "shop:productPropertyTextual4", "?t4")],
+    )
     return sol.where(F.col("t4").isNotNull()).select("p", "label", "t4")
 
 
@@ -181,8 +181,8 @@ def sequence_join(tr):
 
 
 def optional(tr):
-    main = bgp(tr, [("?p", "rdf:type", "shop:Product")])
-    return _vis(G.optional(main, bgp(tr, [("?p", "shop:productPropertyNumeric4", "?n4")])))
+    sol = bgp(tr, [("?p", "rdf:type", "shop:Product")], optionals=[("?p", "shop:productPropertyNumeric4", "?n4")])
+    return _vis(sol)
 
 
 def optional_filter(tr):
@@ -221,10 +221,10 @@ def anti_join(tr):
 
 
 def anti_optional(tr):
-    sol = G.optional(
-        bgp(tr, [("?p", "rdfs:label", "?label"), ("?p", "rdf:type", "shop:Product")]),
-        bgp(tr, [("?p", "shop:productPropertyTextual4", "?t4")]),
-    )
+    sol = bgp(
+        tr, [("?p", "rdfs:label", "?label"), ("?p", "rdf:type", "shop:Product")],
+        optionals=[("?p", "shop:productPropertyTextual4", "?t4")],
+    )
     return sol.where(F.col("t4").isNull()).select("p", "label")
 
 
@@ -338,9 +338,8 @@ def argmax_group(tr):
 
 
 def agg_union(tr):
-    base = _reviews(tr)
-    ratings = G.union(*[bgp(tr, [("?review", f"shop:rating{i}", "?score")]) for i in (1, 2, 3, 4)])
-    sol = G.join(base, ratings)
+    ratings = tuple(f"shop:rating{i}" for i in (1, 2, 3, 4))
+    sol = bgp(tr, [("?review", "shop:reviewFor", "?product"), ("?review", ratings, "?score")])
     return sol.groupBy("product").agg(A.exact_avg(F.sum(num("score")), F.count(num("score"))).alias("avgScore"))
 
 

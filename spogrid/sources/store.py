@@ -30,6 +30,7 @@ class TripleStore:
         self._key_types: dict[int, object] = {}
         self._scans: dict = {}
         self._unique: dict = {}
+        self._base: dict[int, int] = {}
 
     @classmethod
     def from_branches(cls, parts: Iterable) -> TripleStore:
@@ -59,12 +60,24 @@ class TripleStore:
             return list(self._branches)
         return [r[0] for r in self._table.select("pred").distinct().collect()]
 
+    def extend(self, wider: DataFrame, source: DataFrame) -> None:
+        """Declare that ``wider`` has rows and columns of ``source``, joined with more columns."""
+        self._base[id(wider)] = id(source)
+
+    def base_of(self, wider: int) -> int | None:
+        return self._base.get(wider)
+
+    def extension_of(self, source: int, wider: int) -> int | None:
+        return wider if self._base.get(wider) == source else None
+
     def unique(self, b) -> bool:
-        """Whether the subject key of a branch's source is unique there: counted once for each
-        source and key (a job over the key columns alone) and kept with the store."""
-        if b.sub_key is None:
+        """Whether the subject key of a branch's source (of one with many objects: subject and
+        object) is unique there: counted once for each source and key, a job over the key columns
+        alone, and kept with the store."""
+        if b.sub_key is None or not b.functional and b.obj_key is None:
             return False
-        keys = b.sub_key.parts or (b.sub_key.key,)
+        keyed = [b.sub_key] if b.functional else [b.sub_key, b.obj_key]
+        keys = [c for k in keyed for c in (k.parts or (k.key,))]
         at = id(b.source), str(keys)
         if at not in self._unique:
             twice = b.source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
@@ -73,7 +86,7 @@ class TripleStore:
 
     def _is_set(self, branches) -> bool:
         """No triple comes twice: one row for each key, or a source that is distinct by itself."""
-        return all(not b.functional or self.unique(b) for b in branches)
+        return all(self.unique(b) for b in branches)
 
     def _frame(self, b) -> DataFrame:
         out = b.source.where(b.present).select(*b.cols())
@@ -322,5 +335,5 @@ def register(spark: SparkSession, triples, name: str = "triples") -> None:
 def select_preds(triples, preds) -> DataFrame:
     """Triples of the given predicates only (per-predicate partitions when available)."""
     if isinstance(triples, TripleStore):
-        return reduce(DataFrame.union, [triples.vp(p) for p in preds])
+        return triples.only(list(preds))
     return triples.where(F.col("pred").isin(list(preds)))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from spogrid.operators import extvp
@@ -7,8 +8,7 @@ from spogrid.sources.store import TripleStore
 from spogrid.sources.tables import Tables
 from tests.conftest import rows
 
-# the four-part line-item key is unique at sf0.01 (one duplicate at sf0.001)
-CHECK = "/root/testdata/sf0.01"
+SCALES = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 
 
 def test_reduction_rows_and_stats(graph):
@@ -46,8 +46,9 @@ def test_choose_and_empty(spark, graph):
     assert empty.count() == 2
 
 
-def test_bgp_same_rows_on_tt_vp_and_reductions(spark):
-    t = Tables.get(spark, CHECK)
+@pytest.mark.parametrize("folder", SCALES)
+def test_bgp_same_rows_on_tt_vp_and_reductions(spark, folder):
+    t = Tables.get(spark, folder)
     vp = t.store
     tt = TripleStore.from_table(vp.all)
     for pats, cols in ((units.STAR, ["offer", "product", "vendor", "price"]), (units.CHAIN, ["review", "region"])):
@@ -62,3 +63,21 @@ def test_bgp_same_rows_on_tt_vp_and_reductions(spark):
     a = bgp(vp, pats, tables=tables).select("r", "p", "x", "l")
     b = bgp(tt, pats).select("r", "p", "x", "l")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_bound_travels_with_the_statistics(spark, graph):
+    pats = [("?r", "shop:reviewFor", "?p"), ("?p", "rdfs:label", "?l")]
+    stats = extvp.statistics(graph, 0.3)
+    assert {r.rel for r in extvp.choose_tables(spark, pats, stats).collect()} == {"VP"}  # 1 of 3 labels is above the bound
+    with pytest.raises(ValueError, match="bound"):
+        extvp.choose_tables(spark, pats, extvp.reduction_stats(graph))
+    lonely = graph.where("pred = 'shop:num'")
+    summary = {r.rel: r.empty for r in extvp.reduction_summary(extvp.statistics(lonely, 0.5), lonely).collect()}
+    assert summary == {"SS": 0, "OS": 1, "SO": 1}
+
+
+def test_written_reductions_are_the_kept_rows(spark, graph, tmp_path):
+    stats = extvp.statistics(graph, 0.6)
+    extvp.write_reductions(graph, stats, None, str(tmp_path / "red"))
+    back = spark.read.parquet(str(tmp_path / "red")).groupBy("rel", "p1", "p2").count()
+    assert rows(back, "rel", "p1", "p2", "count") == rows(stats.where("stored"), "rel", "p1", "p2", "size")
