@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
                 names = ["id", "clump", "size", "home", "blocks"]
                 yield pa.record_batch([*(part.column(c) for c in names), raw], [*names, "sets"]).filter(own)
 
-    one = texts.join(members, F.col("doc_id") == F.col("id")).select("id", "clump", "size", "home", "blocks", "set_a", "set_b", "text")
+    # while they are few, the texts stay where they are
+    one = texts.join(few(members), F.col("doc_id") == F.col("id")).select("id", "clump", "size", "home", "blocks", "set_a", "set_b", "text")
     with_sets = one.mapInArrow(sets_of, "id long, clump long, size long, home long, blocks long, sets binary")
     dealt = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["clump", "lo", "hi"]
