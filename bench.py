@@ -2,10 +2,10 @@
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 
-Headline set: the star, chain and snowflake BGPs over four storages of the
-same triples, plus the explore and BI workloads on the per-predicate store.
+Headline set: the star, chain and snowflake BGPs and one with sparse properties over
+three storages of the same triples, plus the explore and BI workloads on the per-predicate store.
 
-* ``tt``      -- the whole triple table as one DataFrame (patterns filter it)
+* ``tt``      -- the whole triple table as one DataFrame (patterns filter it); timed, not in ``value``
 * ``vp``      -- per-predicate projections of the source tables (nothing copied)
 * ``stored``  -- triples written once as Parquet partitioned by predicate
 * ``extvp``   -- stored semi-join reductions chosen by statistics, else stored VP
@@ -28,14 +28,15 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from spogrid.operators import extvp  # noqa: E402
 from spogrid.operators.patterns import bgp  # noqa: E402
-from spogrid.plans import bi, explore, units  # noqa: E402
-from spogrid.session import get_session  # noqa: E402
+from spogrid.plans import bi, explore, storage, units  # noqa: E402
+from spogrid.session import checkpoint_dir, get_session  # noqa: E402
 from spogrid.sources.store import TripleStore, load_triples, write_triples  # noqa: E402
 from spogrid.sources.tables import Tables  # noqa: E402
 
 BOUND = 0.25
-SHAPES = {"bgp_star": units.STAR, "bgp_chain": units.CHAIN, "bgp_snowflake": units.SNOWFLAKE}
+SHAPES = {"bgp_star": units.STAR, "bgp_chain": units.CHAIN, "bgp_snowflake": units.SNOWFLAKE, "bgp_selective": storage.CHOICE_BGP}
 PROJ = {
+    "bgp_selective": ["review", "product", "r4", "label", "t4"],
     "bgp_star": ["offer", "product", "vendor", "price"],
     "bgp_chain": ["review", "region"],
     "bgp_snowflake": ["offer", "pcountry", "vcountry", "type"],
@@ -56,8 +57,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session(f"local[{cpus}]", shuffle_partitions=2 * cpus)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spogrid-checkpoints"
-    work = f"{root.rstrip('/')}/spogrid-bench/{os.path.basename(sf_dir)}"
+    work = f"{checkpoint_dir(spark).rstrip('/')}/spogrid-bench/{os.path.basename(sf_dir)}"
 
     t = Tables.get(spark, sf_dir)
     vp = t.store
@@ -68,16 +68,16 @@ def main() -> None:
     stored = load_triples(spark, f"{work}/vp")
 
     def build_reductions():
-        extvp.reduction_stats(stored).write.mode("overwrite").parquet(f"{work}/stats")
+        extvp.bounded(extvp.reduction_stats(stored), BOUND).write.mode("overwrite").parquet(f"{work}/stats")
         stats = spark.read.parquet(f"{work}/stats")
-        extvp.write_reductions(stored, stats, BOUND, f"{work}/extvp")
+        extvp.write_reductions(stored, stats, None, f"{work}/extvp")
 
     builds["extvp_build"] = timed(build_reductions)
     stats = spark.read.parquet(f"{work}/stats")
     reduced = spark.read.parquet(f"{work}/extvp")
 
     def extvp_query(pats, cols):
-        choice = extvp.choose_tables(spark, pats, stats, BOUND).collect()  # one row per pattern
+        choice = extvp.choose_tables(spark, pats, stats).collect()  # one row per pattern
         tables = {}
         for r in choice:
             if r["rel"] != "VP":
@@ -102,11 +102,14 @@ def main() -> None:
         run(make())  # warm-up: plan, codegen, JIT
         times[name] = round(timed(lambda m=make: run(m())), 3)
 
+    # patterns over the whole table as one frame are a yardstick and not a way to work
+    whole = {k: times.pop(k) for k in list(times) if k.endswith("_tt")}
     out = {
         "metric": "headline_queries_total",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "whole_table": whole,
         "builds": {k: round(v, 3) for k, v in builds.items()},
         "sf": os.path.basename(sf_dir).replace("sf", ""),
         "cpus": cpus,
