@@ -11,6 +11,7 @@ from spogrid.functions.terms import Lit, num, ts
 from spogrid.operators import aggregates as A
 from spogrid.operators import algebra as G
 from spogrid.operators import metrics
+from spogrid.operators.extvp import predicates
 from spogrid.operators.paths import alt, closure, inv, levels, path, seq
 from spogrid.operators.patterns import assign, bgp, substitute, triple_pattern
 from spogrid.operators.updates import construct, describe_where
@@ -456,9 +457,12 @@ def type_levels(tr):
 
 def type_features(tr):
     """Features of each class, including those of products of its subclasses."""
-    tc = type_closure(tr)
-    feats = bgp(tr, [("?product", "shop:productFeature", "?feature")])
-    return tc.join(feats, "product").select("type", "feature").distinct()
+    direct = bgp(
+        tr, [("?product", "rdf:type", "?type"), ("?type", "rdf:type", "shop:ProductType"), ("?product", "shop:productFeature", "?feature")]
+    ).select("type", "feature").distinct()  # few rows for each class go up the hierarchy, not its products
+    anc = closure(_subclass_edges(tr)).select(F.col("child").alias("type"), "ancestor")
+    above = direct.join(anc, "type").select(F.col("ancestor").alias("type"), "feature")
+    return direct.unionByName(above).distinct()
 
 
 # ---------------------------------------------------------------- query forms
@@ -496,13 +500,13 @@ def fn_cast(tr):
 
 
 def iri_prefix(tr):
-    p = triple_pattern(tr, ("?s", "?p", "?o")).select("p").distinct()
+    p = predicates(tr).select(F.col("pred").alias("p"))
     full = T.expand(F.col("p"))
     return p.select("p", full.alias("full"), T.shorten(full).alias("short"))
 
 
 def iri_clean(tr):
-    p = triple_pattern(tr, ("?s", "?p", "?o")).select("p").distinct()
+    p = predicates(tr).select(F.col("pred").alias("p"))
     return p.select("p", T.clean_iri(T.expand(F.col("p"))).alias("clean"))
 
 

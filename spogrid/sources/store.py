@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from spogrid.functions.terms import TRIPLE_COLUMNS, TRIPLE_SCHEMA
 
 
+# Scans whose plans are kept for each store.
+KEPT_SCANS = 256
+
+
 class TripleStore:
     def __init__(self, branches: OrderedDict | None = None, table: DataFrame | None = None):
         self._branches = branches
@@ -244,6 +248,8 @@ class TripleStore:
             return self._scan(pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed, sub_in)
         sig = (pred, sub_const, obj_iri, obj_is_lit, _frozen(sub_allowed), _frozen(obj_allowed))
         if sig not in self._scans:
+            if len(self._scans) >= KEPT_SCANS:
+                self._scans.pop(next(iter(self._scans)))
             self._scans[sig] = self._scan(pred, sub_const, obj_iri, obj_is_lit, sub_allowed, obj_allowed)
         return self._scans[sig]
 
