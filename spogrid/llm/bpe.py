@@ -300,7 +300,7 @@ def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: st
                 lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, rel)]
                 yield pa.record_batch([part.column("doc_id"), *lists], ["doc_id", "ids", "offsets"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
 
 
@@ -330,5 +330,5 @@ def round_trip(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col
                 sha = [[hashlib.sha256(m[a:b]).hexdigest() for a, b in zip(x[:-1], x[1:], strict=True)] for m, x in zip((raw, back), of, strict=True)]
                 yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

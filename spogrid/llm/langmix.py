@@ -110,7 +110,7 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
             yield pa.record_batch([pa.array([name] * len(cells)), pa.array(cells), pa.array(n)], ["lang", "cell", "n"])
 
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     return build(counts.toPandas())
 
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
                     ["doc_id", "lang_pred", "score", "mixture"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 

@@ -274,7 +274,7 @@ def tokens_by_bucket(docs: DataFrame, in_training: Column, buckets: int, id_col:
                 at = (pairs % len(words)).astype(np.int32)
                 yield _row(1, chunk, buckets, at.tobytes(), times.astype(np.int32).tobytes(), part.column("doc_id").to_pylist(), train.astype(int).tolist(), sizes.tolist())
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(in_training, F.lit(False)).alias("train"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(in_training, F.lit(False)).alias("train"))
     return rows.mapInArrow(run, _WORDS)
 
 

@@ -147,7 +147,7 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES, id_col: str = "doc_id", te
                 n, found = scanner.scan(texts)
                 yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(found, _HIT)], ["doc_id", "n_words", "hits"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, n_words long, hits {HITS}")
 
 

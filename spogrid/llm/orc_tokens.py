@@ -113,7 +113,7 @@ def encode_texts(texts: pa.Array, cache: SliceCache) -> tuple[np.ndarray, np.nda
 def write_token_ids(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
                     index_stride: int = 1000) -> None:
     """Encode every text and write (doc_id, seq, n_tokens, ids) as ORC in id order."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

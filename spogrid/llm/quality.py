@@ -186,9 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, fit_rows: int = FIT_
         label_col: str = "quality") -> QualityModel:
     """Learn from at most ``fit_rows`` labelled rows that are usable."""
     chosen = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = chosen.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
+    chosen = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     sample = stored(rows, "quality-sample")
     vectors = _word_vectors(sample)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, id_col:
                 p = score_texts(texts, shared.value)
                 yield pa.record_batch([part.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 

@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     length = prefix_length(threshold, trees, depth, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     signed = stored(signatures(texts, words, trees, length), "shingle-signatures")
     same = ["n", "set_a", "set_b"]
     classes = signed.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.first("labels").alias("labels"))
@@ -239,6 +239,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col), "shingle-groups")
     out = docs.join(few(found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()), id_col, "left_anti")
     rows, ids = found.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if rows > ids:  # repeated rows of one id
-        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    if rows > ids:  # repeated rows
+        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
     return out.select(*docs.columns)

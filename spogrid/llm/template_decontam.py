@@ -84,13 +84,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, windows, matched, coverage, run, shift, slots, changed): one row for each
     document and item that contaminates it; shift: the item's place in the document's tokens, changed: slots
     with another surface form."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     items = items.groupBy("item_id").agg(F.min("text").alias("text"))
     items = stored(items.select("item_id", template(F.col("text")).alias("t"), surface(F.col("text")).alias("s")), "benchmark-templates")
     literal = lambda i: F.size(F.filter(F.slice("t", i + 1, WINDOW), lambda x: ~_is_slot(x))) >= LITERALS
     places = items.select("item_id", F.posexplode(_windows("t", lambda i: F.when(literal(i), _hash("t")(i)))).alias("item_at", "h")).where("h IS NOT NULL")
     places = stored(places, "benchmark-windows")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     windows = texts.select("doc_id", template(F.col("text")).alias("t"))
     windows = windows.select("doc_id", F.posexplode(_windows("t", _hash("t"))).alias("doc_at", "h"))
     met = windows.join(few(places), "h").groupBy("doc_id", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.lit(1).alias("one"))

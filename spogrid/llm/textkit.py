@@ -133,10 +133,12 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 class SliceCache:
     """Ids of text slices. ``encode`` gets the slices not known yet and returns
     their ids one after the other and how many each has. At most ``limit``
-    slices stay from one chunk to the next; the first ones seen stay, and
-    frequent slices are among them.
+    slices, none over ``longest`` bytes, stay from one chunk to the next; the
+    first ones seen stay, and frequent slices are among them.
     """
 
+    longest = 200
+
     def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self.index: dict = {}
@@ -155,6 +157,8 @@ class SliceCache:
         raw = data.tobytes()
         slices = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         missing = [x for x in slices if x not in self.index]
+        missing.sort(key=lambda x: len(x) > self.longest)
+        stay = min(self.limit, len(self.index) + sum(len(x) <= self.longest for x in missing))
         if missing:
             self.add(missing, *self.encode(missing))
         at = np.fromiter(map(self.index.__getitem__, slices), np.int64, len(slices))[which]
@@ -162,10 +166,10 @@ class SliceCache:
         first, lens = start[at], start[at + 1] - start[at]
         flat = np.frombuffer(self.flat, np.int32).copy() if self.flat else np.zeros(0, np.int32)
         out = flat[ragged(first, lens)]
-        if len(self.index) > self.limit:
+        if len(self.index) > stay:
             for key in missing:
-                if self.index[key] >= self.limit:
+                if self.index[key] >= stay:
                     del self.index[key]
-            del self.flat[self.start[self.limit] :]
-            del self.start[self.limit + 1 :]
+            del self.flat[self.start[stay] :]
+            del self.start[stay + 1 :]
         return out, lens

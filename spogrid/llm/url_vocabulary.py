@@ -104,7 +104,7 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, limit: float
                 ["page_id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms", "soft_weight"],
             )
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     return rows.mapInArrow(
         run, "page_id long, host string, path string, rule string, verdict string, "
         "strict_terms array<string>, soft_terms array<string>, soft_weight double"
