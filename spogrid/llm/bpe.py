@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spogrid.llm.shared import bounded_batches
 from spogrid.llm.textkit import SliceCache, byte_view, chunks, ragged
 
 # Classes of code points.
@@ -46,7 +47,8 @@ NONE = 1 << 40
 
 def code_point_classes() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    points = np.arange(0x110000, dtype="<u4")
+    every = np.concatenate([points[:0xD800], points[0xE000:]]).tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for m in regex.finditer(pattern, every):
             a, b = m.span()
@@ -200,11 +202,12 @@ class ByteBpe:
         self.token_starts = np.cumsum(self.token_lens) - self.token_lens
         self.token_bytes = np.frombuffer(b"".join(by_id), np.uint8)
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        pairs = sorted(
-            (self.ranks[x[:i]] << 32 | self.ranks[x[i:]], k)
-            for x, k in self.ranks.items() for i in range(1, len(x)) if x[:i] in self.ranks and x[i:] in self.ranks
-        )
-        self.pairs, self.pair_ids = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        pairs = np.fromiter(
+            (n for x, k in self.ranks.items() for i in range(1, len(x)) if x[:i] in self.ranks and x[i:] in self.ranks
+             for n in (self.ranks[x[:i]] << 32 | self.ranks[x[i:]], k)), np.int64,
+        ).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pairs, self.pair_ids = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
 
     def _merge(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found: list = [None] * len(slices)
@@ -300,6 +303,7 @@ def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: st
                 lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, rel)]
                 yield pa.record_batch([part.column("doc_id"), *lists], ["doc_id", "ids", "offsets"])
 
+    bounded_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
 
@@ -313,6 +317,7 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
             texts = [None if ids is None else bpe.decode(np.array(ids, np.int64)).tobytes().decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
+    bounded_batches(encoded)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
@@ -330,5 +335,6 @@ def round_trip(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col
                 sha = [[hashlib.sha256(m[a:b]).hexdigest() for a, b in zip(x[:-1], x[1:], strict=True)] for m, x in zip((raw, back), of, strict=True)]
                 yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

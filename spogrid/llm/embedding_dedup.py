@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spogrid.llm.components import connected, roots, runs
-from spogrid.llm.shared import stored
+from spogrid.llm.shared import bounded_batches, stored
 
 BLOCK = 512
 
@@ -68,6 +68,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
                     label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept, class_id) for every row."""
     spark = vectors.sparkSession
+    bounded_batches(vectors)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     limit = F.lit(float("inf"))

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spogrid.llm.shared import bounded_batches
 from spogrid.llm.textkit import LOWER, byte_view, chunks, kept, word_spans
 
 UNKNOWN = "und"
@@ -109,6 +110,7 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
             cells, n = np.append(at, CELLS), np.append(table[at], words[name])  # the last cell holds the words
             yield pa.record_batch([pa.array([name] * len(cells)), pa.array(cells), pa.array(n)], ["lang", "cell", "n"])
 
+    bounded_batches(docs)
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
@@ -207,6 +209,7 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
                     ["doc_id", "lang_pred", "score", "mixture"],
                 )
 
+    bounded_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
 

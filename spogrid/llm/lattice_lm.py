@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spogrid.llm.shared import stored
+from spogrid.llm.shared import bounded_batches, stored
 from spogrid.llm.textkit import LOWER, SOLID, byte_view, chunks, distinct_spans, word_spans
 
 CHUNK = 8 << 20
@@ -274,6 +274,7 @@ def tokens_by_bucket(docs: DataFrame, in_training: Column, buckets: int, id_col:
                 at = (pairs % len(words)).astype(np.int32)
                 yield _row(1, chunk, buckets, at.tobytes(), times.astype(np.int32).tobytes(), part.column("doc_id").to_pylist(), train.astype(int).tolist(), sizes.tolist())
 
+    bounded_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(in_training, F.lit(False)).alias("train"))
     return rows.mapInArrow(run, _WORDS)
 

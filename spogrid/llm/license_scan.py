@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spogrid.llm.shared import bounded_batches
 from spogrid.llm.textkit import LOWER, WORD, byte_view, chunks, word_hashes, word_spans
 
 
@@ -147,6 +148,7 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES, id_col: str = "doc_id", te
                 n, found = scanner.scan(texts)
                 yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(found, _HIT)], ["doc_id", "n_words", "hits"])
 
+    bounded_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, n_words long, hits {HITS}")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spogrid.llm.shared import shared_path
+from spogrid.llm.shared import bounded_batches, shared_path
 from spogrid.llm.textkit import LOWER, SOLID, SliceCache, byte_view, chunks, word_spans
 
 END_ID = 1
@@ -113,6 +113,7 @@ def encode_texts(texts: pa.Array, cache: SliceCache) -> tuple[np.ndarray, np.nda
 def write_token_ids(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
                     index_stride: int = 1000) -> None:
     """Encode every text and write (doc_id, seq, n_tokens, ids) as ORC in id order."""
+    bounded_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -160,6 +161,7 @@ def stored_digest(rows: DataFrame) -> DataFrame:
                 ["doc_id", "seq", "n_tokens", "ids_crc32"],
             )
 
+    bounded_batches(rows)
     sums = rows.select("doc_id", "seq", "ids").mapInArrow(crc, "doc_id long, seq long, n_tokens long, ids_crc32 long")
     sums = sums.withColumn("stretch", F.shiftright("seq", 33))
     totals = rows.groupBy(F.shiftright("seq", 33).alias("stretch")).agg(F.sum("n_tokens").alias("n"))

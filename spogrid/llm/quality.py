@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spogrid.llm.shared import stored
+from spogrid.llm.shared import bounded_batches, stored
 from spogrid.llm.textkit import LOWER, SOLID, WORD, byte_view, chunks, kept, word_hashes, word_spans
 
 CELLS, WIDTH, SLOT = 1 << 14, 48, 256
@@ -185,6 +185,7 @@ def word_vectors(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality") -> QualityModel:
     """Learn from at most ``fit_rows`` labelled rows that are usable."""
+    bounded_batches(docs)
     chosen = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
@@ -229,6 +230,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, id_col:
                 p = score_texts(texts, shared.value)
                 yield pa.record_batch([part.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
+    bounded_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 

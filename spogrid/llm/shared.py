@@ -29,3 +29,16 @@ FEW = 200_000
 def few(df: DataFrame) -> DataFrame:
     """``df``, to be broadcast where its counted rows are few; else joins shuffle it. For stored tables."""
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+# Bytes of an Arrow batch between Spark and Python; Spark's own default is 64 MB, of which each task holds several.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, SPARK_BATCH_BYTES = "4m", "67108864b"
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Small Arrow batches in this session, unless it has a size of its own: a task's memory then
+    does not grow with the length of its texts."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == SPARK_BATCH_BYTES:
+        conf.set(BATCH, BATCH_BYTES)

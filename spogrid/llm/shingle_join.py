@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spogrid.llm.components import connected, roots, runs
-from spogrid.llm.shared import few, stored
+from spogrid.llm.shared import bounded_batches, few, stored
 from spogrid.llm.textkit import LOWER, WORD, byte_view, chunks, mix, word_hashes, word_spans
 
 WORDS, THRESHOLD = 5, 0.8
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     """(doc_id, class_id, component_id, n_links, kept): the smallest id of the same set, the smallest id
     reachable by links, the number of other documents linked directly, and whether the document stands for its group."""
     spark = docs.sparkSession
+    bounded_batches(docs)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     length = prefix_length(threshold, trees, depth, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")

@@ -13,9 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 2 << 20
+from spogrid.llm.shared import bounded_batches
+
+CHUNK_BYTES = 1 << 20
 
 # Bytes of a word: 0-9, a-z and all bytes from 0x80 (letters outside ASCII); A-Z are lower-cased first.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,14 +45,13 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The batch in runs of rows of about ``limit`` bytes of text each, with that column."""
-    texts = text_column(batch, name)
-    if not len(texts):
-        return
-    _, off = byte_view(texts)
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
-    while at < len(texts):
+    while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
-        yield batch.slice(at, end - at), texts.slice(at, end - at)
+        part = batch.slice(at, end - at)
+        yield part, text_column(part, name)
         at = end
 
 
@@ -63,6 +65,7 @@ def kept(docs: DataFrame, name: str, judge: Callable[[], Callable[[pa.Array], np
             for part, texts in chunks(batch, name, limit):
                 yield part.filter(pa.array(decide(texts), pa.bool_()))
 
+    bounded_batches(docs)
     return docs.mapInArrow(run, docs.schema)
 
 
@@ -109,7 +112,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each span that depends on its bytes alone (polynomial prefix sums)."""
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[: len(data)]
+    np.cumsum(terms, out=sums[1:])
+    del terms
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
@@ -139,7 +146,7 @@ class SliceCache:
 
     longest = 200
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self.index: dict = {}
         self.flat, self.start = array("i"), array("q", [0])

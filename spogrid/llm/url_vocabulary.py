@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spogrid.llm.shared import bounded_batches
+
 # Rules: (verdict, host, path).
 RULES = (
     ("allow", "org", "/"),
@@ -104,6 +106,7 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, limit: float
                 ["page_id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms", "soft_weight"],
             )
 
+    bounded_batches(pages)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     return rows.mapInArrow(
         run, "page_id long, host string, path string, rule string, verdict string, "
