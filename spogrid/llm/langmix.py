@@ -214,8 +214,8 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 
-def keep(docs: DataFrame, model: LangModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents with a language that has at least that share of their words, with all their columns."""
+def keep(docs: DataFrame, model: LangModel, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The documents with a language, that has at least that share of their words, with all their columns."""
 
     def judge():
         def decide(texts: pa.Array) -> np.ndarray:
