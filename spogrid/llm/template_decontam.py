@@ -6,7 +6,7 @@ Runs of five template tokens are hashed; those of the benchmark with at least
 three literal words are joined with all runs of all documents. Document and
 item meet at an offset; the windows of the item that a document holds are its
 coverage. Where an item has placeholders, their surface forms (slots) must be
-consistent: the same number, name or unit in the item stands for the same one
+consistent in what matched windows cover, each at its own offset: the same number, name or unit in the item stands for the same one
 in the document, and different ones for different ones, so a question with new
 numbers is caught, and a text that merely has numbers in the same places is not.
 
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from spogrid.llm.shared import few, stored
 
 WINDOW, LITERALS, COVERAGE, RUN = 5, 3, 0.8, 9
+NEAR = 16  # shifts up to so far apart are read as one place of the document
 JOINER, NAME, UNIT, NUMBER = "\ue000", "\ue001", "\ue002", "0"
 UNITS = (
     "kilometers", "kilometres", "centimeters", "centimetres", "millimeters", "millimetres", "kilograms", "milligrams", "milliliters",
@@ -57,8 +58,8 @@ def _replaced(text: Column, steps) -> Column:
 
 
 def surface(text: Column) -> Column:
-    """Marked tokens in lower case."""
-    return F.array_remove(F.split(F.lower(_replaced(text, MARKS)), BREAK), "")
+    """Tokens in lower case; a name is the same at a sentence's start, where it bears no mark."""
+    return F.transform(F.array_remove(F.split(F.lower(_replaced(text, MARKS)), BREAK), ""), lambda x: F.translate(x, NAME, ""))
 
 
 def template(text: Column) -> Column:
@@ -97,33 +98,71 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = stored(met.drop("one"), "template-matches")
     # windows in a row: at one offset, places less their rank stay the same
     row = met.withColumn("line", F.col("item_at") - F.row_number().over(_by("doc_id", "item_id", "shift").orderBy("item_at")))
-    lines = row.groupBy("doc_id", "item_id", "shift", "line").agg(F.count("*").alias("run"))
+    lines = row.groupBy("doc_id", "item_id", "shift", "line").agg(F.count("*").alias("run"), F.min("item_at").alias("first"))
     best = lines.groupBy("doc_id", "item_id", "shift").agg(F.sum("run").alias("n"), F.max("run").alias("run"))
     best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", -F.col("shift"), "run")).alias("b"), F.max("run").alias("run"))
     held = met.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("matched"))
     sizes = places.groupBy("item_id").agg(F.count("*").alias("windows"))
     found = held.join(best, ["doc_id", "item_id"]).join(few(sizes), "item_id")
     found = found.select("doc_id", "item_id", "windows", "matched", (F.col("matched") / F.col("windows")).alias("coverage"), "run", (-F.col("b.col2")).alias("shift"))
-    found = found.where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
-    found = stored(found, "template-candidates")
+    found = stored(found.where(_enough("coverage", "run")), "template-candidates")
     slotted = items.where(F.exists("t", _is_slot))
     plain = found.join(items.where(~F.exists("t", _is_slot)).select("item_id"), "item_id", "left_semi")
     plain = plain.withColumns({"slots": F.lit(0), "changed": F.lit(0)})
-    checked = found.join(few(slotted), "item_id")
-    checked = texts.join(few(stored(checked, "template-slots")), "doc_id").withColumn("d", surface(F.col("text")))
-    pairs = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.struct(
-            F.get("t", i).alias("t"), F.get("s", i).alias("item"), F.when(F.col("shift") + i >= 0, F.get("d", F.greatest(F.col("shift") + i, F.lit(0)))).alias("doc"))),
-        lambda x: _is_slot(x.t) & x.doc.isNotNull(),
-    )
-    checked = checked.withColumn("pairs", pairs)
-    distinct = lambda *names: F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(*(x[n] for n in names)))))
-    checked = checked.where((distinct("t", "item", "doc") == distinct("t", "item")) & (distinct("t", "item", "doc") == distinct("t", "doc")))
-    checked = checked.withColumns({"slots": F.size("pairs"), "changed": F.size(F.filter("pairs", lambda x: x.item != x.doc))})
-    out = plain.unionByName(checked.select(*plain.columns))
+    out = plain.unionByName(_consistent(found.join(few(slotted), "item_id"), lines, texts).select(*plain.columns))
     return out.dropDuplicates(["doc_id", "item_id"]).select(*plain.columns)
 
 
+def _enough(coverage: str, run: str) -> Column:
+    return (F.col(coverage) >= COVERAGE) | (F.col(run) >= RUN)
+
+
+def _agree(pairs: Column) -> Column:
+    """Whether each form of the item stands for one of the document, and the other way round."""
+    n = lambda *names: F.size(F.array_distinct(F.transform(pairs, lambda x: F.struct(*(x[k] for k in names)))))
+    return (n("t", "item", "doc") == n("t", "item")) & (n("t", "item", "doc") == n("t", "doc"))
+
+
+def _consistent(candidates: DataFrame, lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidates that reach the coverage or the run with consistent slots alone.
+
+    Slots are read where matched windows lie, at these windows' own shift. Shifts are taken from the one with most
+    windows down, as long as their slots agree with those taken: among shifts near one another (words were put in
+    or left out), and among all."""
+    pair = ["doc_id", "item_id"]
+    shifts = lines.join(few(stored(candidates.select(*pair), "template-slotted")), pair, "left_semi")
+    shifts = shifts.groupBy(*pair, "shift").agg(F.sum("run").alias("n"), F.max("run").alias("run"), F.collect_list(F.struct("first", F.col("run").alias("size"))).alias("parts"))
+    near = F.floor(F.col("shift") / NEAR).cast("long")
+    shifts = shifts.withColumn("near", F.explode(F.array(near, near + 1, F.lit(None).cast("long"))))
+    unit = F.struct((-F.col("n")).alias("less"), "shift", "n", "run", "parts")
+    groups = shifts.groupBy(*pair, "near").agg(F.sort_array(F.collect_list(unit)).alias("units"))
+    groups = groups.join(candidates.select(*pair, "windows", "t", "s"), pair)
+    groups = stored(groups, "template-slots")
+    checked = texts.join(few(groups), "doc_id").withColumn("d", surface(F.col("text")))
+    at = lambda u: F.flatten(F.transform(u.parts, lambda p: F.sequence(p["first"], p["first"] + p["size"] - 1)))
+    slots = lambda u: F.transform(
+        F.filter(F.array_distinct(F.flatten(F.transform(u.parts, lambda p: F.sequence(p["first"], p["first"] + p["size"] + WINDOW - 2)))), lambda i: _is_slot(F.get("t", i))),
+        lambda i: F.struct(i.alias("at"), F.get("t", i).alias("t"), F.get("s", i).alias("item"), F.get("d", (u.shift + i).cast("int")).alias("doc")),
+    )
+    units = F.transform("units", lambda u: F.struct(u.shift.alias("shift"), u.run.alias("run"), at(u).alias("at"), slots(u).alias("slots")))
+    checked = checked.withColumn("units", units)
+    none = lambda name: F.filter(F.get("units", F.lit(0))[name], lambda x: F.lit(False))
+    start = F.struct(F.lit(None).cast("long").alias("shift"), F.lit(0).cast("long").alias("run"), none("at").alias("at"), none("slots").alias("slots"))
+
+    def take(got: Column, u: Column) -> Column:
+        slots = F.array_union(got.slots, u.slots)
+        more = F.struct(F.coalesce(got.shift, u.shift).alias("shift"), F.greatest(got.run, u.run).alias("run"), F.array_union(got["at"], u["at"]).alias("at"), slots.alias("slots"))
+        return F.when(_agree(slots), more).otherwise(got)
+
+    checked = checked.select(*pair, "windows", F.aggregate("units", start, take).alias("got"))
+    checked = checked.select(*pair, "windows", F.size("got.at").cast("long").alias("matched"), "got.run", "got.shift", "got.slots")
+    checked = checked.withColumn("coverage", F.col("matched") / F.col("windows")).where(_enough("coverage", "run"))
+    checked = checked.withColumns({"changed": F.size(F.filter("slots", lambda x: x.item != x.doc)), "slots": F.size("slots")})
+    names = ("matched", "windows", "coverage", "run", "shift", "slots", "changed")
+    one = checked.groupBy(*pair).agg(F.max(F.struct("matched", (-F.col("shift")).alias("order"), *names[1:])).alias("b"))
+    return one.select(*pair, *(f"b.{k}" for k in names))
+
+
 def _by(*cols: str):
     from pyspark.sql import Window
 

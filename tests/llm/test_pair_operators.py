@@ -190,6 +190,25 @@ def test_templates(spark):
     assert sorted(r[:2] for r in con.execute(template_decontam.sql()).fetchall()) == sorted(found)
 
 
+def found_by(spark, texts, items):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in template_decontam.contaminated(frame(spark, texts), items).collect()}
+
+
+def test_slots_are_read_where_windows_match(spark):
+    item = ("we know that Boston lies on the coast and has a very old harbour with many ships, and ships from Boston sail on to Lisbon "
+            "while others go from 12 piers to 7 small islands each day in the summer")
+    words = item.split()
+    texts = [
+        " ".join(words[:20]) + ". Nothing else of it stands here, and you read Paris there",  # 0: the run alone, Boston stands outside it too
+        item.replace("and ships", "and some ships"),  # 1: an inserted word moves the slots behind it
+        item.replace("and ships", "ships"),  # 2: a missing one
+        item.replace("Boston", "Bergen", 1) + " . . " + item,  # 3: another question, and after it the item
+        item.replace("Boston", "Bergen", 1),  # 4: the other question alone
+    ]
+    assert sorted(found_by(spark, texts, [item])) == [(k, 0) for k in range(4)]
+
+
 def test_decontamination_runs_no_python(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     plan = template_decontam.decontaminate(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet"))._jdf.queryExecution().toString()
