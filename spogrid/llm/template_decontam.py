@@ -2,23 +2,24 @@
 
 A text becomes a template: numbers, names (capitalised words inside a sentence)
 and units after a number turn into typed placeholders, all else is lower-cased.
-Runs of five template tokens are hashed; those of the benchmark with at least
-three literal words are joined with all runs of all documents. Document and
-item meet at an offset; the windows of the item that a document holds are its
+Runs of five template tokens are hashed where at least three are literal words;
+other runs by their surface forms, as placeholders alone say nothing, and items of
+fewer than five tokens as a whole. Those of the benchmark are joined with all of
+all documents. Document and item meet at an offset; the windows of the item that a document holds are its
 coverage. Where an item has placeholders, their surface forms (slots) must be
 consistent in what matched windows cover, each at its own offset: the same number, name or unit in the item stands for the same one
 in the document, and different ones for different ones, so a question with new
 numbers is caught, and a text that merely has numbers in the same places is not.
 
 A document is contaminated by an item when it is consistent and either holds
-at least 0.8 of the item's windows, or nine windows in a row (thirteen
+at least 0.8 of the item's windows (all, or those of literal words), or nine windows in a row (thirteen
 words, a common convention for long passages).
 
 The benchmark's windows and the candidates are broadcast only when they were counted and
 are few; otherwise the joins shuffle, and a frequent window is split by adaptive execution.
 
-Defined cases: null and empty texts, and items of fewer than five tokens, match
-nothing; items of equal text are reported each; rows with the same doc_id are one document; rows
+Defined cases: null and empty texts match nothing; items of fewer than five tokens
+match where all their tokens stand in a row; items of equal text are reported each; rows with the same doc_id are one document; rows
 with a null id are not reported, and stay; empty tables give no rows; other columns are not read.
 """
 
@@ -76,6 +77,21 @@ def _hash(tokens: str):
     return lambda i: F.xxhash64(*(F.get(tokens, i + k) for k in range(WINDOW)))
 
 
+def _form_hash(tokens: str, n: int):
+    """Of surface forms, and of no template."""
+    return lambda i: F.xxhash64(F.lit("forms"), F.lit(n), *(F.get(tokens, (i + k).cast("int")) for k in range(n)))
+
+
+def _heavy(tokens: str) -> Column:
+    """Where windows with too few literal words begin: three slots or more lie within five tokens."""
+    need = WINDOW - LITERALS + 1
+    last = F.size(tokens) - WINDOW
+    slots = F.filter(F.transform(tokens, lambda x, i: F.when(_is_slot(x), i)), lambda i: i.isNotNull())
+    spans = F.zip_with(slots, F.slice(slots, need, F.greatest(F.size(slots), F.lit(1))), lambda a, z: F.when(
+        (z - a < WINDOW) & (F.greatest(z - WINDOW + 1, F.lit(0)) <= F.least(a, last)), F.sequence(F.greatest(z - WINDOW + 1, F.lit(0)), F.least(a, last))))
+    return F.array_distinct(F.flatten(F.filter(spans, lambda s: s.isNotNull())))
+
+
 def _is_slot(token: Column) -> Column:
     return token.isin(NAME, UNIT) | F.contains(token, F.lit(NUMBER))
 
@@ -88,31 +104,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     items = items.groupBy("item_id").agg(F.min("text").alias("text"))
     items = stored(items.select("item_id", template(F.col("text")).alias("t"), surface(F.col("text")).alias("s")), "benchmark-templates")
-    literal = lambda i: F.size(F.filter(F.slice("t", i + 1, WINDOW), lambda x: ~_is_slot(x))) >= LITERALS
-    places = items.select("item_id", F.posexplode(_windows("t", lambda i: F.when(literal(i), _hash("t")(i)))).alias("item_at", "h")).where("h IS NOT NULL")
-    places = stored(places, "benchmark-windows")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows = texts.select("doc_id", template(F.col("text")).alias("t"))
-    windows = windows.select("doc_id", F.posexplode(_windows("t", _hash("t"))).alias("doc_at", "h"))
-    met = windows.join(few(places), "h").groupBy("doc_id", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.lit(1).alias("one"))
-    met = stored(met.drop("one"), "template-matches")
+    split = items.withColumn("heavy", _heavy("t"))
+    plain_at = F.filter(F.sequence(F.lit(0), F.size("t") - WINDOW), lambda i: ~F.array_contains("heavy", i))
+    by_template = split.where(F.size("t") >= WINDOW).select("item_id", F.explode(F.transform(plain_at, lambda i: F.struct(i.alias("item_at"), _hash("t")(i).alias("h"), F.lit(True).alias("literal")))).alias("w"))
+    by_form = split.where(F.size("t") >= WINDOW).select("item_id", F.explode(F.transform("heavy", lambda i: F.struct(i.alias("item_at"), _form_hash("s", WINDOW)(i).alias("h"), F.lit(False).alias("literal")))).alias("w"))
+    short = split.where(F.size("t").between(1, WINDOW - 1))
+    whole = short.select("item_id", F.lit(0).alias("item_at"), F.coalesce(*(F.when(F.size("s") == n, _form_hash("s", n)(F.lit(0))) for n in range(1, WINDOW))).alias("h"), F.lit(False).alias("literal"))
+    places = stored(by_template.unionByName(by_form).select("item_id", "w.*").unionByName(whole), "benchmark-windows")
+    joined = few(places)
+    tokens = texts.select("doc_id", "text", template(F.col("text")).alias("t")).withColumn("heavy", _heavy("t"))
+    tokens = tokens.select("doc_id", "t", "heavy", F.when(F.size("heavy") > 0, surface(F.col("text"))).alias("s"))
+    none = F.array().cast("array<bigint>")
+    hashes = F.concat(F.coalesce(_windows("t", _hash("t")), none), F.coalesce(F.transform("heavy", _form_hash("s", WINDOW)), none))
+    windows = tokens.select("doc_id", "heavy", (F.size("t") - WINDOW + 1).alias("n"), F.posexplode(hashes).alias("at", "h"))
+    windows = windows.select("doc_id", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.get("heavy", F.col("at") - F.col("n"))).alias("doc_at"), "h")
+    met = windows.join(joined, "h")
+    # whole items of fewer tokens than a window: their own lengths, if there are any
+    for (n,) in short.select(F.size("t")).distinct().collect():
+        forms = texts.select("doc_id", surface(F.col("text")).alias("s")).where(F.size("s") >= n)
+        forms = forms.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("s") - n), _form_hash("s", n))).alias("doc_at", "h"))
+        met = met.unionByName(forms.join(joined, "h"))
+    met = met.groupBy("doc_id", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.max("literal").alias("literal"))
+    met = stored(met, "template-matches")
     # windows in a row: at one offset, places less their rank stay the same
     row = met.withColumn("line", F.col("item_at") - F.row_number().over(_by("doc_id", "item_id", "shift").orderBy("item_at")))
-    lines = row.groupBy("doc_id", "item_id", "shift", "line").agg(F.count("*").alias("run"), F.min("item_at").alias("first"))
+    lines = row.groupBy("doc_id", "item_id", "shift", "line").agg(F.count("*").alias("run"), F.min("item_at").alias("first"), F.collect_list(F.when(F.col("literal"), F.col("item_at"))).alias("literal"))
     best = lines.groupBy("doc_id", "item_id", "shift").agg(F.sum("run").alias("n"), F.max("run").alias("run"))
     best = best.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", -F.col("shift"), "run")).alias("b"), F.max("run").alias("run"))
-    held = met.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("matched"))
-    sizes = places.groupBy("item_id").agg(F.count("*").alias("windows"))
+    of_literal = F.when(F.col("literal"), F.col("item_at"))
+    held = met.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("matched"), F.countDistinct(of_literal).alias("met_literal"))
+    sizes = places.groupBy("item_id").agg(F.count("*").alias("windows"), F.count(of_literal).alias("literals"))
     found = held.join(best, ["doc_id", "item_id"]).join(few(sizes), "item_id")
-    found = found.select("doc_id", "item_id", "windows", "matched", (F.col("matched") / F.col("windows")).alias("coverage"), "run", (-F.col("b.col2")).alias("shift"))
+    found = found.select("doc_id", "item_id", "windows", "literals", "matched", _coverage("matched", "met_literal").alias("coverage"), "run", (-F.col("b.col2")).alias("shift"))
     found = stored(found.where(_enough("coverage", "run")), "template-candidates")
     slotted = items.where(F.exists("t", _is_slot))
     plain = found.join(items.where(~F.exists("t", _is_slot)).select("item_id"), "item_id", "left_semi")
-    plain = plain.withColumns({"slots": F.lit(0), "changed": F.lit(0)})
+    plain = plain.drop("literals").withColumns({"slots": F.lit(0), "changed": F.lit(0)})
     out = plain.unionByName(_consistent(found.join(few(slotted), "item_id"), lines, texts).select(*plain.columns))
     return out.dropDuplicates(["doc_id", "item_id"]).select(*plain.columns)
 
 
+def _coverage(matched: str, met_literal: str) -> Column:
+    """The share of all windows, or of those with enough literal words: a copy with other values holds no others."""
+    return F.greatest(F.col(matched) / F.col("windows"), F.when(F.col("literals") > 0, F.col(met_literal) / F.col("literals")))
+
+
 def _enough(coverage: str, run: str) -> Column:
     return (F.col(coverage) >= COVERAGE) | (F.col(run) >= RUN)
 
@@ -131,32 +168,32 @@ def _consistent(candidates: DataFrame, lines: DataFrame, texts: DataFrame) -> Da
     or left out), and among all."""
     pair = ["doc_id", "item_id"]
     shifts = lines.join(few(stored(candidates.select(*pair), "template-slotted")), pair, "left_semi")
-    shifts = shifts.groupBy(*pair, "shift").agg(F.sum("run").alias("n"), F.max("run").alias("run"), F.collect_list(F.struct("first", F.col("run").alias("size"))).alias("parts"))
+    shifts = shifts.groupBy(*pair, "shift").agg(F.sum("run").alias("n"), F.max("run").alias("run"), F.collect_list(F.struct("first", F.col("run").alias("size"), "literal")).alias("parts"))
     near = F.floor(F.col("shift") / NEAR).cast("long")
     shifts = shifts.withColumn("near", F.explode(F.array(near, near + 1, F.lit(None).cast("long"))))
     unit = F.struct((-F.col("n")).alias("less"), "shift", "n", "run", "parts")
     groups = shifts.groupBy(*pair, "near").agg(F.sort_array(F.collect_list(unit)).alias("units"))
-    groups = groups.join(candidates.select(*pair, "windows", "t", "s"), pair)
+    groups = groups.join(candidates.select(*pair, "windows", "literals", "t", "s"), pair)
     groups = stored(groups, "template-slots")
     checked = texts.join(few(groups), "doc_id").withColumn("d", surface(F.col("text")))
     at = lambda u: F.flatten(F.transform(u.parts, lambda p: F.sequence(p["first"], p["first"] + p["size"] - 1)))
     slots = lambda u: F.transform(
-        F.filter(F.array_distinct(F.flatten(F.transform(u.parts, lambda p: F.sequence(p["first"], p["first"] + p["size"] + WINDOW - 2)))), lambda i: _is_slot(F.get("t", i))),
-        lambda i: F.struct(i.alias("at"), F.get("t", i).alias("t"), F.get("s", i).alias("item"), F.get("d", (u.shift + i).cast("int")).alias("doc")),
+        F.filter(F.array_distinct(F.flatten(F.transform(u.parts, lambda p: F.sequence(p["first"], p["first"] + p["size"] + WINDOW - 2)))), lambda i: (i < F.size("t")) & _is_slot(F.get("t", i.cast("int")))),
+        lambda i: F.struct(i.alias("at"), F.get("t", i.cast("int")).alias("t"), F.get("s", i.cast("int")).alias("item"), F.get("d", (u.shift + i).cast("int")).alias("doc")),
     )
-    units = F.transform("units", lambda u: F.struct(u.shift.alias("shift"), u.run.alias("run"), at(u).alias("at"), slots(u).alias("slots")))
+    units = F.transform("units", lambda u: F.struct(u.shift.alias("shift"), u.run.alias("run"), at(u).alias("at"), F.flatten(F.transform(u.parts, lambda p: p["literal"])).alias("literal"), slots(u).alias("slots")))
     checked = checked.withColumn("units", units)
     none = lambda name: F.filter(F.get("units", F.lit(0))[name], lambda x: F.lit(False))
-    start = F.struct(F.lit(None).cast("long").alias("shift"), F.lit(0).cast("long").alias("run"), none("at").alias("at"), none("slots").alias("slots"))
+    start = F.struct(F.lit(None).cast("long").alias("shift"), F.lit(0).cast("long").alias("run"), none("at").alias("at"), none("literal").alias("literal"), none("slots").alias("slots"))
 
     def take(got: Column, u: Column) -> Column:
         slots = F.array_union(got.slots, u.slots)
-        more = F.struct(F.coalesce(got.shift, u.shift).alias("shift"), F.greatest(got.run, u.run).alias("run"), F.array_union(got["at"], u["at"]).alias("at"), slots.alias("slots"))
+        more = F.struct(F.coalesce(got.shift, u.shift).alias("shift"), F.greatest(got.run, u.run).alias("run"), F.array_union(got["at"], u["at"]).alias("at"), F.array_union(got["literal"], u["literal"]).alias("literal"), slots.alias("slots"))
         return F.when(_agree(slots), more).otherwise(got)
 
-    checked = checked.select(*pair, "windows", F.aggregate("units", start, take).alias("got"))
-    checked = checked.select(*pair, "windows", F.size("got.at").cast("long").alias("matched"), "got.run", "got.shift", "got.slots")
-    checked = checked.withColumn("coverage", F.col("matched") / F.col("windows")).where(_enough("coverage", "run"))
+    checked = checked.select(*pair, "windows", "literals", F.aggregate("units", start, take).alias("got"))
+    checked = checked.select(*pair, "windows", "literals", F.size("got.at").cast("long").alias("matched"), F.size("got.literal").cast("long").alias("met_literal"), "got.run", "got.shift", "got.slots")
+    checked = checked.withColumn("coverage", _coverage("matched", "met_literal")).where(_enough("coverage", "run"))
     checked = checked.withColumns({"changed": F.size(F.filter("slots", lambda x: x.item != x.doc)), "slots": F.size("slots")})
     names = ("matched", "windows", "coverage", "run", "shift", "slots", "changed")
     one = checked.groupBy(*pair).agg(F.max(F.struct("matched", (-F.col("shift")).alias("order"), *names[1:])).alias("b"))

@@ -209,6 +209,22 @@ def test_slots_are_read_where_windows_match(spark):
     assert sorted(found_by(spark, texts, [item])) == [(k, 0) for k in range(4)]
 
 
+def test_items_of_slots_and_short_items(spark):
+    numbers = "3 14 15 92 65 35 89 79 32 38 46 26"
+    units = "Convert 5 km 20 miles 7 feet 300 inches 12 yards"
+    names = "Boston Chicago Denver Dallas Paris Lisbon"
+    mixed = "add 17 and 25 then 31 and 47 now take 8 of 90 from 12 and 6 as 77 is 54 more than 23"
+    texts = [
+        f"so {numbers} it is", f"please: {units}.", f"he went to {names} too", "nothing " + mixed + " else",
+        " ".join(mixed.split()[4:20]),  # 4: a long passage, with numbers all through it
+        " ".join(str(k) for k in range(200, 230)), "We saw Rome Madrid Vienna Berlin Prague Warsaw Athens",  # 5, 6: placeholders alone
+        "what is 7 x 8?", "what is 9 x 8?", "7 8", "Is it over there",
+    ]
+    found = found_by(spark, texts, [numbers, units, names, mixed, "7 x 8", "Over There!"])
+    assert sorted(found) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (7, 4), (10, 5)]
+    assert found[4, 3]["run"] == 12 and found[7, 4]["shift"] == 2
+
+
 def test_decontamination_runs_no_python(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     plan = template_decontam.decontaminate(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet"))._jdf.queryExecution().toString()
