@@ -13,7 +13,9 @@ numbers is caught, and a text that merely has numbers in the same places is not.
 
 A document is contaminated by an item when it is consistent and either holds
 at least 0.8 of the item's windows (all, or those of literal words), or nine windows in a row (thirteen
-words, a common convention for long passages).
+words, a common convention for long passages), or all its tokens in place but for one that was
+replaced or left out (items of ten tokens or more) or two that were replaced (twenty or more).
+An inserted word is found by coverage or run alone.
 
 The benchmark's windows and the candidates are broadcast only when they were counted and
 are few; otherwise the joins shuffle, and a frequent window is split by adaptive execution.
@@ -141,7 +143,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     slotted = items.where(F.exists("t", _is_slot))
     plain = found.join(items.where(~F.exists("t", _is_slot)).select("item_id"), "item_id", "left_semi")
     plain = plain.drop("literals").withColumns({"slots": F.lit(0), "changed": F.lit(0)})
-    out = plain.unionByName(_consistent(found.join(few(slotted), "item_id"), lines, texts).select(*plain.columns))
+    out = stored(plain.unionByName(_consistent(found.join(few(slotted), "item_id"), lines, texts).select(*plain.columns)), "template-found")
+    out = out.unionByName(_edited(out, held, lines, sizes, items, texts).select(*plain.columns))
     return out.dropDuplicates(["doc_id", "item_id"]).select(*plain.columns)
 
 
@@ -200,6 +203,44 @@ def _consistent(candidates: DataFrame, lines: DataFrame, texts: DataFrame) -> Da
     return one.select(*pair, *(f"b.{k}" for k in names))
 
 
+def _edited(out: DataFrame, held: DataFrame, lines: DataFrame, sizes: DataFrame, items: DataFrame, texts: DataFrame) -> DataFrame:
+    """Documents that hold a whole item but for one replaced or missing word, or two replaced ones in a long item.
+
+    One word breaks five windows at most, so shifts with all but these are compared token by token."""
+    pair = ["doc_id", "item_id"]
+    edits = F.when(F.col("windows") > 3 * WINDOW, 2).when(F.col("windows") > WINDOW, 1)
+    shifts = lines.groupBy(*pair, "shift").agg(F.sum("run").alias("n"), F.max("run").alias("run"))
+    before = F.lag(F.struct("shift", "n")).over(_by(*pair).orderBy("shift"))
+    shifts = shifts.withColumn("before", before).join(few(sizes.withColumn("edits", edits).where("edits > 0")), "item_id")
+    both = F.col("n") + F.when(F.col("before.shift") == F.col("shift") - 1, F.col("before.n")).otherwise(0)
+    shifts = shifts.where((F.col("n") >= F.col("windows") - WINDOW * F.col("edits")) | (both >= F.col("windows") - WINDOW))
+    shifts = shifts.join(few(out.select(*pair)), pair, "left_anti")
+    tried = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.col("shift"), F.col("shift") + 1)))))
+    tried = shifts.groupBy(*pair).agg(F.first("windows").alias("windows"), F.first("edits").alias("edits"), F.max("run").alias("run"), tried.alias("tried"))
+    # words of literal windows as a template, others by their surface
+    covered = F.transform("t", lambda x, i: F.exists(F.sequence(F.greatest(i - WINDOW + 1, F.lit(0)), F.least(i, F.size("t") - WINDOW)), lambda a: ~F.array_contains("heavy", a)))
+    items = items.where(F.size("t") > WINDOW).withColumn("heavy", _heavy("t")).withColumn("covered", covered).drop("heavy")
+    tried = stored(tried.join(held, pair).join(few(stored(items, "benchmark-covered")), "item_id"), "template-edited")
+    texts = texts.join(few(tried), "doc_id").withColumns({"d": surface(F.col("text")), "dt": template(F.col("text"))})
+    at = lambda tokens, i, s: F.when(s + i >= 0, F.get(tokens, F.greatest(s + i, F.lit(0)).cast("int")))
+    other = lambda i, s: ~F.coalesce((F.get("s", i) == at("d", i, s)) | (F.get("covered", i) & (F.get("t", i) == at("dt", i, s))), F.lit(False))
+    places = F.sequence(F.lit(0), F.size("t") - 1)
+    differ = lambda s: F.filter(places, lambda i: other(i, s))
+    texts = texts.withColumn("tried", F.transform("tried", lambda s: F.struct(s.alias("shift"), differ(s).alias("here"), differ(s - 1).alias("after"))))
+    missing = lambda u: F.coalesce(F.array_max(u.after) <= F.array_min(u.here), F.lit(False))
+    texts = texts.withColumn("tried", F.filter("tried", lambda u: (F.size(u.here) <= F.col("edits")) | missing(u)))
+
+    def slots(u: Column) -> Column:
+        gap = F.when(F.size(u.here) > F.col("edits"), F.array_min(u.here))  # after a missing word, the text is one token behind
+        kept = F.filter(places, lambda i: _is_slot(F.get("t", i)) & F.when(gap.isNull(), ~F.array_contains(u.here, i)).otherwise(i != gap))
+        return F.transform(kept, lambda i: F.struct(F.get("t", i).alias("t"), F.get("s", i).alias("item"), at("d", i, u.shift - F.when(i > gap, 1).otherwise(0)).alias("doc")))
+
+    texts = texts.withColumn("tried", F.filter(F.transform("tried", lambda u: F.struct(u.shift.alias("shift"), slots(u).alias("slots"))), lambda u: _agree(u.slots)))
+    texts = texts.where(F.size("tried") > 0).withColumn("u", F.get("tried", F.lit(0)))
+    return texts.select(*pair, "windows", "matched", (F.col("matched") / F.col("windows")).alias("coverage"), "run", "u.shift",
+                        F.size("u.slots").alias("slots"), F.size(F.filter("u.slots", lambda x: x.item != x.doc)).alias("changed"))
+
+
 def _by(*cols: str):
     from pyspark.sql import Window
 

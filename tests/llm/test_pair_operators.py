@@ -225,6 +225,31 @@ def test_items_of_slots_and_short_items(spark):
     assert found[4, 3]["run"] == 12 and found[7, 4]["shift"] == 2
 
 
+def test_items_with_an_edited_word(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    items = [[word() for _ in range(n)] for n in (10, 15, 16, 19, 22, 26, 30)]
+    items[3][5:12] = ["Boston", "with", "12", "other", "towns", "but", "12"]
+    texts, want = [], set()
+
+    def add(k, words, found=True):
+        if found:
+            want.add((len(texts), k))
+        texts.append(" ".join([word(), word(), *words, word()]))
+
+    for k, item in enumerate(items):
+        for p in range(len(item)):
+            if item[p].islower():
+                add(k, [*item[:p], word(), *item[p + 1 :]])
+                add(k, item[:p] + item[p + 1 :])
+    add(4, [*items[4][:7], word(), *items[4][8:14], word(), *items[4][15:]])
+    add(1, [*items[1][:5], word(), word(), *items[1][7:]], False)
+    add(0, [word() for _ in range(4)] + items[0][4:], False)  # half of it
+    add(3, [word() if w == "other" else "13" if i == 11 else w for i, w in enumerate(items[3])], False)  # another question
+    add(3, [word() if w == "other" else "13" if w == "12" else w for w in items[3]])
+    assert sorted(found_by(spark, texts, [" ".join(i) for i in items])) == sorted(want)
+
+
 def test_decontamination_runs_no_python(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     plan = template_decontam.decontaminate(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet"))._jdf.queryExecution().toString()
