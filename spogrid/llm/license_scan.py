@@ -124,9 +124,12 @@ class Scanner:
                     lo = max(lo, raw.rfind(b"\n", lo, at) + 1)
                     stop = raw.find(b"\n", at, hi + 1)
                     hi = min(hi, stop if stop >= 0 else len(raw))
-                    # a byte more on either side tells whether a word ends there
-                    m = pattern.search(raw, max(lo - 1, 0), min(hi + 1, len(raw)))
-                    if m and b"\n" not in m[0]:
+                    # a byte more on either side tells whether a word ends there; a text's own ends tell it themselves
+                    first, end = lo == 0 or raw[lo - 1] == 10, hi + (hi < len(raw) and raw[hi] != 10)
+                    m = pattern.search(raw, lo if first else lo - 1, end)
+                    if first:  # a search puts in nothing where it begins, a match does
+                        m = min(filter(None, (m, pattern.match(raw, lo, end))), key=lambda m: sum(m.fuzzy_counts), default=None)
+                    if m:
                         a, b = source[m.start()], source[m.end() - 1] + 1
                         k = int(np.searchsorted(off, a, "right") - 1)
                         key = (notice.label, k, int(a))

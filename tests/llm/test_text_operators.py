@@ -292,6 +292,18 @@ def plain_licenses(t):
     return (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(names)), ",".join(sorted(every)))
 
 
+def test_notices_cut_off_at_the_ends_of_a_text():
+    cut = ["mit licens", "public domai", "all rights reserv", "it license", "ublic domain", "l rights reserved"]
+    texts = [x for c in cut for x in (c, "see " + c, c + " see", c + ".")]
+    _, found = license_scan.Scanner(license_scan.BASE, license_scan.NOTICES).scan(pa.array(texts, pa.large_string()))
+    for k, text in enumerate(texts):
+        c = cut[k // 4]
+        errors = {"mit licens": 1, "it license": 1, "public domai": 1, "ublic domain": 1}.get(c, 2)
+        assert [(text[h["begin"] : h["end"]], h["edits"]) for h in found[k]] == [(c, errors)], text
+    _, found = license_scan.Scanner(license_scan.BASE, license_scan.NOTICES).scan(pa.array(["xall rights reservedx"], pa.large_string()))
+    assert [h["edits"] for h in found[0]] == [2]  # letters put in at both ends
+
+
 def test_licenses(spark):
     texts = [*ODD, *NOTICES, "x " * 500 + " ".join(NOTICES), *("Some text. " + a + "\n" + b for a, b in itertools.permutations(NOTICES[:6], 2))]
     found = license_scan.scan(odd_rows(spark, texts))
