@@ -49,6 +49,7 @@ EM_ROUNDS = 3
 PRIOR_WEIGHT = 200.0  # counts that the vocabulary's own order is worth in a fit
 SPACE = b"\x20"  # stands for the vocabulary's word mark; no token holds it
 NEVER = -1e30
+SEGMENT = 256  # bytes of a long token that are held at a time
 
 
 class Pieces(NamedTuple):
@@ -176,45 +177,63 @@ class Lattice:
             return np.logaddexp(np.log1p(-whole) + out, np.log(whole * counts / max(n, 1)))
 
     def _forward(self, grid: np.ndarray) -> np.ndarray:
-        if len(grid) <= 256:
+        if len(grid) <= SEGMENT:
             return self.forward(self.piece_ids(grid))
         # a very long token: the last sums carry on, so that what is held stays small
-        alpha = np.full((self.longest, grid.shape[1]), NEVER)
+        alpha = self._before(grid.shape[1])
+        for at in range(0, len(grid), SEGMENT):
+            alpha = self._carried(grid, at, alpha)[-self.longest :]
+        return alpha
+
+    def _before(self, n: int) -> np.ndarray:
+        """The sums at the start of n tokens, which is the last of the positions held."""
+        alpha = np.full((self.longest, n), NEVER)
         alpha[-1] = 0
-        for at in range(0, len(grid), 256):
-            lo = max(0, at - self.longest + 1)
-            ids = [x[at - lo :] for x in self.piece_ids(grid[lo : at + 256])]
-            for t in range(len(ids[0])):
-                reach = min(len(ids), at + t + 1, self.longest)
-                ways = np.stack([alpha[-1 - k] + self.log_p[ids[k][t]] for k in range(reach)])
-                top = ways.max(0)
-                alpha = np.concatenate([alpha[1:], np.maximum(top + np.log(np.exp(ways - top).sum(0)), NEVER)[None]])
+        return alpha
+
+    def _carried(self, grid: np.ndarray, at: int, alpha: np.ndarray) -> np.ndarray:
+        """The sums at the positions up to ``at``, and after them those of the segment's."""
+        lo = max(0, at - self.longest + 1)
+        ids = [x[at - lo :] for x in self.piece_ids(grid[lo : at + SEGMENT])]
+        alpha = np.concatenate([alpha, np.full((len(ids[0]), grid.shape[1]), NEVER)])
+        for t in range(len(ids[0])):
+            reach, here = min(len(ids), at + t + 1, self.longest), self.longest + t
+            ways = np.stack([alpha[here - 1 - k] + self.log_p[ids[k][t]] for k in range(reach)])
+            top = ways.max(0)
+            alpha[here] = np.maximum(top + np.log(np.exp(ways - top).sum(0)), NEVER)
         return alpha
 
     def expected(self, words: list[bytes], counts: np.ndarray, whole: float, n: int) -> np.ndarray:
         """Expected uses of each piece (then of none, the end, and occurrences read through pieces) in the tokens,
-        each as often as its count. Tokens of over 256 bytes are left out of a fit's expectations: they are no words."""
+        each as often as its count. Long tokens are read by segments, forward sums kept at their borders."""
         total = np.zeros(self.none + 3)
         for part, grid in self.groups(words):
-            if len(grid) > 256:
-                continue
-            ids = self.piece_ids(grid)
-            alpha = self.forward(ids)
-            wide = len(grid)
-            beta = np.full(alpha.shape, NEVER)
-            beta[wide] = 0
-            weight = counts[part] * self.share(alpha[wide], counts[part] - 1, whole, n)
+            wide, n_words = grid.shape
+            borders = [self._before(n_words)]
+            for at in range(0, wide, SEGMENT):
+                last = self._carried(grid, at, borders[-1])
+                borders.append(last[-self.longest :].copy())
+            ends = borders[-1][-1]
+            weight = counts[part] * self.share(ends, counts[part] - 1, whole, n)
             total[-1] += weight.sum()
-            for t in range(wide - 1, -1, -1):
-                # all pieces that begin at t: of k + 1 bytes, ending at t + k
-                reach = min(len(ids), wide - t)
-                here = np.stack([ids[k][t + k] for k in range(reach)])
-                ways = np.stack([beta[t + k + 1] for k in range(reach)]) + self.log_p[here]
-                top = ways.max(0)
-                beta[t] = np.maximum(top + np.log(np.exp(ways - top).sum(0)), NEVER)
-                real = here != self.none
-                used = np.exp((ways + (alpha[t] - alpha[wide]))[real]) * np.broadcast_to(weight, here.shape)[real]
-                total[: self.none] += np.bincount(here[real], used, self.none)
+            beta = np.full((self.longest, n_words), NEVER)
+            beta[0] = 0
+            for at in reversed(range(0, wide, SEGMENT)):
+                size = min(SEGMENT, wide - at)
+                alpha = (last if at + SEGMENT >= wide else self._carried(grid, at, borders[at // SEGMENT]))[self.longest - 1 :]
+                ids = self.piece_ids(grid[at : at + size + self.longest - 1])
+                beta = np.concatenate([np.full((size, n_words), NEVER), beta])
+                for t in range(size - 1, -1, -1):
+                    # all pieces that begin at t: of k + 1 bytes, ending at t + k
+                    reach = min(len(ids), wide - at - t)
+                    here = np.stack([ids[k][t + k] for k in range(reach)])
+                    ways = np.stack([beta[t + k + 1] for k in range(reach)]) + self.log_p[here]
+                    top = ways.max(0)
+                    beta[t] = np.maximum(top + np.log(np.exp(ways - top).sum(0)), NEVER)
+                    real = here != self.none
+                    used = np.exp((ways + (alpha[t] - ends))[real]) * np.broadcast_to(weight, here.shape)[real]
+                    total[: self.none] += np.bincount(here[real], used, self.none)
+                beta = beta[: self.longest]
         for k in (k for k, w in enumerate(words) if not w):
             end = float(counts[k] * self.share(np.array(self.end), counts[k] - 1, whole, n))
             total[-2] += end
@@ -224,8 +243,8 @@ class Lattice:
     @staticmethod
     def share(log_pieces: np.ndarray, others: np.ndarray, whole: float, n: int) -> np.ndarray:
         """How far a token is read through pieces, given how often it occurs otherwise."""
-        through = (1 - whole) * np.exp(np.maximum(log_pieces, -700))
-        return through / np.maximum(through + whole * others / n, 1e-300)
+        with np.errstate(divide="ignore", over="ignore"):  # in logarithms, as a long token's probability is no double
+            return 1 / (1 + np.exp(np.log(whole * others / n) - np.log1p(-whole) - log_pieces))
 
 
 def _pack(words: list[bytes]) -> bytes:

@@ -199,6 +199,22 @@ def plain_base(docs):
     return {k: (zlib.crc32(str(k).encode()) % 5 == 1, len(ws), sum(train[w] > 0 for w in ws), n, sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for k, ws in words.items()}
 
 
+def test_long_tokens_enter_the_fit(monkeypatch):
+    pieces, order = tiny_pieces({" ": 1, " a": 2, "a": 3, "b": 2, "ab": 4, " ab": 2})
+    lattice = lattice_lm.Lattice(pieces, np.log(pieces.first_p))
+    words, counts = [b"ab" * 128, b"aab" * 400, b"b" * 700, b"ab"], np.array([1.0, 2.0, 1.0, 3.0])
+    for whole in (0.0, 0.5):
+        got = lattice.expected(words, counts, whole, 10)
+        monkeypatch.setattr(lattice_lm, "SEGMENT", 1 << 20)
+        assert got == pytest.approx(lattice.expected(words, counts, whole, 10), rel=1e-9)
+        monkeypatch.undo()
+    got = lattice.expected(words, counts, 0.0, 10)
+    assert got[-1] == pytest.approx(7)
+    assert sum(len(s) * got[k] for k, s in enumerate(order)) == pytest.approx(sum(c * (len(w) + 1) for w, c in zip(words, counts, strict=True)))
+    # once in training, and so read through pieces alone, however unlikely
+    assert lattice.expected([b"b" * 700], np.array([1.0]), 0.5, 10)[-1] == 1
+
+
 def test_lattice_scores(spark, monkeypatch):
     monkeypatch.setattr(lattice_lm, "CHUNK", 2000)  # several chunks
     texts = [*ODD, *("the cat sat on the mat " * (k % 4 + 1) + "Thing%d" % (k % 7) for k in range(40))]
