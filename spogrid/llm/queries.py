@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spogrid.llm import bpe, embedding_dedup, langmix, lattice_lm, license_scan, orc_tokens, quality, shingle_join, template_decontam, url_vocabulary
+from spogrid.llm import bpe, code_search, embedding_dedup, filter_audit, langmix, lattice_lm, license_scan, merkle_manifest, orc_tokens, quality, shingle_join, template_decontam, url_vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,7 +107,20 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_to_orc(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = (op1_quality, op2_template_decontam, op3_embedding_dedup, op4_byte_bpe, op5_lattice_lm, op6_language_mixture, op7_license_scan, op8_url_vocabulary, op9_shingle_join, op10_orc_tokens)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle_manifest.manifest(_table(spark, sf_dir, "documents"), tampered=merkle_manifest.tampered_rows())
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = (op1_quality, op2_template_decontam, op3_embedding_dedup, op4_byte_bpe, op5_lattice_lm, op6_language_mixture, op7_license_scan, op8_url_vocabulary, op9_shingle_join, op10_orc_tokens, op11_merkle_manifest, op12_code_search, op13_filter_audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -115,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_template_decontam": template_decontam.sql(), "op3_embedding_dedup": OP3_SQL, "op8_url_vocabulary": url_vocabulary.sql(), "op9_shingle_join": OP9_SQL}
+    return {"op2_template_decontam": template_decontam.sql(), "op3_embedding_dedup": OP3_SQL, "op8_url_vocabulary": url_vocabulary.sql(), "op9_shingle_join": OP9_SQL, "op11_merkle_manifest": merkle_manifest.sql(), "op13_filter_audit": filter_audit.sql()}
