@@ -178,12 +178,16 @@ def search(query: np.ndarray, query_code: np.ndarray, query_row: np.ndarray, rea
     index = SubstringIndex(code)
     out = []
     step = max(1, PIECE // max(1, index.n))
+    # what two orders of summation can differ by, at most
+    margin = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((query**2).sum(1)) * np.sqrt((x**2).sum(1).max())
     for r in np.unique(reach[reach >= 0]):
         members = np.flatnonzero(reach == r)
         for at in range(0, len(members), step):
             group = members[at : at + step]
             i, j = index.within(np.ascontiguousarray(query_code[group]), int(r))
-            i = group[i]
+            # a product of matrices tells which of them can reach the bound; those are summed in order
+            able = ~((query[group] @ x.T)[i, j] < (least - margin)[group][i])
+            i, j = group[i[able]], j[able]
             other = query_row[i] != row[j]
             i, j = i[other], j[other]
             score = products(query, x, i, j)
