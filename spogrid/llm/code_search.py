@@ -9,8 +9,8 @@ codes is indexed by its value, and a query probes the values near its own: a
 code within Hamming distance r of the query has a substring within
 r div (substrings), so probing to there and comparing whole codes retrieves every code
 within r. Where the probes would touch more entries than there are codes, all codes are compared.
-(4) The first round probes a small fixed radius; the k-th best product that it finds is
-a bound for each query. In the second round the radius is the one within which the sample's
+(4) The first round ranks what probes to a small fixed distance meet; the k-th best product of these is
+a lower bound for each query. In the second round the radius is the one within which the sample's
 neighbours at this bound's angle fall (its ``RECALL`` quantile), and what it
 retrieves is ranked by the inner product of the vectors themselves, summed
 in double precision from the first component to the last.
@@ -144,21 +144,25 @@ class SubstringIndex:
         counts = [np.concatenate([[0], np.cumsum(np.bincount(parts[:, j], minlength=1 << PART))]) + j * self.n for j in range(PARTS)]
         self.start = np.stack(counts)
 
-    def within(self, query: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, code) of every pair within distance r."""
+    def within(self, query: np.ndarray, r: int) -> np.ndarray:
+        """For each query and code: whether they are within distance r."""
         reach = min(r // PARTS, PART)
-        words = query.view(np.uint64)
         if int(WITHIN[reach]) * PARTS >= 1 << PART:  # the probes would touch more entries than there are codes
-            return np.nonzero(hamming(words[:, None], self.words[None]) <= r)
+            return hamming(query.view(np.uint64)[:, None], self.words[None]) <= r
+        mark = self.probed(query, reach)
+        q, x = np.nonzero(mark)
+        mark[q, x] = hamming(query.view(np.uint64)[q], self.words[x]) <= r
+        return mark
+
+    def probed(self, query: np.ndarray, reach: int) -> np.ndarray:
+        """For each query and code: whether some substring of theirs is within ``reach``."""
         probes = query.view(np.uint16)[:, :, None] ^ MASKS[: WITHIN[reach]]
         j = np.arange(PARTS)[:, None]
         first, end = self.start[j, probes].ravel(), self.start[j, probes.astype(np.int64) + 1].ravel()
         hit = np.repeat(np.repeat(np.arange(len(query)), probes.shape[1] * probes.shape[2]), end - first)
-        mark = np.zeros(len(query) * self.n, bool)
-        mark[hit * self.n + self.order[ragged(first, end - first)]] = True
-        q, x = np.divmod(np.flatnonzero(mark), self.n)
-        near = hamming(words[q], self.words[x]) <= r
-        return q[near], x[near]
+        mark = np.zeros((len(query), self.n), bool)
+        mark[hit, self.order[ragged(first, end - first)]] = True
+        return mark
 
 
 def products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -172,35 +176,41 @@ def products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-def search(query: np.ndarray, query_code: np.ndarray, query_row: np.ndarray, reach: np.ndarray, least: np.ndarray, x: np.ndarray, code: np.ndarray,
+def search(query: np.ndarray, query_code: np.ndarray, query_row: np.ndarray, reach: np.ndarray | None, least: np.ndarray, x: np.ndarray, code: np.ndarray,
            ids: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (query, row, product) of each query among the rows within its reach, none below ``least``."""
+    """The k best (query, row, product) of each query among the rows within its reach, none below ``least``.
+
+    Without a reach: among all rows that the first round's probes meet; their products are lower bounds.
+    """
     index = SubstringIndex(code)
-    out = []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     step = max(1, PIECE // max(1, index.n))
     # what two orders of summation can differ by, at most
     margin = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((query**2).sum(1)) * np.sqrt((x**2).sum(1).max())
-    for r in np.unique(reach[reach >= 0]):
-        members = np.flatnonzero(reach == r)
+    radii = np.zeros(len(query), np.int64) if reach is None else reach
+    for r in np.unique(radii[radii >= 0]):
+        members = np.flatnonzero(radii == r)
         for at in range(0, len(members), step):
             group = members[at : at + step]
-            i, j = index.within(np.ascontiguousarray(query_code[group]), int(r))
-            # a product of matrices tells which of them can reach the bound; those are summed in order
-            able = ~((query[group] @ x.T)[i, j] < (least - margin)[group][i])
-            i, j = group[i[able]], j[able]
-            other = query_row[i] != row[j]
-            i, j = i[other], j[other]
-            score = products(query, x, i, j)
+            asked_code = np.ascontiguousarray(query_code[group])
+            near = index.probed(asked_code, FIRST) if reach is None else index.within(asked_code, int(r))
+            near &= query_row[group][:, None] != row
+            # a matrix product tells which rows can be among the best; only these are summed in order
+            about = np.where(near, query[group] @ x.T, -np.inf)
+            floor = least[group] - margin[group]
+            near &= ~(about < floor[:, None])
+            if index.n > k and near.sum() > 4 * k * len(group):
+                kth = np.partition(about, index.n - k, axis=1)[:, index.n - k]
+                near &= ~(about < np.fmax(floor, kth - 2 * margin[group])[:, None])
+            i, j = np.nonzero(near)
+            score = about[i, j] - margin[group][i] if reach is None else products(query, x, group[i], j)
+            i = group[i]
             good = ~(score < least[i])
             i, j, score = i[good], j[good], score[good]
             order = np.lexsort((row[j], ids[j], -score, i))
             i, j, score = i[order], j[order], score[order]
-            first = np.searchsorted(i, i)
-            best = np.arange(len(i)) - first < k
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
             out.append((i[best], j[best], score[best]))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0)
     return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
 
 
@@ -292,13 +302,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block_bytes: int =
                 v = _matrix(tile["v"].chunk(0))
                 code = np.frombuffer(b"".join(tile["code"].to_pylist()), np.uint8).reshape(len(ask), -1)
                 row, ids = tile["row"].to_numpy(), tile["vec_id"].to_numpy()
-                reach, least = np.full(len(q), (FIRST + 1) * PARTS - 1), np.full(len(q), -np.inf)
+                reach, least = None, np.full(len(q), -np.inf)
                 if final:
                     bound = tile["bound"].to_numpy()[q].astype(np.float64)
                     known = ~np.isnan(bound)
                     least[known] = bound[known]
                     far = radius(models[width], bound / tile["length"].to_numpy()[q], longest[width, band])
-                    reach = np.where(known, np.where(far >= 0, np.maximum(far, reach), -1), BITS)
+                    reach = np.where(known, far, BITS)
                 i, j, score = search(v[q], code[q], row[q], reach, least, v[x], np.ascontiguousarray(code[x]), ids[x], row[x], k)
                 cols = [row[q][i], ids[q][i], row[x][j], ids[x][j], score]
                 yield pa.record_batch([pa.array(c) for c in cols], ["query_row", "query_id", "row", "vec_id", "score"])
