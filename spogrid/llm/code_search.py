@@ -47,7 +47,7 @@ FIT_ROWS, ROUNDS = 4096, 30
 # Share of the sample's neighbours that the second round's radius holds.
 RECALL = 0.995
 # Substrings are probed to this distance in the first round.
-FIRST = 2
+FIRST = 1
 BLOCK_BYTES = 2 << 20
 # Pairs of a query and a code looked at together.
 PIECE = 1 << 20
@@ -193,7 +193,9 @@ def search(query: np.ndarray, query_code: np.ndarray, query_row: np.ndarray, rea
         for at in range(0, len(members), step):
             group = members[at : at + step]
             asked_code = np.ascontiguousarray(query_code[group])
-            near = index.probed(asked_code, FIRST) if reach is None else index.within(asked_code, int(r))
+            near = index.probed(asked_code, FIRST)  # with what gave the bound, no query has less than k rows
+            if reach is not None:
+                near |= index.within(asked_code, int(r))
             near &= query_row[group][:, None] != row
             # a matrix product tells which rows can be among the best; only these are summed in order
             about = np.where(near, query[group] @ x.T, -np.inf)
