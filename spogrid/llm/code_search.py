@@ -3,20 +3,21 @@
 Plan. (1) Vectors get a further component that makes them equally long within a band of
 similar lengths, so that the largest inner product is the smallest angle. (2) Rotations
 learned on a bounded sample (iterative quantisation; several, stacked, where the
-vectors are shorter than the code) turn each vector into ``BITS`` signs. (3) Rows and
-queries are dealt into blocks by hash; a tile is a block of each. In a tile every substring of the
+vectors are shorter than the code) turn each vector into ``BITS`` signs. (3) Queries are
+dealt into blocks and rows into a fixed number of stripes by hash; a task holds one block of queries and reads the rows
+of one stripe piece by piece. In a piece every substring of the
 codes is indexed by its value, and a query probes the values near its own: a
 code within Hamming distance r of the query has a substring within
 r div (substrings), so probing to there and comparing whole codes retrieves every code
 within r. Where the probes would touch more entries than there are codes, all codes are compared.
-(4) The first round ranks what probes to a small fixed distance meet; the k-th best product of these is
-a lower bound for each query. In the second round the radius is the one within which the sample's
-neighbours at this bound's angle fall (its ``RECALL`` quantile), and what it
-retrieves is ranked by the inner product of the vectors themselves, summed
+(4) The radius follows from the k-th best product that the task has for the query so far: it is
+the distance within which the sample's neighbours at that product's angle fall (their ``RECALL`` quantile);
+a query without k rows yet takes every code. What is
+retrieved is ranked by the inner product of the vectors themselves, summed
 in double precision from the first component to the last.
 
-A tile holds at most two blocks of ``BLOCK_BYTES`` of vectors, and its pairs go in pieces; each
-tile returns k rows a query. Hot vectors need no care, as blocks go by a hash of the row.
+A task holds a block of queries with k rows each and one piece of rows, and returns k rows a query; the
+stripes' best are merged. Hot vectors need no care, as stripes go by a hash of the row.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component, and
 rows without an id, take no part; vectors meet those of their own length only; of
@@ -36,7 +37,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spogrid.llm.components import runs
 from spogrid.llm.shared import bounded_batches, stored
 from spogrid.llm.textkit import ragged
 
@@ -44,11 +44,10 @@ BITS, PART = 256, 16
 PARTS = BITS // PART
 # Rows of each vector length that the rotations are learned on, and rounds of learning.
 FIT_ROWS, ROUNDS = 4096, 30
-# Share of the sample's neighbours that the second round's radius holds.
+# Share of the sample's neighbours that a radius holds.
 RECALL = 0.995
-# Substrings are probed to this distance in the first round.
-FIRST = 1
-BLOCK_BYTES = 2 << 20
+# Bytes of the vectors of a block of queries, and stripes of rows.
+BLOCK_BYTES, STRIPES = 2 << 20, 8
 # Pairs of a query and a code looked at together.
 PIECE = 1 << 20
 # Substring values by their distance from 0, and how many are within each distance.
@@ -176,50 +175,67 @@ def products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-def search(query: np.ndarray, query_code: np.ndarray, query_row: np.ndarray, reach: np.ndarray | None, least: np.ndarray, x: np.ndarray, code: np.ndarray,
-           ids: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (query, row, product) of each query among the rows within its reach, none below ``least``.
-
-    Without a reach: among all rows that the first round's probes meet; their products are lower bounds.
-    """
-    index = SubstringIndex(code)
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    step = max(1, PIECE // max(1, index.n))
-    # what two orders of summation can differ by, at most
-    margin = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((query**2).sum(1)) * np.sqrt((x**2).sum(1).max())
-    radii = np.zeros(len(query), np.int64) if reach is None else reach
-    for r in np.unique(radii[radii >= 0]):
-        members = np.flatnonzero(radii == r)
-        for at in range(0, len(members), step):
-            group = members[at : at + step]
-            asked_code = np.ascontiguousarray(query_code[group])
-            near = index.probed(asked_code, FIRST)  # with what gave the bound, no query has less than k rows
-            if reach is not None:
-                near |= index.within(asked_code, int(r))
-            near &= query_row[group][:, None] != row
-            # a matrix product tells which rows can be among the best; only these are summed in order
-            about = np.where(near, query[group] @ x.T, -np.inf)
-            floor = least[group] - margin[group]
-            near &= ~(about < floor[:, None])
-            if index.n > k and near.sum() > 4 * k * len(group):
-                kth = np.partition(about, index.n - k, axis=1)[:, index.n - k]
-                near &= ~(about < np.fmax(floor, kth - 2 * margin[group])[:, None])
-            i, j = np.nonzero(near)
-            score = about[i, j] - margin[group][i] if reach is None else products(query, x, group[i], j)
-            i = group[i]
-            good = ~(score < least[i])
-            i, j, score = i[good], j[good], score[good]
-            order = np.lexsort((row[j], ids[j], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            best = np.arange(len(i)) - np.searchsorted(i, i) < k
-            out.append((i[best], j[best], score[best]))
-    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
+class Best:
+    """The k best rows of each query so far, best first: product, vec_id, row."""
+
+    def __init__(self, query: np.ndarray, code: np.ndarray, row: np.ndarray, k: int):
+        self.query, self.code, self.row, self.k = query, np.ascontiguousarray(code), row, k
+        self.length = np.sqrt((query**2).sum(1))
+        self.found = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.least = np.full(len(query), -np.inf)
+
+    def add(self, i: np.ndarray, score: np.ndarray, ids: np.ndarray, row: np.ndarray) -> None:
+        i, score, ids, row = (np.concatenate(x) for x in zip(self.found, (i, score, ids, row), strict=True))
+        order = np.lexsort((row, ids, -score, i))
+        i, score, ids, row = i[order], score[order], ids[order], row[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        last = place == self.k - 1
+        self.least[i[last]] = score[last]
+        best = place < self.k
+        self.found = [i[best], score[best], ids[best], row[best]]
+
+    def search(self, x: np.ndarray, code: np.ndarray, ids: np.ndarray, row: np.ndarray, reach: np.ndarray) -> None:
+        """Take in the rows within each query's reach."""
+        index = SubstringIndex(code)
+        step = max(1, PIECE // index.n)
+        # what two orders of summation can differ by, at most
+        margin = 4 * x.shape[1] * np.finfo(float).eps * self.length * np.sqrt((x**2).sum(1).max())
+        new = []
+        for r in np.unique(reach[reach >= 0]):
+            members = np.flatnonzero(reach == r)
+            for at in range(0, len(members), step):
+                group = members[at : at + step]
+                near = index.within(self.code[group], int(r))
+                near &= self.row[group][:, None] != row
+                # a matrix product tells which rows can be among the best; only these are summed in order
+                about = np.where(near, self.query[group] @ x.T, -np.inf)
+                floor = (self.least - margin)[group]
+                if index.n > self.k:
+                    kth = np.partition(about, index.n - self.k, axis=1)[:, index.n - self.k]
+                    floor = np.fmax(floor, kth - 2 * margin[group])
+                i, j = np.nonzero(near & ~(about < floor[:, None]))
+                new.append((group[i], products(self.query, x, group[i], j), ids[j], row[j]))
+        if new:
+            self.add(*(np.concatenate(c) for c in zip(*new, strict=True)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where a key changes."""
+    for batch in batches:
+        change = np.zeros(batch.num_rows, bool)
+        for name in keys:
+            c = batch.column(name).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def prepared(vectors: DataFrame, every: int, id_col: str, vector_col: str) -> DataFrame:
     """The rows that take part: (row, vec_id, width, band, length, asks, v)."""
     v, limit = F.col(vector_col), F.lit(float("inf"))
@@ -258,12 +274,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block_bytes: int =
     layout = rows.groupBy("width", "band").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asks"), F.max("length").alias("longest")).collect()
     models = fit(rows, layout)
     longest = {(r["width"], r["band"]): r["longest"] * (1 + 1e-12) for r in layout}
-    size = {w: max(64, block_bytes // (8 * w)) for w in models}
     asks = {w: sum(r["asks"] for r in layout if r["width"] == w) for w in models}
-    blocks = [(r["width"], r["band"], -(-r["n"] // size[r["width"]]), -(-asks[r["width"]] // size[r["width"]])) for r in layout]
-    # one row for each band of lengths, of which doubles have some two thousand
-    deal = F.broadcast(spark.createDataFrame(blocks, "width int, band int, row_blocks long, query_blocks long"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, 2 * sum(b[2] * b[3] for b in blocks)))
+    blocks = [(w, -(-n // max(64, block_bytes // (8 * w)))) for w, n in asks.items()]
+    # one row for each length of vectors
+    deal = F.broadcast(spark.createDataFrame(blocks, "width int, blocks long"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, STRIPES * sum(n for _, n in blocks)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,49 +294,42 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block_bytes: int =
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     index = stored(rows.mapInArrow(encode, f"{fields}, code binary, ask_code binary"), "search-codes")
-    at_row = F.pmod(F.xxhash64("row"), F.col("row_blocks"))
-    keys = ["width", "band", "qb", "xb"]
-
-    def tiles(bounds: DataFrame | None) -> DataFrame:
-        held = index.join(deal, ["width", "band"]).withColumn("xb", at_row).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-        held = held.where("query_blocks > 0").select(*keys, F.lit(False).alias("asks"), "row", "vec_id", "length", F.lit(None).cast("double").alias("bound"), "code", "v")
-        queries = index.where("asks")
-        queries = queries.join(bounds, "row", "left") if bounds is not None else queries.withColumn("bound", F.lit(None).cast("double"))
-        queries = queries.drop("band").join(deal, "width").withColumn("qb", F.pmod(F.xxhash64("row", F.lit(1)), F.col("query_blocks")))
-        queries = queries.withColumn("xb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks") - 1)))
-        queries = queries.select(*keys, F.lit(True).alias("asks"), "row", "vec_id", "length", "bound", F.col("ask_code").alias("code"), "v")
-        return held.unionByName(queries).repartition(tasks, *keys).sortWithinPartitions(*keys)
-
-    def compare(final: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for tile in runs(batches, keys):
-                tile = tile.combine_chunks()
-                width, band = tile["width"][0].as_py(), tile["band"][0].as_py()
-                ask = tile["asks"].to_numpy(zero_copy_only=False).astype(bool)
-                q, x = np.flatnonzero(ask), np.flatnonzero(~ask)
-                if not len(q) or not len(x):
-                    continue
-                v = _matrix(tile["v"].chunk(0))
-                code = np.frombuffer(b"".join(tile["code"].to_pylist()), np.uint8).reshape(len(ask), -1)
-                row, ids = tile["row"].to_numpy(), tile["vec_id"].to_numpy()
-                reach, least = None, np.full(len(q), -np.inf)
-                if final:
-                    bound = tile["bound"].to_numpy()[q].astype(np.float64)
-                    known = ~np.isnan(bound)
-                    least[known] = bound[known]
-                    far = radius(models[width], bound / tile["length"].to_numpy()[q], longest[width, band])
-                    reach = np.where(known, far, BITS)
-                i, j, score = search(v[q], code[q], row[q], reach, least, v[x], np.ascontiguousarray(code[x]), ids[x], row[x], k)
-                cols = [row[q][i], ids[q][i], row[x][j], ids[x][j], score]
-                yield pa.record_batch([pa.array(c) for c in cols], ["query_row", "query_id", "row", "vec_id", "score"])
-
-        return run
+    keys, lead = ["width", "block", "stripe"], F.sequence(F.lit(0), F.lit(STRIPES - 1))
+    tail = ["row", "vec_id", "length", "code", "v"]
+    dealt = index.join(deal, "width").where("blocks > 0")
+    held = dealt.withColumn("stripe", F.pmod(F.xxhash64("row"), F.lit(STRIPES)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = held.select(*keys, F.lit(1).alias("part"), "band", *tail)
+    queries = dealt.where("asks").withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks"))).withColumn("stripe", F.explode(lead))
+    queries = queries.select(*keys, F.lit(0).alias("part"), F.lit(0).alias("band"), "row", "vec_id", "length", F.col("ask_code").alias("code"), "v")
+    # queries first, then rows from the longest on
+    work = held.unionByName(queries).repartition(tasks, *keys).sortWithinPartitions(*keys, "part", F.desc("band"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best, ids = None, None, []
+
+        def close() -> pa.RecordBatch:
+            i, score, vec_id, row = best.found
+            return pa.record_batch([pa.array(c) for c in (best.row[i], ids[i], row, vec_id, score)], ["query_row", "query_id", "row", "vec_id", "score"])
+
+        for part in pieces(batches, [*keys, "part", "band"]):
+            width, band, key = part["width"][0].as_py(), part["band"][0].as_py(), tuple(part[c][0].as_py() for c in keys)
+            x, row, own = _matrix(part["v"]), part["row"].to_numpy(), part["vec_id"].to_numpy()
+            code = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(len(row), -1)
+            if not part["part"][0].as_py():
+                if at == key:  # more of the block's queries
+                    best = Best(np.vstack([best.query, x]), np.vstack([best.code, code]), np.concatenate([best.row, row]), k)
+                    ids = np.concatenate([ids, own])
+                else:
+                    if best is not None:
+                        yield close()
+                    at, best, ids = key, Best(x, code, row, k), own
+            elif at == key:
+                far = radius(models[width], best.least / best.length, longest[width, band])
+                best.search(x, code, own, row, np.where(np.isinf(best.least), BITS, far))
+        if best is not None:
+            yield close()
 
     schema = "query_row long, query_id long, row long, vec_id long, score double"
-    best = Window.partitionBy("query_row")
-    found = stored(tiles(None).mapInArrow(compare(False), schema), "search-first")
-    kth = found.withColumn("n", F.row_number().over(best.orderBy(F.desc("score")))).where(F.col("n") == k)
-    kth = stored(kth.select(F.col("query_row").alias("row"), F.col("score").alias("bound")), "search-bounds")
-    found = stored(tiles(kth).mapInArrow(compare(True), schema), "search-found")
-    ranked = found.withColumn("rank", F.row_number().over(best.orderBy(F.desc("score"), "vec_id", "row"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found = stored(work.mapInArrow(compare, schema), "search-found")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
