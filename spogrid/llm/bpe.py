@@ -279,21 +279,11 @@ class ByteBpe:
         return self.token_bytes[ragged(self.token_starts[ids], self.token_lens[ids])]
 
 
-_models: dict[str, ByteBpe] = {}
-
-
-def model(rank_file: str) -> ByteBpe:
-    """The worker's model of this file; it outlives a task."""
-    if rank_file not in _models:
-        _models[rank_file] = ByteBpe(rank_file)
-    return _models[rank_file]
-
-
 def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, offsets): ids of each text and the byte at which each id's token begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(rank_file)
+        bpe = ByteBpe(rank_file)  # goes when the task ends
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 ids, n = bpe.encode(texts)
@@ -312,7 +302,7 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """(doc_id, text): the text that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(rank_file)
+        bpe = ByteBpe(rank_file)  # goes when the task ends
         for batch in batches:
             texts = [None if ids is None else bpe.decode(np.array(ids, np.int64)).tobytes().decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -325,7 +315,7 @@ def round_trip(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids, digest both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(rank_file)
+        bpe = ByteBpe(rank_file)  # goes when the task ends
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 ids, n = bpe.encode(texts)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -127,29 +128,78 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lens) + np.arange(total, dtype=np.int64)
 
 
+_KEY = b"spans of bytes"
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def _parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length, first and last eight bytes of each span: all of a span of up to 16 bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    lens = ends - starts
+    return lens, eight[starts] & _MASKS[np.minimum(lens, 8)], np.where(lens > 8, eight[np.maximum(ends - 8, 0)], np.uint64(0))
+
+
+def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    lens, low, high = parts
+    keys = mix(mix(mix(low ^ _BASE) + high) + lens.astype(np.uint64))
+    long = np.flatnonzero(lens > 16)
+    if len(long):
+        raw = data.tobytes()
+        spans = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        keys[long] = np.frombuffer(b"".join(blake2b(raw[i:j], digest_size=8, key=_KEY).digest() for i, j in spans), "<u8")
+    return keys
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A keyed 64-bit hash of each span: of its first and last eight bytes and its length, or
+    of all its bytes (BLAKE2b) where it is longer than 16."""
+    return _keys(data, starts, ends, _parts(data, starts, ends))
+
+
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of one span for each distinct content, and which of them each span is.
 
-    Contents are told apart by a 64-bit hash and their length.
+    Spans are grouped by their keys, and then compared byte by byte with the one that stands for
+    the group; those that differ make groups of their own.
     """
-    lens = ends - starts
-    _, rep, which = np.unique(word_hashes(data, starts, ends) + mix(lens.astype(np.uint64)), return_index=True, return_inverse=True)
+    lens, low, high = parts = _parts(data, starts, ends)
+    _, rep, which = np.unique(_keys(data, starts, ends, parts), return_index=True, return_inverse=True)
+    as_rep = rep[which]
+    differ = (lens != lens[as_rep]) | (low != low[as_rep]) | (high != high[as_rep])
+    long = np.flatnonzero((lens > 16) & ~differ & (as_rep != np.arange(len(lens))))
+    if len(long):
+        same = data[ragged(starts[long], lens[long])] == data[ragged(starts[as_rep[long]], lens[long])]
+        differ[long] = ~np.logical_and.reduceat(same, np.cumsum(lens[long]) - lens[long])
+    if differ.any():
+        own: dict[bytes, int] = {}
+        first = []
+        for k in np.flatnonzero(differ).tolist():
+            content = data[starts[k] : ends[k]].tobytes()
+            if content not in own:
+                own[content] = len(rep) + len(first)
+                first.append(k)
+            which[k] = own[content]
+        rep = np.concatenate([rep, np.array(first, rep.dtype)])
     return starts[rep], ends[rep], which
 
 
 class SliceCache:
     """Ids of text slices. ``encode`` gets the slices not known yet and returns
-    their ids one after the other and how many each has. At most ``limit``
-    slices, none over ``longest`` bytes, stay from one chunk to the next; the
-    first ones seen stay, and frequent slices are among them.
+    their ids one after the other and how many each has. Slices of up to ``longest`` bytes stay from one chunk to
+    the next, the first ones seen, at most ``limit`` of them and ``limit_bytes`` of memory in all; frequent slices are among them.
     """
 
     longest = 200
+    # Bytes that a known slice takes besides its own and those of its ids: object, place in the index, start.
+    each = 160
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 300_000, limit_bytes: int = 32 << 20):
+        self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self.index: dict = {}
         self.flat, self.start = array("i"), array("q", [0])
+        self.taken = 0
 
     def add(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> None:
         at = len(self.index)
@@ -165,9 +215,16 @@ class SliceCache:
         slices = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         missing = [x for x in slices if x not in self.index]
         missing.sort(key=lambda x: len(x) > self.longest)
-        stay = min(self.limit, len(self.index) + sum(len(x) <= self.longest for x in missing))
+        stay = len(self.index)
         if missing:
-            self.add(missing, *self.encode(missing))
+            found, n = self.encode(missing)
+            cost = np.fromiter(map(len, missing), np.int64, len(missing)) + 4 * np.asarray(n) + self.each
+            short = sum(len(x) <= self.longest for x in missing)
+            taken = self.taken + np.cumsum(cost[:short])
+            kept = min(int(np.searchsorted(taken, self.limit_bytes, "right")), max(0, self.limit - stay))
+            self.taken = int(taken[kept - 1]) if kept else self.taken
+            stay += kept
+            self.add(missing, found, n)
         at = np.fromiter(map(self.index.__getitem__, slices), np.int64, len(slices))[which]
         start = np.frombuffer(self.start, np.int64).copy()
         first, lens = start[at], start[at + 1] - start[at]

@@ -66,14 +66,14 @@ encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable
 @given(st.lists(text, min_size=1, max_size=4))
 @settings(max_examples=300, deadline=None)
 def test_bpe_is_the_librarys(texts):
-    ids, n = bpe.model(RANKS).encode(arrow(*texts))
+    ids, n = bpe.ByteBpe(RANKS).encode(arrow(*texts))
     cut = np.concatenate([[0], np.cumsum(n)])
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(cut.tolist())] == [encoding.encode_ordinary(t) for t in texts]
-    assert bpe.model(RANKS).decode(ids).tobytes() == "".join(texts).encode()
+    assert bpe.ByteBpe(RANKS).decode(ids).tobytes() == "".join(texts).encode()
 
 
 def test_long_and_short_merges_agree():
-    model = bpe.model(RANKS)
+    model = bpe.ByteBpe(RANKS)
     some = [b"thththerewould", b"abcabcabc", "éèêë".encode(), b"x" * 39]
     assert model._merge_together(some) == [bpe.merge_long(x, model.ranks) for x in some]
 
@@ -118,6 +118,25 @@ def test_slice_cache_keeps_within_its_limit():
     assert calls == [[b"a", b"bb"], [b"ccc"], [b"ccc"]] and len(cache.index) == 2
 
 
+def test_spans_are_told_apart_by_their_bytes():
+    """Words of equal polynomial hashes for every odd base, and texts of all lengths around the keys' borders."""
+    w = "a"
+    for _ in range(11):
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    words = [w, other, w] + ["x" * n + "yz"[n % 2] for n in range(20)] * 2 + ["q" * 8 + "r" * k + "s" * 8 for k in range(6)] + ["a\0", "a", "a\0\0"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in words])])
+    a, b, which = textkit.distinct_spans(data, cut[:-1], cut[1:])
+    assert [data[a[k] : b[k]].tobytes().decode() for k in which] == words and len(a) == len(set(words))
+    text = f"{w}\n{other}"
+    ids, n = bpe.ByteBpe(RANKS).encode(arrow(text, text))
+    assert bpe.ByteBpe(RANKS).decode(ids[: n[0]]).tobytes().decode() == text
+    whole = Tokenizer.from_file(WORDS)
+    got, _ = orc_tokens.encode_texts(arrow(text), orc_tokens._encoder(WORDS))
+    assert got.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_orc_tokens(spark, tmp_path):
     docs = odd_rows(spark)
     whole = Tokenizer.from_file(WORDS)
