@@ -3,28 +3,27 @@
 Words are lower-cased (A-Z) runs of 0-9, a-z and bytes from 0x80; a document is
 the set of its runs of five words (all its words, when it has fewer).
 
-Plan. (1) Every document becomes a hash of its whole set and one label for
+Plan. (1) Every document becomes a keyed hash of its whole set and one label for
 each tree of the forest: the smallest hashes of its set under independent
 functions, one after the other. Documents with equal sets are one class,
-aggregated before the shuffle; classes go on. (2) A tree is the sorted labels
-read as a trie. Two sets of similarity s share a prefix of k hashes with
-probability s ** k in each tree; starting from whole labels, the prefix is
-shortened until sets at the threshold meet in some tree with the target
-recall. (3) Classes that share a prefix in a tree hang on the smallest of them
+aggregated before the shuffle; classes go on under a number of their own. (2) Two sets of similarity s share
+a label of k hashes with probability s ** k in each tree; k is fixed beforehand as the largest
+length (up to ``DEPTH``) at which sets at the threshold meet in some tree with the target
+recall. (3) Classes that share a label in a tree hang on the smallest of them
 (one edge for each, not all pairs); components of these edges are clumps, so
 any two classes that meet are in one clump. Other classes are done. (4) A clump
-is cut into blocks by hash and all pairs of blocks are compared as tiles with
+is cut into blocks by hash, as many as keep a block's classes and the size of their sets bounded, and all pairs of blocks are compared as tiles with
 the sets themselves, read again from the texts, so a clump of any size makes groups of at most two blocks. A tile
 multiplies its incidence matrix by itself, which gives exact intersections,
 and returns each class's links and a spanning forest. (5) Components
 of the links are the groups.
 
-Only as many hashes are computed as the shortened prefix has.
+No signature is kept and nothing is shortened at run time: labels of a fixed length stand for the forest's prefixes.
 
 Defined cases: a null text, or one without a word, links with nothing; repeated rows and texts
-of equal sets link with each other; rows with a null id are dropped; where one id has several
-different sets and is the smallest of more than one class, one of these takes part in
-comparisons and the others link equal sets only; an empty table gives no rows; other columns are not read.
+of equal sets link with each other; rows with a null id are dropped; rows of one id with different
+sets are documents of their own, all compared, and of a group's rows with the smallest id the one with the smallest digest
+of its text is kept; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spogrid.llm.components import connected, roots, runs
 from spogrid.llm.shared import bounded_batches, few, stored
-from spogrid.llm.textkit import LOWER, WORD, byte_view, chunks, mix, word_hashes, word_spans
+from spogrid.llm.textkit import LOWER, WORD, byte_view, chunks, mix, span_keys, word_spans
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.999995
 BLOCK = 256
+# Shingles of a block's sets together.
+BLOCK_SHINGLES = 1 << 18
 CHUNK = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +61,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     data, off = byte_view(texts)
     data = LOWER[data]
     starts, ends, doc = word_spans(data, off, WORD)
-    h = word_hashes(data, starts, ends)
+    h = span_keys(data, starts, ends)
     first = np.searchsorted(starts, off)
     n = np.diff(first)
     long = np.repeat(n >= words, n)
@@ -105,7 +106,7 @@ def set_keys(sets: np.ndarray, who: np.ndarray, n_docs: int) -> tuple[np.ndarray
 
 
 def signatures(docs: DataFrame, words: int, trees: int, length: int) -> DataFrame:
-    """(doc_id, n, set_a, set_b, labels) of the documents that have a word."""
+    """(doc_id, digest, n, set_a, set_b, labels) of the documents that have a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +118,11 @@ def signatures(docs: DataFrame, words: int, trees: int, length: int) -> DataFram
                 keys = [k[has] for k in set_keys(sets, who, len(texts))]
                 tags = labels(sets, first, trees, length).view(np.int64)
                 yield pa.record_batch(
-                    [part.column("doc_id").take(pa.array(has)), pa.array(n), *map(pa.array, keys), pa.FixedSizeListArray.from_arrays(pa.array(tags.ravel()), trees).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "n", "set_a", "set_b", "labels"],
+                    [part.column("doc_id").take(pa.array(has)), part.column("digest").take(pa.array(has)), pa.array(n), *map(pa.array, keys), pa.FixedSizeListArray.from_arrays(pa.array(tags.ravel()), trees).cast(pa.list_(pa.int64()))],
+                    ["doc_id", "digest", "n", "set_a", "set_b", "labels"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, labels array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, n long, set_a long, set_b long, labels array<long>")
 
 
 def tile_links(sets: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -154,26 +155,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
                     recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, component_id, n_links, kept): the smallest id of the same set, the smallest id
     reachable by links, the number of other documents linked directly, and whether the document stands for its group."""
+    return _grouped(docs, threshold, words, trees, depth, recall, block, id_col, text_col).drop("digest")
+
+
+def _grouped(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
+             block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates() with the digest of each text."""
     spark = docs.sparkSession
     bounded_batches(docs)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     length = prefix_length(threshold, trees, depth, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    texts = texts.withColumn("digest", _digest(F.col("text")))
     signed = stored(signatures(texts, words, trees, length), "shingle-signatures")
     same = ["n", "set_a", "set_b"]
-    classes = signed.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.first("labels").alias("labels"))
-    classes = stored(classes, "shingle-classes")
-    nodes = stored(classes.dropDuplicates(["class_id"]), "shingle-nodes")
+    first = F.min(F.struct("doc_id", "digest")).alias("first")
+    classes = signed.groupBy(*same).agg(first, F.count("*").alias("size"), F.first("labels").alias("labels"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "shingle-classes")
     # the trie's nodes at that prefix: each class hangs on the smallest one there
-    places = nodes.select("class_id", F.explode("labels").alias("node"))
-    shared = places.groupBy("node").agg(F.min("class_id").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-    edges = places.join(stored(shared, "trie-nodes"), "node").select("a", F.col("class_id").alias("b"))
-    clumps = connected(edges)
-    clump_sizes = clumps.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = clumps.join(stored(clump_sizes, "clump-sizes"), "component").withColumnRenamed("component", "clump")
-    members = members.join(nodes.select(F.col("class_id").alias("id"), "size", "set_a", "set_b"), "id")
-    members = members.withColumn("home", F.pmod(F.xxhash64("id"), "blocks"))
-    members = stored(members, "clump-members")
+    places = classes.select("class", F.explode("labels").alias("node"))
+    shared = places.groupBy("node").agg(F.min("class").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+    edges = places.join(stored(shared, "trie-nodes"), "node").select("a", F.col("class").alias("b"))
+    clumps = connected(edges).join(classes.select(F.col("class").alias("id"), F.col("first.doc_id").alias("doc_id"), "size", *same), "id")
+    clumps = stored(clumps.withColumnRenamed("component", "clump"), "clumps")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    members = clumps.join(stored(clumps.groupBy("clump").agg(blocks), "clump-sizes"), "clump")
+    members = stored(members.withColumn("home", F.pmod(F.xxhash64("id"), "blocks")), "clump-members")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +194,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
                 yield pa.record_batch([*(part.column(c) for c in names), raw], [*names, "sets"]).filter(own)
 
     # while they are few, the texts stay where they are
-    one = texts.join(few(members), F.col("doc_id") == F.col("id")).select("id", "clump", "size", "home", "blocks", "set_a", "set_b", "text")
+    one = texts.join(few(members), "doc_id").select("id", "clump", "size", "home", "blocks", "set_a", "set_b", "text")
     with_sets = one.mapInArrow(sets_of, "id long, clump long, size long, home long, blocks long, sets binary")
     dealt = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["clump", "lo", "hi"]
@@ -216,30 +223,41 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
                 yield pa.record_batch([pa.array(ids[some]), pa.array(root[some]), pa.array(count[some])], ["id", "root", "n"])
 
     links = stored(tiles.mapInArrow(compare, "id long, root long, n long"), "shingle-links")
-    groups = connected(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    groups = stored(connected(links.select(F.col("id").alias("a"), F.col("root").alias("b"))), "shingle-groups")
     counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
-    known = nodes.select(*same, "class_id", "size")
-    known = known.join(counts, F.col("class_id") == counts["id"], "left").drop("id").join(groups, F.col("class_id") == groups["id"], "left")
-    known = known.select(*same, "class_id", (F.col("size") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    known = stored(known, "shingle-results")
-    known = stored(classes.select(*same, "class_id", "size").join(known.drop("class_id"), same, "left"), "shingle-answers")
-    found = signed.select("doc_id", *same).join(known, same)
-    found = found.select("doc_id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.col("size") - 1).alias("n_links"))
+    linked = classes.select(F.col("class").alias("id"), "first", "size", *same).join(groups, "id").join(counts, "id")
+    linked = stored(linked, "shingle-linked")
+    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
+    linked = linked.join(heads, "component").select(*same, "head", "n_links")
+    known = classes.select(*same, "first", "size").join(linked, same, "left")
+    known = stored(known.select(*same, "first", F.coalesce("head", "first").alias("head"), (F.col("size") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")), "shingle-answers")
+    found = signed.select("doc_id", "digest", *same).join(known, same)
+    kept = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("digest") == F.col("head.digest"))
+    found = found.select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("head.doc_id").alias("component_id"), "n_links", kept.alias("kept"), "digest")
     return _with_wordless(texts, found)
 
 
+def _digest(text: Column) -> Column:
+    """SHA-256 of a text; a null one has that of none."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def _with_wordless(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Documents without a word stand for themselves."""
     bare = texts.where(~F.coalesce(F.col("text"), F.lit("")).rlike("[0-9A-Za-z]|[^\\x00-\\x7F]"))
-    bare = bare.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return found.unionByName(bare).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    itself = F.col("doc_id")
+    bare = bare.select(itself, itself.alias("class_id"), itself.alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "digest")
+    return found.unionByName(bare)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the smallest id of each group, with all its columns; rows with a null id stay."""
-    found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col), "shingle-groups")
-    out = docs.join(few(found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()), id_col, "left_anti")
-    rows, ids = found.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    """One document of each group, that of the smallest id, with all its columns: of rows with the same id and text one stays;
+    rows of one id with different texts are told apart; rows with a null id, or whose text has no word, stay."""
+    found = stored(_grouped(docs, id_col=id_col, text_col=text_col), "shingle-groups")
+    gone = stored(found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "shingle-gone")
+    text = F.col(text_col).cast("string")
+    out = docs.join(few(gone), (F.col(id_col).cast("long") == F.col("__id")) & (_digest(text) == F.col("__digest")), "left_anti")
+    rows, ids = found.where("kept").agg(F.count("*"), F.countDistinct("doc_id", "digest")).first()
     if rows > ids:  # repeated rows
         out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
     return out.select(*docs.columns)
