@@ -16,7 +16,7 @@ with its pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or a
 non-finite number, and rows with a null label, link with nothing and are
-kept; repeated rows link with each other; vectors of different lengths never
+kept; so do rows with a null id, which have no component; rows of one id are vectors of their own, each with its own links; repeated rows link with each other; vectors of different lengths never
 link; an empty table gives no rows; other columns are not read.
 """
 
@@ -75,17 +75,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     whole = F.forall("v", lambda x: F.coalesce((x < limit) & (x > -limit), F.lit(False)))  # NaN is above all numbers
     valid = rows.where(F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull() & whole & F.exists("v", lambda x: x != 0))
     classes = valid.groupBy("label", F.size("v").alias("width"), "v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size"))
-    classes = stored(classes, "vector-classes")
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
     sizes = classes.groupBy("label", "width").agg(F.ceil(F.count("*") / block).alias("blocks"))
     dealt = classes.join(sizes, ["label", "width"])
-    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("class_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = dealt.select("label", "width", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "home", "class_id", "size", "v")
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("class"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.select("label", "width", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "home", "class", "size", "v")
     keys = ["label", "width", "lo", "hi"]
     tiles = tiles.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, keys):
-            x, ids, n = _matrix(tile["v"]), tile["class_id"].to_numpy(), tile["size"].to_numpy()
+            x, ids, n = _matrix(tile["v"]), tile["class"].to_numpy(), tile["size"].to_numpy()
             home, lo, hi = tile["home"].to_numpy(), tile["lo"][0].as_py(), tile["hi"][0].as_py()
             a, b = np.flatnonzero(home == lo), np.flatnonzero(home == hi)
             i, j = tile_links(x[a], x[b], threshold)
@@ -104,16 +104,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
                 yield pa.record_batch([pa.array(ids[some]), pa.array(root[some]), pa.array(count[some])], ["id", "root", "n"])
 
     found = stored(tiles.mapInArrow(compare, "id long, root long, n long"), "vector-links")
-    parts = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    parts = stored(connected(found.select(F.col("id").alias("a"), F.col("root").alias("b"))), "vector-groups")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    known = classes.join(counts, F.col("class_id") == counts["id"], "left").drop("id").join(parts, F.col("class_id") == parts["id"], "left")
+    linked = stored(classes.select(F.col("class").alias("id"), "class_id").join(parts, "id").join(counts, "id"), "vector-linked")
+    heads = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    linked = linked.join(heads, "component").select(F.col("id").alias("class"), "component_id", "n")
+    known = classes.join(linked, "class", "left")
     known = stored(
-        known.select("label", "v", "class_id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id")),
+        known.select("label", "v", "class_id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id")),
         "vector-results",
     )
-    out = rows.join(known, ["label", "v"], "left")
+    known = known.withColumnRenamed("label", "known_label").withColumnRenamed("v", "known_v")
+    out = rows.join(known, F.col("vec_id").isNotNull() & (F.col("label") == F.col("known_label")) & (F.col("v") == F.col("known_v")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        (F.col("vec_id") == component).alias("kept"), F.coalesce("class_id", "vec_id").alias("class_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.coalesce("class_id", "vec_id").alias("class_id"),
     )
