@@ -184,14 +184,19 @@ def word_vectors(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality") -> QualityModel:
-    """Learn from at most ``fit_rows`` labelled rows that are usable."""
+    """Learn word vectors from all documents that are usable, and the network from at most ``fit_rows`` labelled ones.
+
+    An id whose labels differ teaches nothing; of several documents with one id, that with the smallest digest of its text does.
+    """
     bounded_batches(docs)
     chosen = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
+    chosen = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    chosen = chosen.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    sample = stored(rows, "quality-sample")
-    vectors = _word_vectors(sample)
+    one = F.min_by(F.struct("text"), F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull())).alias("one")
+    sample = stored(rows.groupBy("id", "y").agg(one).select("id", "y", "one.text"), "quality-sample")
+    vectors = _word_vectors(docs.where(usable).select(F.col(text_col).cast("string").alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, fit_rows: int = FIT_
                 x = pool(*token_cells(texts), len(texts), shared.value)
                 yield pa.record_batch([part.column("id"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
-    found = sample.select("id", "y", "text").mapInArrow(pooled, "id long, y int, x binary").orderBy("id", "x").limit(2 * fit_rows).collect()
+    found = sample.select("id", "y", "text").mapInArrow(pooled, "id long, y int, x binary").orderBy("id").collect()
     y = np.array([r["y"] for r in found], float)
     if len(set(y.tolist())) < 2:
         share = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
