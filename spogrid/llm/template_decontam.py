@@ -100,12 +100,15 @@ def _is_slot(token: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, matched, coverage, run, shift, slots, changed): one row for each
+    """(doc_id, item_id, windows, matched, coverage, run, shift, slots, changed, short): one row for each
     document and item that contaminates it; shift: the item's place in the document's tokens, changed: slots
-    with another surface form."""
+    with another surface form, short: the item's text has fewer tokens than a window."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    items = items.groupBy("item_id").agg(F.min("text").alias("text"))
-    items = stored(items.select("item_id", template(F.col("text")).alias("t"), surface(F.col("text")).alias("s")), "benchmark-templates")
+    # each text of an item under a number of its own
+    items = items.distinct().select(F.monotonically_increasing_id().alias("item_id"), F.col("item_id").alias("own"), template(F.col("text")).alias("t"), surface(F.col("text")).alias("s"))
+    items = stored(items, "benchmark-templates")
+    owners = items.select("item_id", "own", F.size("t").between(1, WINDOW - 1).alias("short"))
+    items = items.drop("own")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     split = items.withColumn("heavy", _heavy("t"))
     plain_at = F.filter(F.sequence(F.lit(0), F.size("t") - WINDOW), lambda i: ~F.array_contains("heavy", i))
@@ -145,7 +148,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     plain = plain.drop("literals").withColumns({"slots": F.lit(0), "changed": F.lit(0)})
     out = stored(plain.unionByName(_consistent(found.join(few(slotted), "item_id"), lines, texts).select(*plain.columns)), "template-found")
     out = out.unionByName(_edited(out, held, lines, sizes, items, texts).select(*plain.columns))
-    return out.dropDuplicates(["doc_id", "item_id"]).select(*plain.columns)
+    # of an item's texts, the one that covers most
+    columns = [c for c in plain.columns if c not in ("doc_id", "item_id")]
+    out = out.join(few(owners), "item_id").groupBy("doc_id", "own").agg(F.max(F.struct("coverage", "run", "matched", *(c for c in columns if c not in ("coverage", "run", "matched")), "short")).alias("b"))
+    return out.select("doc_id", F.col("own").alias("item_id"), *(f"b.{c}" for c in columns), "b.short")
 
 
 def _coverage(matched: str, met_literal: str) -> Column:
@@ -248,9 +254,15 @@ def _by(*cols: str):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that no item contaminates, with all their columns."""
-    bad = stored(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
-    return docs.join(few(bad), id_col, "left_anti").select(*docs.columns)
+    """The documents that no item contaminates, with all their columns. An item of fewer tokens than a window
+    only counts where it is a whole line of the document."""
+    found = stored(contaminated(docs, benchmark, id_col, text_col).select("doc_id", "item_id", "short"), "contaminated")
+    short = benchmark.select(F.col("item_id").cast("long").alias("item_id"), surface(F.col("text").cast("string")).alias("s")).where(F.size("s").between(1, WINDOW - 1))
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.col(text_col).cast("string"), "[\\n\\r]+").alias("lines"))
+    lines = lines.join(few(found.where("short").select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.explode(F.transform("lines", surface)).alias("s"))
+    whole = found.where("short").join(few(stored(short, "benchmark-short")), "item_id").join(lines, ["doc_id", "s"], "left_semi")
+    bad = found.where("NOT short").select("doc_id").unionByName(whole.select("doc_id")).distinct()
+    return docs.join(few(stored(bad.select(F.col("doc_id").alias(id_col)), "contaminated-ids")), id_col, "left_anti").select(*docs.columns)
 
 
 def sql() -> str:

@@ -138,7 +138,7 @@ def test_near_duplicates_against_all_pairs(spark):
     assert shingle_join.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_prefix_is_shortened_to_the_recall():
+def test_labels_are_as_long_as_the_recall_allows():
     k = shingle_join.prefix_length(0.8)
     meets = lambda k: 1 - (1 - 0.8**k) ** shingle_join.TREES
     assert meets(k) >= shingle_join.RECALL > meets(k + 1)
@@ -334,3 +334,60 @@ def test_stages_on_nothing_and_nulls(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0
         stage(spark, docs.limit(30).unionByName(odd).unionByName(odd), SMALL).collect()
+
+
+# -- several rows under one id -----------------------------------------------------------------------
+
+WORDS_A = " ".join(f"alpha{k}" for k in range(40))
+WORDS_B = " ".join(f"beta{k}" for k in range(40))
+
+
+def with_ids(spark, rows):
+    return spark.createDataFrame([(i, t, "s", 1, k, 2, "t", 3) for k, (i, t) in enumerate(rows)], SCHEMA)
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    docs = with_ids(spark, [(1, WORDS_A), (2, WORDS_A), (2, WORDS_B)])
+    assert sorted((r["doc_id"], r["text"]) for r in shingle_join.one_of_each(docs).collect()) == [(1, WORDS_A), (2, WORDS_B)]
+    near_a, near_b = WORDS_A + " more", WORDS_B + " more"
+    found = shingle_join.near_duplicates(with_ids(spark, [(1, WORDS_A), (1, WORDS_B), (2, near_a), (3, near_b)]))
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"], r["kept"]) for r in found.collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    # near copies under one id: one of them stays
+    assert shingle_join.one_of_each(with_ids(spark, [(1, WORDS_A), (1, near_a), (4, WORDS_A), (4, WORDS_A)])).count() == 1
+    assert shingle_join.one_of_each(with_ids(spark, [(4, WORDS_A), (4, WORDS_A), (None, WORDS_A), (5, ""), (5, None)])).count() == 4
+
+
+def test_words_of_equal_polynomial_hashes_are_told_apart(spark):
+    w = "a"
+    for _ in range(11):
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    found = shingle_join.near_duplicates(with_ids(spark, [(1, w), (2, other), (3, w)]))
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_every_text_of_an_item_is_searched(spark):
+    one = "which of the seven rivers named below carries the most water to the sea in spring"
+    two = "how would you prove that the sum of two odd numbers is always an even number"
+    bench = spark.createDataFrame([(1, one), (1, two), (2, "yes"), (2, None)], "item_id long, text string")
+    docs = with_ids(spark, [(1, f"before {one} after"), (2, f"before {two} after"), (3, "I said yes and went home early"), (4, "well\nYes\nno"), (5, "nothing")])
+    assert sorted(tuple(r) for r in template_decontam.contaminated(docs, bench).select("doc_id", "item_id", "short").collect()) == [(1, 1, False), (2, 1, False), (3, 2, True), (4, 2, True)]
+    assert sorted(r["doc_id"] for r in template_decontam.decontaminate(docs, bench).collect()) == [3, 5]
+
+
+def test_links_of_vectors_under_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (7, [1.0, 1.0])]
+    vectors = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept").collect()
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (None, 0, None, True), (7, 0, 7, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_contradictory_labels_teach_nothing(spark):
+    docs = with_ids(spark, [(k, (WORDS_A if k % 2 else WORDS_B) + f" w{k}") for k in range(60)] + [(3, "another text"), (3, None)])
+    labels = [(k, k % 2) for k in range(60)]
+    frame_of = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    plain = quality.fit(docs, frame_of([x for x in labels if x[0] != 7]), F.lit(True))
+    both = quality.fit(docs, frame_of([*labels, (7, 0), (7, 1), (None, 1), (9, None)]), F.lit(True))
+    assert plain.temperature == both.temperature
+    assert all((a == b).all() for a, b in zip(plain.weights, both.weights, strict=True))
