@@ -98,4 +98,7 @@ def oracle_sql() -> dict[str, str]:
     from spogrid.plans import relational_sql
 
     sql.update(relational_sql.SQL)
+    from spogrid.plans import direct_sql
+
+    sql.update(direct_sql.SQL)
     return sql
