@@ -9,10 +9,13 @@ when the aggregate is small at run time and splits skewed partitions otherwise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spogrid.session import materialize
+
 
 def cents(lexical_price: Column) -> Column:
     """Exact integer cents of a decimal lexical price; sums stay exact in any order."""
@@ -56,3 +59,34 @@ def word_count(df: DataFrame, text: str, word: str = "word", count: str = "n") -
     """Frequency of each lower-cased word (split on anything but letters and digits)."""
     words = df.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias(word))
     return words.where(F.col(word) != "").groupBy(word).agg(F.count(F.lit(1)).alias(count))
+
+
+def grouped_sets(df: DataFrame, sets: Sequence[Sequence[str]], aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates over several groupings at once, in one pass over the solutions.
+
+    Each row has all grouped variables and ``grouping``: a bit for every variable that its
+    grouping leaves out, the first variable's highest, so that an unbound variable (null, bit 0) is told from a
+    subtotal (null, bit 1). Distinct aggregates are allowed.
+    """
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.grouping_id().cast("long").alias("grouping"), *[c.alias(k) for k, c in aggs.items()])
+    return out.select(*names, "grouping", *aggs)
+
+
+def ranked(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the rank (``name``) and dense rank (``name``_dense) of each row over all rows, ascending, ties equal.
+
+    The distinct values are counted (pre-aggregated, so a value that many rows have is one), numbered by
+    ranges with the rows before them, and joined back: no task holds all rows.
+    """
+    values = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange(*by)
+    values = materialize(values.withColumn("__part", F.spark_partition_id()), "ranks")
+    sums = values.groupBy("__part").agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("values"))
+    parts = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sums = sums.select("__part", *(F.coalesce(F.sum(c).over(parts), F.lit(0)).alias(c) for c in ("rows", "values")))
+    inner = Window.partitionBy("__part").orderBy(*by)
+    before = F.coalesce(F.sum("__n").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = values.withColumns({"__before": before, "__row": F.row_number().over(inner)}).join(sums, "__part")
+    values = values.select(*[F.col(c).alias(f"__{c}") for c in by], (F.col("rows") + F.col("__before") + 1).alias(name), (F.col("values") + F.col("__row")).alias(f"{name}_dense"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return df.join(values, same).drop(*[f"__{c}" for c in by])

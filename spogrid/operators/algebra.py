@@ -189,3 +189,57 @@ def interval_lookup(ids: DataFrame, bounds: DataFrame, order: str, size: str, id
     out = found.select(F.col("id").alias(id_col), F.coalesce("here.owner", "later.owner").alias("owner"))
     missing = ids.where(F.col(id_col).isNull()).select(id_col, F.lit(None).cast(out.schema["owner"].dataType).alias("owner"))
     return out.unionByName(missing)
+
+
+def _counted(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each solution of either side once, with its number in ``a`` and in ``b``. All columns count, those that
+    tell terms apart too; unbound equals unbound. One aggregation of both sides, pre-aggregated before the shuffle."""
+    if set(a.columns) != set(b.columns):
+        raise ValueError(f"different variables: {a.columns} and {b.columns}")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = a.withColumns({"__n": one, "__m": none}).unionByName(b.withColumns({"__n": none, "__m": one}))
+    return both.groupBy(*a.columns).agg(F.sum("__n").alias("__n"), F.sum("__m").alias("__m"))
+
+
+def _times(counted: DataFrame, n: Column) -> DataFrame:
+    out = counted.withColumn("__k", n).where("__k > 0")
+    return out.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "__k"))).drop("__n", "__m", "__k")
+
+
+def intersect(a: DataFrame, b: DataFrame, bag: bool = False) -> DataFrame:
+    """Solutions of both sides: each once, or as a bag as often as in the side that has fewer of it."""
+    c = _counted(a, b)
+    return _times(c, F.least("__n", "__m")) if bag else c.where("__n > 0 AND __m > 0").drop("__n", "__m")
+
+
+def minus(a: DataFrame, b: DataFrame, bag: bool = False) -> DataFrame:
+    """Solutions of ``a`` that ``b`` lacks: each once, or as a bag as often as ``a`` has more of it."""
+    c = _counted(a, b)
+    return _times(c, F.col("__n") - F.col("__m")) if bag else c.where("__n > 0 AND __m = 0").drop("__n", "__m")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, right_key: str, right_at: str, right_cols: Sequence[str], tie: str) -> DataFrame:
+    """Each row of ``left`` with the latest row of ``right`` of the same key at or before its time: ``right_cols``,
+    null without such a row; of rows of one time the one with the largest ``tie``.
+
+    Both sides are dealt together into ranges of (key, time), so a key with many rows lies in many partitions.
+    Within a partition the rows are merged in order; one row a key, the last before the
+    partition, is carried across borders. Rows of ``left`` with a null key or time match nothing.
+    """
+    cols = left.columns
+    order = F.struct(F.col(right_at).alias("at"), F.col(tie).alias("tie"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(right_cols)])
+    r = right.where(F.col(right_key).isNotNull() & F.col(right_at).isNotNull())
+    r = r.select(F.col(right_key).alias("__key"), F.col(right_at).alias("__at"), F.lit(0).alias("__side"), order.alias("__right"), F.lit(None).cast(left.select(F.struct(*cols)).schema[0].dataType).alias("__left"))
+    rows = left.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__right"].dataType).alias("__right"), F.struct(*cols).alias("__left"))
+    both = r.unionByName(rows.where("__key IS NOT NULL AND __at IS NOT NULL")).repartitionByRange("__key", "__at", "__side")
+    both = materialize(both.withColumn("__part", F.spark_partition_id()), "as-of")
+    # the last row of each key in a partition; only keys that lie in several partitions carry one
+    lasts = both.groupBy("__key", "__part").agg(F.max("__right").alias("last"))
+    wide = lasts.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key")
+    carried = F.max("last").over(Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    borders = lasts.join(wide, "__key", "left_semi").select("__key", "__part", carried.alias("__carried"))
+    inner = Window.partitionBy("__part", "__key").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    merged = both.withColumn("__here", F.max("__right").over(inner)).where("__side = 1").join(borders, ["__key", "__part"], "left")
+    got = F.coalesce("__here", "__carried")
+    out = merged.select("__left.*", *[got[f"c{i}"].alias(c if c not in cols else f"right_{c}") for i, c in enumerate(right_cols)])
+    return out.unionByName(left.where(F.col(key).isNull() | F.col(at).isNull()), allowMissingColumns=True)

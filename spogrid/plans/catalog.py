@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spogrid.plans import bi, explore, graph_io, relational, runlog, storage, units
+from spogrid.plans import bi, explore, graph_io, relational, runlog, storage, time_q, units
 from spogrid.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,8 @@ def queries() -> dict[str, Query]:
         q[k] = on_triples(getattr(units, {"describe": "describe_q", "construct": "construct_q"}.get(k, k)))
     for k in ("interval_lookup", "ordered_diff"):
         q[k] = on_tables(getattr(units, k))
+    for k in TIME_KEYS:
+        q[k] = on_tables(getattr(time_q, k))
     for k in ("ntriples_parse", "tsv_read"):
         q[k] = on_tables(getattr(graph_io, k))
     for k in ("triplify", "literal_parse", "typed_objects", "ntriples_format", "property_table", "property_bridge"):
@@ -72,7 +74,9 @@ UNIT_KEYS = (
     "agg_count agg_avg agg_minmax agg_having agg_nested agg_ratio argmax_group agg_union below_group_avg "
     "distinct word_count union_pad union_distinct result_diff order_by order_expr limit offset_limit topk_sub "
     "path_seq path_alt path_inv path_mix type_closure type_levels type_features describe construct "
-    "lang_matches fn_str fn_cast iri_prefix iri_clean fn_arith"
+    "lang_matches fn_str fn_cast iri_prefix iri_clean fn_arith "
+    "path_star path_plus path_opt path_all_pairs path_negated path_between "
+    "intersect_set intersect_bag except_set except_bag agg_rollup agg_cube agg_grouping_sets global_rank"
 ).split()
 
 
@@ -82,6 +86,9 @@ STORAGE_KEYS = (
 ).split()
 
 
+TIME_KEYS = "asof_join window_tumbling window_sliding window_session interval_stream_join".split()
+
+
 def oracle_sql() -> dict[str, str]:
     from spogrid.plans import bi_sql, explore_sql, storage_sql
 
@@ -101,4 +108,5 @@ def oracle_sql() -> dict[str, str]:
     from spogrid.plans import direct_sql
 
     sql.update(direct_sql.SQL)
+    sql.update(time_q.SQL)
     return sql

@@ -65,3 +65,50 @@ rx AS (SELECT review, 'review of product ' || CAST(l_partkey AS VARCHAR) AS revT
 SELECT p_name AS productLabel, offer, price, vendor, vendorTitle, review, revTitle, reviewer, revName, rating1, rating2
 FROM part LEFT JOIN ox ON TRUE LEFT JOIN rx ON TRUE WHERE p_partkey = 10""",
 }
+
+_CO_REVIEWED = f"""{_REVIEWS},
+c AS MATERIALIZED (SELECT DISTINCT l_partkey AS p, o_custkey AS c FROM r JOIN orders ON o_orderkey = l_orderkey)"""
+
+_BRAND = "CAST(split_part(p_brand, '#', 2) AS BIGINT)"
+
+SQL |= {
+    "path_star": f"""WITH RECURSIVE n(a) AS (SELECT 1 UNION SELECT n_nationkey FROM nation JOIN n ON n_nationkey * n_nationkey % 25 = a)
+SELECT 'person/' || CAST(c_custkey AS VARCHAR) AS x FROM customer WHERE c_nationkey IN (SELECT a FROM n)
+UNION ALL SELECT 'vendor/' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey IN (SELECT a FROM n)
+UNION ALL SELECT DISTINCT 'producer/' || CAST({_BRAND} AS VARCHAR) FROM part WHERE {_BRAND} % 25 IN (SELECT a FROM n)""",
+    "path_plus": f"""WITH RECURSIVE {_CO_REVIEWED},
+reach(p) AS (SELECT y.p FROM c x JOIN c y ON y.c = x.c WHERE x.p = 10 UNION SELECT y.p FROM reach JOIN c x ON x.p = reach.p JOIN c y ON y.c = x.c)
+SELECT 'product/' || CAST(p AS VARCHAR) AS product FROM reach""",
+    "path_opt": f"""WITH {_REVIEWS} SELECT review FROM (SELECT DISTINCT review, l_partkey FROM r) x JOIN part ON p_partkey = l_partkey WHERE {_BRAND} = 12""",
+    "path_all_pairs": """WITH RECURSIVE n(a, b) AS (SELECT n_nationkey, n_nationkey * n_nationkey % 25 FROM nation WHERE n_nationkey IS NOT NULL
+  UNION SELECT a, n_nationkey * n_nationkey % 25 FROM n JOIN nation ON n_nationkey = b)
+SELECT 'nation/' || CAST(a AS VARCHAR) AS a, 'nation/' || CAST(b AS VARCHAR) AS b FROM n""",
+    "path_negated": f"""WITH p AS (SELECT *, CAST({_BRAND} AS VARCHAR) AS b FROM part WHERE p_partkey = 10), {_OFFERS},
+x AS (SELECT unnest([{", ".join(f"{{'p': '{k}', 'o': CAST({v} AS VARCHAR)}}" for k, v in _PRODUCT.items())}]) AS t FROM p)
+SELECT t.o AS x FROM x WHERE t.o IS NOT NULL AND t.p <> 'rdf:type' UNION ALL SELECT offer FROM o WHERE l_partkey = 10""",
+    "path_between": f"""WITH RECURSIVE {_CO_REVIEWED},
+w(p, d) AS (SELECT DISTINCT y.p, 1 FROM c x JOIN c y ON y.c = x.c WHERE x.p = 10
+  UNION SELECT y.p, d + 1 FROM w JOIN c x ON x.p = w.p JOIN c y ON y.c = x.c WHERE d < 8)
+SELECT 'product/10' AS s, 'product/20' AS o, CAST(min(d) AS INT) AS steps FROM w WHERE p = 20 HAVING count(*) > 0""",
+}
+
+_TEXT = """SELECT CASE WHEN p_partkey % 6 > 0 THEN p_partkey % 6 END AS k, {0} AS v FROM part"""
+_FOUR = _TEXT.format("(p_partkey % 4 = 0 AND p_name IS NOT NULL)")
+_FIVE = _TEXT.format("(p_partkey % 3 = 0 AND p_brand IS NOT NULL)")
+_GRADED = f"""g AS (
+  SELECT DISTINCT 'review/' || {_NR} AS review, 'type/' || p_type AS t, 'person/' || CAST(o_custkey AS VARCHAR) AS c,
+    CAST(CASE WHEN l_linestatus = 'O' THEN CAST(floor(l_quantity) AS BIGINT) % 7 + 1 END AS VARCHAR) AS g
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R')"""
+_SUMS = "count(*) AS n, count(DISTINCT c) AS people"
+
+SQL |= {
+    "intersect_set": f"{_FOUR} INTERSECT {_FIVE}",
+    "intersect_bag": f"{_FOUR} INTERSECT ALL {_FIVE}",
+    "except_set": f"{_FOUR} EXCEPT {_FIVE}",
+    "except_bag": f"{_FOUR} EXCEPT ALL {_FIVE}",
+    "agg_rollup": f"WITH {_GRADED} SELECT t, g, CAST(grouping(t, g) AS BIGINT) AS grouping, {_SUMS} FROM g GROUP BY ROLLUP (t, g)",
+    "agg_cube": f"WITH {_GRADED} SELECT t, g, CAST(grouping(t, g) AS BIGINT) AS grouping, {_SUMS} FROM g GROUP BY CUBE (t, g)",
+    "agg_grouping_sets": f"WITH {_GRADED} SELECT t, g, CAST(grouping(t, g) AS BIGINT) AS grouping, {_SUMS} FROM g GROUP BY GROUPING SETS ((t), (g))",
+    "global_rank": f"""WITH {_OFFERS} SELECT offer AS o, rank() OVER (ORDER BY days) AS by_days, dense_rank() OVER (ORDER BY days) AS by_days_dense,
+  rank() OVER (ORDER BY days, price) AS by_price, dense_rank() OVER (ORDER BY days, price) AS by_price_dense FROM o""",
+}

@@ -11,8 +11,10 @@ from spogrid.functions.terms import Lit, num, ts
 from spogrid.operators import aggregates as A
 from spogrid.operators import algebra as G
 from spogrid.operators import metrics
+from spogrid.operators.aggregates import grouped_sets, ranked
+from spogrid.operators.algebra import intersect, minus
 from spogrid.operators.extvp import predicates
-from spogrid.operators.paths import alt, closure, inv, levels, path, seq
+from spogrid.operators.paths import alt, between, closure, inv, levels, neg, opt, path, plus, seq, star
 from spogrid.operators.patterns import assign, bgp, substitute, triple_pattern
 from spogrid.operators.updates import construct, describe_where
 from spogrid.sources.store import as_frame
@@ -433,6 +435,99 @@ def path_mix(tr):
     return _vis(path(tr, "?product", seq(inv("shop:reviewFor"), "rev:reviewer"), "?person"))
 
 
+# Products are joined by people who reviewed both.
+CO_REVIEWED = seq(inv("shop:reviewFor"), "rev:reviewer", inv("rev:reviewer"), "shop:reviewFor")
+
+
+def path_star(tr):
+    """Everything in a country from which partners lead to nation 1, in no step or more."""
+    return _vis(path(tr, "?x", seq("shop:country", star("shop:partner")), "nation/1"))
+
+
+def path_plus(tr):
+    """Products that shared reviewers connect with product 10."""
+    return _vis(path(tr, "product/10", plus(CO_REVIEWED), "?product"))
+
+
+def path_opt(tr):
+    """Reviews of a producer or of its products."""
+    return _vis(path(tr, "?review", seq("shop:reviewFor", opt("shop:producer")), "producer/12"))
+
+
+def path_all_pairs(tr):
+    """Both ends unbound: nations that partners lead to, in one step or more."""
+    return _vis(path(tr, "?a", plus("shop:partner"), "?b"))
+
+
+def path_negated(tr):
+    """What product 10 is linked with, but by its type and features, or as reviewed."""
+    return _vis(path(tr, "product/10", neg("rdf:type", "shop:productFeature", inverse=("shop:reviewFor",)), "?x"))
+
+
+def path_between(tr):
+    """How many shared reviewers lie between two products, at least."""
+    return between(tr, "product/10", plus(CO_REVIEWED), "product/20")
+
+
+def _labelled(tr):
+    """Products with a textual property that not all have, and with a numeric one."""
+    return [bgp(tr, [("?p", "rdf:type", "shop:Product")], optionals=[("?p", k, "?v")]) for k in ("shop:productPropertyTextual4", "shop:productPropertyTextual5")]
+
+
+def _both(tr):
+    a, b = (_vis(x).withColumn("v", F.col("v").isNotNull()) for x in _labelled(tr))
+    key = F.expr("CAST(substring(p, 9) AS BIGINT) % 6").alias("k")
+    return [x.select(F.when(key > 0, key).alias("k"), "v") for x in (a, b)]
+
+
+def intersect_set(tr):
+    return intersect(*_both(tr))
+
+
+def intersect_bag(tr):
+    return intersect(*_both(tr), bag=True)
+
+
+def except_set(tr):
+    return minus(*_both(tr))
+
+
+def except_bag(tr):
+    return minus(*_both(tr), bag=True)
+
+
+def _reviewed(tr):
+    """Reviews with product type, the language of the text (unbound without one) and the reviewer."""
+    return bgp(tr, [("?r", "shop:reviewFor", "?p"), ("?p", "rdf:type", "?t"), ("?r", "rev:reviewer", "?c")], optionals=[("?r", "shop:rating3", "?g")]).where(F.col("t") != "shop:Product")
+
+
+def _subtotals(df):
+    aggs = {"n": F.count(F.lit(1)), "people": F.countDistinct("c")}
+    return df, aggs
+
+
+def agg_rollup(tr):
+    df, aggs = _subtotals(_reviewed(tr))
+    return grouped_sets(df, [("t", "g"), ("t",), ()], aggs)
+
+
+def agg_cube(tr):
+    df, aggs = _subtotals(_reviewed(tr))
+    return grouped_sets(df, [("t", "g"), ("t",), ("g",), ()], aggs)
+
+
+def agg_grouping_sets(tr):
+    df, aggs = _subtotals(_reviewed(tr))
+    return grouped_sets(df, [("t",), ("g",)], aggs)
+
+
+def global_rank(tr):
+    """Rank and dense rank of all offers by days of delivery, then by price."""
+    offers = bgp(tr, [("?o", "shop:price", "?price"), ("?o", "shop:deliveryDays", "?days")])
+    offers = offers.select("o", num("days").cast("long").alias("days"), F.col("price").cast("decimal(18,2)").alias("price"))
+    return ranked(ranked(offers, ["days"], "by_days"), ["days", "price"], "by_price").select("o", "by_days", "by_days_dense", "by_price", "by_price_dense")
+
+
 def _subclass_edges(tr):
     return triple_pattern(tr, ("?child", "rdfs:subClassOf", "?parent")).select("child", "parent")
 
