@@ -124,7 +124,7 @@ def insert_data_q(tr) -> DataFrame:
         F.col("p").alias("sub"), F.lit("shop:hasReview").alias("pred"), F.col("r").alias("obj")
     )
     new = _iri_triples(inverse).unionByName(tr.vp("rdfs:label") if hasattr(tr, "vp") else as_frame(tr))
-    return _counts(insert_data(as_frame(tr), new))
+    return _counts(insert_data(tr, new))
 
 
 def delete_where_q(tr) -> DataFrame:

@@ -130,12 +130,18 @@ class TripleStore:
         return reduce(DataFrame.union, frames) if frames else self._empty()
 
     def present_predicates(self) -> DataFrame:
-        """Predicates that have a triple: one narrow existence test for each."""
-        parts = [
-            b.source.where(b.present).select(F.lit(p).alias("pred")).limit(1)
-            for p, branches in self._branches.items() for b in branches
-        ]
-        return reduce(DataFrame.union, parts).distinct()
+        """Predicates that have a triple: one aggregate for each source, a flag for each of its predicates."""
+        if self._table is not None:
+            return self._table.select("pred").distinct()
+        by_source: OrderedDict[int, list] = OrderedDict()
+        for branches in self._branches.values():
+            for b in branches:
+                by_source.setdefault(id(b.source), []).append(b)
+        parts = []
+        for group in by_source.values():
+            flags = [F.max(F.when(b.present, F.lit(b.pred))) for b in group]
+            parts.append(group[0].source.agg(F.array_distinct(F.array_compact(F.array(*flags))).alias("preds")))
+        return reduce(DataFrame.union, parts).select(F.explode("preds").alias("pred")).distinct()
 
     def predicates_of(self, patterns) -> set[str]:
         """Predicates that some patterns, joined, can match: named ones, and for a variable those of
