@@ -67,10 +67,9 @@ STEPS = ["p", alt("p", "q"), inv("p"), seq("p", "q"), seq(inv("q"), "p"), neg("l
 def test_closures_from_either_end(net, k):
     e = STEPS[k]
     got = lambda df, v: sorted(r[v] for r in df.select(v).collect())
-    for start in (0, 3):
-        reached = walked(e, start)
-        assert got(path(net, f"n/{start}", plus(e), "?x"), "x") == sorted(f"n/{b}" for b in reached)
-        assert got(path(net, f"n/{start}", star(e), "?x"), "x") == sorted({f"n/{b}" for b in reached} | {f"n/{start}"})
+    reached = walked(e, k % 4)
+    assert got(path(net, f"n/{k % 4}", plus(e), "?x"), "x") == sorted(f"n/{b}" for b in reached)
+    assert got(path(net, "n/0", star(e), "?x"), "x") == sorted({f"n/{b}" for b in walked(e, 0)} | {"n/0"})
     back = sorted({f"n/{a}" for a in range(17) if 3 in walked(e, a)} | {"n/3"})
     assert got(path(net, "?x", star(e), "n/3"), "x") == back
     once = {f"n/{b}" for a, b in one_step(e) if a == 3} | {"n/3"}
@@ -93,9 +92,9 @@ def test_closures_with_both_ends_unbound(net):
 
 def test_the_way_between_two_nodes(net):
     for e in ("p", alt("p", "q"), inv("q")):
-        for a in (0, 1, 3, 14):
+        for a in (0, 14):
             reached = walked(e, a)
-            for b in (0, 2, 3, 15):
+            for b in (0, 3, 15):
                 got = [tuple(r) for r in between(net, f"n/{a}", plus(e), f"n/{b}").collect()]
                 assert got == ([(f"n/{a}", f"n/{b}", reached[b])] if b in reached else [])
     assert between(net, "n/5", star("p"), "n/5").first()["steps"] == 0

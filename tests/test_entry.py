@@ -13,7 +13,7 @@ from tests.conftest import SMOKE
 from tools.check import rows_of
 
 # counts over all pairs of predicates, and the update stream: checked by tools/check.py
-SLOW = {"extvp_rows", "stream_updates", "insert_graph", "delete_graph", "ntriples_parse"}
+SLOW = {"extvp_rows", "stream_updates", "insert_graph", "delete_graph", "ntriples_parse", "window_sliding", "window_session", "interval_stream_join"}
 
 
 def test_entry_smoke(spark):
