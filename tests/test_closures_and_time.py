@@ -146,7 +146,8 @@ def test_unbound_is_not_a_subtotal(spark):
 
 
 def test_global_ranks_with_ties(spark):
-    values = [random.Random(1).choice([None, *range(40)]) for _ in range(700)]
+    rng = random.Random(1)
+    values = [rng.choice([None, *range(40)]) for _ in range(700)]
     got = ranked(spark.createDataFrame([(v,) for v in values], "v int"), ["v"], "r")
     order = sorted(values, key=lambda v: (v is not None, v or 0))
     distinct = list(dict.fromkeys(order))
