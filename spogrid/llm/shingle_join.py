@@ -3,22 +3,21 @@
 Words are lower-cased (A-Z) runs of 0-9, a-z and bytes from 0x80; a document is
 the set of its runs of five words (all its words, when it has fewer).
 
-Plan. (1) Every document becomes a keyed hash of its whole set and one label for
-each tree of the forest: the smallest hashes of its set under independent
-functions, one after the other. Documents with equal sets are one class,
-aggregated before the shuffle; classes go on under a number of their own. (2) Two sets of similarity s share
-a label of k hashes with probability s ** k in each tree; k is fixed beforehand as the largest
-length (up to ``DEPTH``) at which sets at the threshold meet in some tree with the target
-recall. (3) Classes that share a label in a tree hang on the smallest of them
-(one edge for each, not all pairs); components of these edges are clumps, so
-any two classes that meet are in one clump. Other classes are done. (4) A clump
-is cut into blocks by hash, as many as keep a block's classes and the size of their sets bounded, and all pairs of blocks are compared as tiles with
-the sets themselves, read again from the texts, so a clump of any size makes groups of at most two blocks. A tile
-multiplies its incidence matrix by itself, which gives exact intersections,
-and returns each class's links and a spanning forest. (5) Components
-of the links are the groups.
-
-No signature is kept and nothing is shortened at run time: labels of a fixed length stand for the forest's prefixes.
+Plan. (1) Every document becomes a keyed hash of its whole set and a signature:
+``TREES`` rows of min-hashes, sixteen bits a level, of up to ``DEPTH`` levels. Documents with equal sets are one class,
+aggregated before the shuffle; classes go on under a number of their own. (2) The signature of a tree is a path in
+its prefix trie; a node is the classes that have its prefix. Two sets of similarity s have a prefix of k levels
+in common with probability s ** k in a tree. A class begins with whole paths and gives up one level after the
+other until its partners, at the smallest similarity at or over the threshold that any set can have with one of its
+size, meet it in some tree with the target recall (``prefix_length``): short sets stop at longer prefixes, and sets too small to
+have a different partner stay out. A node counts if it has two classes, one of which stops at its level. (3) A class lives
+at the fullest of its nodes; the classes of a home are cut by hash into blocks of a bounded number
+of classes and shingles. Two blocks are compared as a tile if some node has classes of both, and every block with itself, so
+all pairs that meet are in exactly one tile, and pages that are merely chained over others are not compared. (4) A tile
+reads its sets again from the texts and multiplies its incidence matrix by itself, which gives exact intersections; it
+returns each class's links and a spanning forest. (5) Components of the links are the groups.
+
+Nodes are told apart by a hash; two that clash only add pairs that the exact comparison turns down.
 
 Defined cases: a null text, or one without a word, links with nothing; repeated rows and texts
 of equal sets link with each other; rows with a null id are dropped; rows of one id with different
@@ -29,6 +28,8 @@ of its text is kept; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +46,39 @@ BLOCK = 256
 # Shingles of a block's sets together.
 BLOCK_SHINGLES = 1 << 18
 CHUNK = 1 << 20
+# Sets of fewer shingles have a prefix length of their own.
+SMALL = 32
+# Most tasks that tiles are dealt to.
+MOST_TASKS = 20_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which sets at the threshold meet with the target recall."""
+def smallest_similarity(n: int, threshold: float) -> float | None:
+    """The smallest similarity at or over the threshold of a set of n and a different one; None if there is none."""
+    t = Fraction(str(threshold))
+    found = []
+    for m in range(max(1, ceil(t * n)), int(n / t) + 1):
+        common = ceil(t * (n + m) / (1 + t))
+        if common <= min(n, m) and not common == n == m:
+            found.append(Fraction(common, n + m - common))
+    return float(min(found)) if found else None
+
+
+def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """Levels that are left when prefixes were shortened until sets of that similarity meet with the target recall."""
     k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
+    while k > 1 and 1 - (1 - similarity**k) ** trees < recall:
         k -= 1
     return k
 
 
+def prefix_lengths(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> list[int]:
+    """The levels left for sets of 0, 1, 2, ... shingles (0: no different set can be so similar); the last one holds
+    for all larger sets."""
+    small = [smallest_similarity(n, threshold) if n else None for n in range(SMALL)]
+    return [prefix_length(s, trees, depth, recall) if s else 0 for s in small] + [prefix_length(threshold, trees, depth, recall)]
+
+
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted within it, and the text number of each."""
     data, off = byte_view(texts)
@@ -81,17 +104,16 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return out[new], who[new]
 
 
-def labels(sets: np.ndarray, first: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """document x tree: a hash of the tree's prefix of that length (documents with a set)."""
-    out = np.zeros((len(first), trees), np.uint64)
+def paths(sets: np.ndarray, first: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """document x tree x level: sixteen bits of the smallest hash of each set (documents with a set)."""
+    out = np.zeros((len(first), trees, depth), np.uint16)
     rng = np.random.default_rng(20_011)
     for t in range(trees):
-        for _ in range(length):
+        for k in range(depth):
             a, b = rng.integers(1, 1 << 63, 2, dtype=np.uint64)
             low = np.minimum.reduceat((sets ^ b) * (a | np.uint64(1)), first)
             # the low bits of a product are weak: what is smallest is told by the high ones, and mixed before use
-            out[:, t] = mix(out[:, t] * _STEP + low)
-        out[:, t] = mix(out[:, t] + np.uint64(t))
+            out[:, t, k] = mix(low) >> np.uint64(48)
     return out
 
 
@@ -105,8 +127,8 @@ def set_keys(sets: np.ndarray, who: np.ndarray, n_docs: int) -> tuple[np.ndarray
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int, trees: int, length: int) -> DataFrame:
-    """(doc_id, digest, n, set_a, set_b, labels) of the documents that have a word."""
+def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
+    """(doc_id, digest, n, set_a, set_b, path) of the documents that have a word; path: the trees' paths, two bytes a level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,13 +138,42 @@ def signatures(docs: DataFrame, words: int, trees: int, length: int) -> DataFram
                 if not len(has):
                     continue
                 keys = [k[has] for k in set_keys(sets, who, len(texts))]
-                tags = labels(sets, first, trees, length).view(np.int64)
+                path = paths(sets, first, trees, depth)
+                path = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * trees * depth), len(has), [None, pa.py_buffer(np.ascontiguousarray(path))]).cast(pa.binary())
                 yield pa.record_batch(
-                    [part.column("doc_id").take(pa.array(has)), part.column("digest").take(pa.array(has)), pa.array(n), *map(pa.array, keys), pa.FixedSizeListArray.from_arrays(pa.array(tags.ravel()), trees).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "n", "set_a", "set_b", "labels"],
+                    [part.column("doc_id").take(pa.array(has)), part.column("digest").take(pa.array(has)), pa.array(n), *map(pa.array, keys), path],
+                    ["doc_id", "digest", "n", "set_a", "set_b", "path"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, n long, set_a long, set_b long, labels array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, n long, set_a long, set_b long, path binary")
+
+
+def trie_places(classes: DataFrame, lengths: list[int], trees: int, depth: int) -> DataFrame:
+    """(class, node, m) for each node that has m > 1 classes, one of which stops at its level.
+
+    A class with a long prefix is also placed at the shorter ones at which others stop."""
+    own = F.element_at(F.array(*map(F.lit, lengths)), F.least(F.col("n"), F.lit(len(lengths) - 1)).cast("int") + 1)
+    levels = F.array(*map(F.lit, sorted({k for k in lengths if k})))
+    places = classes.withColumn("own", own).where("own > 0")
+    places = places.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("level", F.explode(F.filter(levels, lambda k: k <= F.col("own"))))
+    prefix = F.substring("path", F.col("tree") * (2 * depth) + 1, F.col("level") * 2)
+    places = places.select("class", F.xxhash64("tree", "level", prefix).alias("node"), (F.col("own") == F.col("level")).alias("stops"))
+    nodes = places.groupBy("node").agg(F.count("*").alias("m"), F.max("stops").alias("stops")).where("m > 1 AND stops").drop("stops")
+    return places.select("class", "node").join(stored(nodes, "trie-nodes"), "node")
+
+
+def meeting_blocks(placed: DataFrame, members: DataFrame) -> DataFrame:
+    """(lo, hi): every block with itself, and every two blocks of which some node has classes."""
+    seen = placed.join(members.select(F.col("id").alias("class"), "block"), "class").select("node", "block").distinct()
+    seen = stored(seen, "trie-blocks")
+    # nodes with the same blocks say the same
+    told = F.xxhash64("block")
+    sets = seen.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(told).alias("x"), F.bit_xor(F.xxhash64(told)).alias("y")).where("n > 1")
+    sets = stored(sets.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node"), "trie-meetings")
+    seen = stored(seen.join(sets, "node"), "trie-meeting-blocks")
+    pairs = seen.select("node", F.col("block").alias("lo")).join(seen.select("node", F.col("block").alias("hi")), "node").where("lo < hi").select("lo", "hi").distinct()
+    itself = members.select(F.col("block").alias("lo"), F.col("block").alias("hi")).distinct()
+    return stored(itself.unionByName(pairs), "tiles")
 
 
 def tile_links(sets: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -164,23 +215,23 @@ def _grouped(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     spark = docs.sparkSession
     bounded_batches(docs)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    length = prefix_length(threshold, trees, depth, recall)
+    lengths = prefix_lengths(threshold, trees, depth, recall)
+    depth = max(lengths)  # no class stops at a longer prefix
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     texts = texts.withColumn("digest", _digest(F.col("text")))
-    signed = stored(signatures(texts, words, trees, length), "shingle-signatures")
+    signed = stored(signatures(texts, words, trees, depth), "shingle-signatures")
     same = ["n", "set_a", "set_b"]
     first = F.min(F.struct("doc_id", "digest")).alias("first")
-    classes = signed.groupBy(*same).agg(first, F.count("*").alias("size"), F.first("labels").alias("labels"))
+    classes = signed.groupBy(*same).agg(first, F.count("*").alias("size"), F.first("path").alias("path"))
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "shingle-classes")
-    # the trie's nodes at that prefix: each class hangs on the smallest one there
-    places = classes.select("class", F.explode("labels").alias("node"))
-    shared = places.groupBy("node").agg(F.min("class").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-    edges = places.join(stored(shared, "trie-nodes"), "node").select("a", F.col("class").alias("b"))
-    clumps = connected(edges).join(classes.select(F.col("class").alias("id"), F.col("first.doc_id").alias("doc_id"), "size", *same), "id")
-    clumps = stored(clumps.withColumnRenamed("component", "clump"), "clumps")
+    placed = stored(trie_places(classes, lengths, trees, depth), "trie-places")
+    homes = placed.groupBy("class").agg(F.max(F.struct("m", "node")).getField("node").alias("home"))
+    members = classes.select("class", F.col("first.doc_id").alias("doc_id"), "size", *same).join(homes, "class").withColumnRenamed("class", "id")
+    members = stored(members, "trie-homes")
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
-    members = clumps.join(stored(clumps.groupBy("clump").agg(blocks), "clump-sizes"), "clump")
-    members = stored(members.withColumn("home", F.pmod(F.xxhash64("id"), "blocks")), "clump-members")
+    members = members.join(stored(members.groupBy("home").agg(blocks), "home-sizes"), "home")
+    members = stored(members.select("id", "doc_id", "size", *same, F.xxhash64("home", F.pmod(F.xxhash64("id"), "blocks")).alias("block")), "trie-members")
+    tiles = meeting_blocks(placed, members)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,20 +241,21 @@ def _grouped(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
                 raw = pa.array([sets[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
                 a, b = set_keys(sets, who, len(some))  # an id may have other texts too
                 own = pa.array((a == part.column("set_a").to_numpy()) & (b == part.column("set_b").to_numpy()))
-                names = ["id", "clump", "size", "home", "blocks"]
+                names = ["id", "size", "block"]
                 yield pa.record_batch([*(part.column(c) for c in names), raw], [*names, "sets"]).filter(own)
 
     # while they are few, the texts stay where they are
-    one = texts.join(few(members), "doc_id").select("id", "clump", "size", "home", "blocks", "set_a", "set_b", "text")
-    with_sets = one.mapInArrow(sets_of, "id long, clump long, size long, home long, blocks long, sets binary")
-    dealt = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keys = ["clump", "lo", "hi"]
-    tiles = dealt.select("clump", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "home", "id", "size", "sets")
-    tiles = tiles.repartition(partitions, *keys).sortWithinPartitions(*keys, "id")
+    one = texts.join(few(members), "doc_id").select("id", "size", "block", "set_a", "set_b", "text")
+    with_sets = one.mapInArrow(sets_of, "id long, size long, block long, sets binary")
+    sides = tiles.select(F.col("lo").alias("block"), "lo", "hi").unionByName(tiles.where("lo < hi").select(F.col("hi").alias("block"), "lo", "hi"))
+    keys = ["lo", "hi"]
+    # a task has a tile or a few
+    tasks = max(partitions, min(tiles.count(), MOST_TASKS))
+    dealt = with_sets.join(few(stored(sides, "tile-sides")), "block").repartition(tasks, *keys).sortWithinPartitions(*keys, "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, keys):
-            ids, size, home = (tile[c].to_numpy() for c in ("id", "size", "home"))
+            ids, size, home = (tile[c].to_numpy() for c in ("id", "size", "block"))
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile["sets"].combine_chunks()]
             keep = np.array([k == 0 or ids[k] != ids[k - 1] for k in range(len(ids))])
             lo, hi = tile["lo"][0].as_py(), tile["hi"][0].as_py()
@@ -222,7 +274,7 @@ def _grouped(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
             if len(some):
                 yield pa.record_batch([pa.array(ids[some]), pa.array(root[some]), pa.array(count[some])], ["id", "root", "n"])
 
-    links = stored(tiles.mapInArrow(compare, "id long, root long, n long"), "shingle-links")
+    links = stored(dealt.mapInArrow(compare, "id long, root long, n long"), "shingle-links")
     groups = stored(connected(links.select(F.col("id").alias("a"), F.col("root").alias("b"))), "shingle-groups")
     counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
     linked = classes.select(F.col("class").alias("id"), "first", "size", *same).join(groups, "id").join(counts, "id")

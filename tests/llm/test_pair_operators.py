@@ -138,10 +138,59 @@ def test_near_duplicates_against_all_pairs(spark):
     assert shingle_join.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_labels_are_as_long_as_the_recall_allows():
-    k = shingle_join.prefix_length(0.8)
-    meets = lambda k: 1 - (1 - 0.8**k) ** shingle_join.TREES
-    assert meets(k) >= shingle_join.RECALL > meets(k + 1)
+def test_prefixes_are_shortened_to_the_recall():
+    meets = lambda s, k: 1 - (1 - s**k) ** shingle_join.TREES
+    lengths = shingle_join.prefix_lengths(0.8)
+    for n in range(1, 60):
+        could = [c / (n + m - c) for m in range(1, 100) for c in range(1, min(n, m) + 1) if 5 * c >= 4 * (n + m - c) and not c == n == m]
+        least = shingle_join.smallest_similarity(n, 0.8)
+        assert least == (pytest.approx(min(could)) if could else None), n
+        k = lengths[min(n, len(lengths) - 1)]
+        assert (k == 0) == (not could)
+        if could:
+            assert meets(least, k) >= shingle_join.RECALL, n
+            assert n >= shingle_join.SMALL or meets(least, k + 1) < shingle_join.RECALL, n
+    assert len(set(lengths)) > 2
+    assert max(shingle_join.prefix_lengths(0.95)) == shingle_join.DEPTH > max(lengths)
+
+
+def test_recall_of_the_forest(spark):
+    """Pairs from 0.8 to 0.9 meet in the forest; those at 0.3 mostly do not."""
+    rng = random.Random(3)
+    texts, high, low = [], [], []
+    for g in range(150):
+        base = ["g%dw%d" % (g, k) for k in range(84)]
+        cut = rng.choice([2, 4, 6, 8])
+        texts += [" ".join(base), " ".join(base[cut:] + ["g%dx%d" % (g, k) for k in range(cut)]), " ".join(base[45:] + ["g%dy%d" % (g, k) for k in range(45)])]
+        sets = [set_of(t) for t in texts[-3:]]
+        assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) and len(sets[0] & sets[2]) < 0.35 * len(sets[0] | sets[2])
+        high.append((3 * g, 3 * g + 1))
+        low.append((3 * g, 3 * g + 2))
+    lengths = shingle_join.prefix_lengths(0.8)
+    signed = shingle_join.signatures(frame(spark, texts).withColumn("digest", shingle_join._digest(F.col("text"))), 5, shingle_join.TREES, max(lengths))
+    placed = shingle_join.trie_places(signed.withColumn("class", F.col("doc_id")), lengths, shingle_join.TREES, max(lengths))
+    at = {}
+    for r in placed.collect():
+        at.setdefault(r["class"], set()).add(r["node"])
+    met = lambda pairs: sum(bool(at.get(a, set()) & at.get(b, set())) for a, b in pairs)
+    assert met(high) == 150 and met(low) < 75
+
+
+def test_a_chain_is_not_compared_whole(spark, monkeypatch):
+    n, step = 160, 20
+    words = ["w%d" % k for k in range(step * n + 100)]
+    texts = [" ".join(words[step * k : step * k + 100]) for k in range(n)]  # neighbours at 0.66 meet, all hang together
+    texts += [" ".join(words[step * k + 2 : step * k + 102]) for k in range(0, n, 10)]
+    seen = []
+    meeting = shingle_join.meeting_blocks
+    monkeypatch.setattr(shingle_join, "meeting_blocks", lambda *a: seen.append(meeting(*a)) or seen[-1])
+    got = {r["doc_id"]: r for r in shingle_join.near_duplicates(frame(spark, texts), block=4).collect()}
+    tiles = seen[0].count()
+    blocks = seen[0].where("lo = hi").count()
+    assert blocks >= len(texts) / 4 and tiles < 6 * blocks < blocks * (blocks - 1) / 2
+    for j in range(n // 10):
+        assert got[n + j]["n_links"] == 1 and got[n + j]["component_id"] == 10 * j
+    assert sum(r["n_links"] for r in got.values()) == 2 * (n // 10)
 
 
 def test_shingle_hashes_tell_sets_apart():
