@@ -48,8 +48,8 @@ BLOCK_SHINGLES = 1 << 18
 CHUNK = 1 << 20
 # Sets of fewer shingles have a prefix length of their own.
 SMALL = 32
-# Most tasks that tiles are dealt to.
-MOST_TASKS = 20_000
+# Shingles of the tiles of a task, about.
+TASK_SHINGLES = 1 << 21
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,9 +249,10 @@ def _grouped(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     with_sets = one.mapInArrow(sets_of, "id long, size long, block long, sets binary")
     sides = tiles.select(F.col("lo").alias("block"), "lo", "hi").unionByName(tiles.where("lo < hi").select(F.col("hi").alias("block"), "lo", "hi"))
     keys = ["lo", "hi"]
-    # a task has a tile or a few
-    tasks = max(partitions, min(tiles.count(), MOST_TASKS))
-    dealt = with_sets.join(few(stored(sides, "tile-sides")), "block").repartition(tasks, *keys).sortWithinPartitions(*keys, "id")
+    sides = stored(sides, "tile-sides")
+    total = sides.join(members.groupBy("block").agg(F.sum("n").alias("n")), "block").agg(F.sum("n")).first()[0]
+    tasks = max(partitions, (total or 0) // TASK_SHINGLES)
+    dealt = with_sets.join(few(sides), "block").repartition(tasks, *keys).sortWithinPartitions(*keys, "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, keys):
