@@ -90,3 +90,25 @@ def ranked(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     values = values.select(*[F.col(c).alias(f"__{c}") for c in by], (F.col("rows") + F.col("__before") + 1).alias(name), (F.col("values") + F.col("__row")).alias(f"{name}_dense"))
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
     return df.join(values, same).drop(*[f"__{c}" for c in by])
+
+
+def neighbours(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
+    """``df`` with ``value`` of the row before (lag_value, after its name) and after (lead_value) in its key's order.
+
+    Rows are dealt by ranges of (key, order), so a hot key spreads over many tasks; the last and first row of a key in each
+    range cross the borders. ``order`` should tell a key's rows apart; a null key is a key like others.
+    """
+    dealt = materialize(df.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()), "neighbours")
+    held = F.struct(F.col(value).alias("v"))
+    # null keys and orders come first in a range, and a struct compares them so
+    at = F.struct(*order)
+    ends = dealt.groupBy(key, "__part").agg(F.min_by(held, at).alias("__first"), F.max_by(held, at).alias("__last"))
+    ranges = Window.partitionBy(key).orderBy("__part")  # a row for each range of the key
+    ends = ends.withColumns({"__before": F.lag("__last").over(ranges), "__after": F.lead("__first").over(ranges)})
+    ends = ends.where("__before IS NOT NULL OR __after IS NOT NULL").select(F.col(key).alias("__key"), F.col("__part").alias("__p"), "__before", "__after")
+    inner = Window.partitionBy("__part", key).orderBy(*order)
+    rows = dealt.withColumns({"__lag": F.lag(held).over(inner), "__lead": F.lead(held).over(inner)})
+    out = rows.join(ends, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p")), "left")
+    return out.select(
+        *df.columns, F.coalesce("__lag", "__before").getField("v").alias(f"lag_{value}"), F.coalesce("__lead", "__after").getField("v").alias(f"lead_{value}")
+    )

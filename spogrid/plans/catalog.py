@@ -82,11 +82,11 @@ UNIT_KEYS = (
 
 STORAGE_KEYS = (
     "tt_count predicates vp_sizes related_predicates extvp_ss extvp_os extvp_so extvp_stats extvp_bounded "
-    "extvp_summary extvp_storage extvp_rows choose_tables empty_relation bgp_extvp"
+    "extvp_summary extvp_storage extvp_rows choose_tables empty_relation bgp_extvp sketch_stats bgp_sketched"
 ).split()
 
 
-TIME_KEYS = "asof_join window_tumbling window_sliding window_session interval_stream_join".split()
+TIME_KEYS = "asof_join lag_lead window_tumbling window_sliding window_session interval_stream_join".split()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spogrid.operators import extvp
+from spogrid.operators import extvp, sketches
 from spogrid.operators.patterns import bgp
+from spogrid.session import materialize
 
 # a BGP used to exercise table choice: reviews, their product's label and a sparse rating
 CHOICE_BGP = [
@@ -96,3 +97,31 @@ def bgp_extvp(t) -> DataFrame:
     choice = extvp.choose_tables(t.spark, CHOICE_BGP, t.reduction_stats).collect()
     tables = extvp.bgp_tables(t.stored, t.reductions, choice)
     return bgp(t.stored, CHOICE_BGP, tables=tables).select("review", "product", "r4", "label", "t4")
+
+
+def _merged_sketches(t) -> DataFrame:
+    """Sketches of two halves of the stored table, each written, then merged."""
+    triples, half = t.stored.all, F.pmod(F.xxhash64("sub"), F.lit(2))
+    parts = [materialize(sketches.sketch(triples.where(half == k)), "sketches") for k in (0, 1)]
+    return materialize(sketches.merge(*parts), "sketches")
+
+
+def sketch_stats(t) -> DataFrame:
+    """Rows of each predicate from merged sketches, and whether the estimates lie within their bounds: 4 % of the
+    exact distinct subjects and objects, and a rank of 45 to 55 % for the median."""
+    est = sketches.estimates(_merged_sketches(t))
+    triples = t.stored.all.join(est.select("pred", "median"), "pred")
+    num = F.col("num").cast("double")
+    exact = triples.groupBy("pred").agg(
+        F.countDistinct("sub").alias("s"), F.countDistinct("obj").alias("o"), F.count(num).alias("c"),
+        F.count(F.when(num < F.col("median"), 1)).alias("below"), F.count(F.when(num <= F.col("median"), 1)).alias("upto"),
+    )
+    near = lambda guess, true: F.abs(F.col(guess) - F.col(true)) <= F.col(true) * 0.04
+    median = (F.col("c") == 0) | ((F.col("below") <= F.col("c") * 0.55) & (F.col("upto") >= F.col("c") * 0.45))
+    return est.join(exact, "pred").select("pred", "n", near("n_sub", "s").alias("subjects_near"), near("n_obj", "o").alias("objects_near"), median.alias("median_near"))
+
+
+def bgp_sketched(t) -> DataFrame:
+    """The table-choice BGP, its joins in the order of the sketches' expected rows."""
+    sizes = sketches.pattern_sizes(CHOICE_BGP, _merged_sketches(t))
+    return bgp(t.stored, CHOICE_BGP, sizes=sizes).select("review", "product", "r4", "label", "t4")

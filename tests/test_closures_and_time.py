@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spogrid.functions.terms import TRIPLE_SCHEMA
 from spogrid.operators import paths
-from spogrid.operators.aggregates import grouped_sets, ranked
+from spogrid.operators.aggregates import grouped_sets, neighbours, ranked
 from spogrid.operators.algebra import as_of, intersect, minus
 from spogrid.operators.paths import Rep, alt, between, inv, neg, opt, path, plus, seq, star
 from spogrid.plans import time_q
@@ -200,3 +200,16 @@ def test_joined_state_shrinks(spark, tmp_path):
     q = W.run_to_end(W.interval_join(left, right, "k", "x", "y", "10 minutes", "20 MINUTES"), str(tmp_path / "out"), str(tmp_path / "state"))
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
     assert max(held) < 300 and held[-1] <= 100
+
+
+def test_neighbours_of_a_hot_key(spark):
+    rng = random.Random(9)
+    data = [(k, rng.choice([1, 1, 1, 1, 2, 3, None]), rng.choice([None, *range(50)]), rng.choice([None, 1.5, 2.5])) for k in range(400)]
+    got = neighbours(spark.createDataFrame(data, "id long, k int, t int, v double").repartition(7), "k", ["t", "id"], "v").collect()
+    lag, lead = {}, {}
+    for key in {d[1] for d in data}:
+        own = sorted((d for d in data if d[1] == key), key=lambda d: (d[2] is not None, d[2] or 0, d[0]))
+        for a, b in zip(own, own[1:]):
+            lead[a[0]], lag[b[0]] = b[3], a[3]
+    assert len(got) == len(data)
+    assert all((r["lag_v"], r["lead_v"]) == (lag.get(r["id"]), lead.get(r["id"])) for r in got)
