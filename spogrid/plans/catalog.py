@@ -82,7 +82,8 @@ UNIT_KEYS = (
 
 STORAGE_KEYS = (
     "tt_count predicates vp_sizes related_predicates extvp_ss extvp_os extvp_so extvp_stats extvp_bounded "
-    "extvp_summary extvp_storage extvp_rows choose_tables empty_relation bgp_extvp sketch_stats bgp_sketched"
+    "extvp_summary extvp_storage extvp_rows choose_tables empty_relation bgp_extvp sketch_stats bgp_sketched "
+    "catalog_star catalog_chain catalog_layout"
 ).split()
 
 
@@ -109,4 +110,5 @@ def oracle_sql() -> dict[str, str]:
 
     sql.update(direct_sql.SQL)
     sql.update(time_q.SQL)
+    sql["catalog_star"], sql["catalog_chain"] = sql["bgp_star"], sql["bgp_chain"]
     return sql

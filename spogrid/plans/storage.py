@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spogrid.operators import extvp, sketches
 from spogrid.operators.patterns import bgp
+from spogrid.plans.units import CHAIN, STAR
 from spogrid.session import materialize
 
 # a BGP used to exercise table choice: reviews, their product's label and a sparse rating
@@ -125,3 +126,18 @@ def bgp_sketched(t) -> DataFrame:
     """The table-choice BGP, its joins in the order of the sketches' expected rows."""
     sizes = sketches.pattern_sizes(CHOICE_BGP, _merged_sketches(t))
     return bgp(t.stored, CHOICE_BGP, sizes=sizes).select("review", "product", "r4", "label", "t4")
+
+
+def catalog_star(t) -> DataFrame:
+    """Offers with their product, vendor and price, joined bucket by bucket from the catalog tables."""
+    return bgp(t.bucketed, STAR, sizes=t.bucketed.sizes(STAR)).select("offer", "product", "vendor", "price")
+
+
+def catalog_chain(t) -> DataFrame:
+    """Regions of reviewed products' producers from the catalog tables, joins ordered by the layout's sizes."""
+    return bgp(t.bucketed, CHAIN, sizes=t.bucketed.sizes(CHAIN)).select("review", "region")
+
+
+def catalog_layout(t) -> DataFrame:
+    """Rows, IRI objects, and first and last subject of each predicate, as its table's layout records them."""
+    return t.bucketed.layout.select("pred", "n", "n_iri", "min_sub", "max_sub")

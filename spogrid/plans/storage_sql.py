@@ -106,4 +106,8 @@ FROM red JOIN (SELECT rel, p1, p2 FROM bstats WHERE stored) k USING (rel, p1, p2
     "bgp_extvp": with_common(BGP_EXTVP),
     "bgp_sketched": with_common(BGP_EXTVP),
     "sketch_stats": with_common("SELECT pred, count(*) AS n, true AS subjects_near, true AS objects_near, true AS median_near FROM triples GROUP BY pred"),
+    "catalog_layout": with_common(
+        """SELECT pred, count(*) AS n, count(*) FILTER (WHERE kind = 'iri') AS n_iri, min(sub) AS min_sub, max(sub) AS max_sub
+FROM triples GROUP BY pred"""
+    ),
 }
