@@ -289,3 +289,10 @@ def bgp_tables(store: TripleStore, rows: DataFrame, choice: list) -> dict[int, D
     """Map pattern index -> reduced table from a collected choice (one row per pattern)."""
     table = reduced_store(rows)
     return {r["idx"]: table(r["rel"], r["p1"], r["p2"]) for r in choice if r["rel"] != "VP"}
+
+
+def bgp_sizes(patterns: Sequence[tuple], choice: list) -> list[float]:
+    """Rows of the chosen table of each pattern, for the join order of ``bgp(sizes=...)``: 0 for a predicate
+    without triples; a variable predicate counts as the largest of all."""
+    size = {r["idx"]: float(r["size"] or 0) for r in choice}
+    return [size.get(i, float("inf")) for i in range(len(patterns))]

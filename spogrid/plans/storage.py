@@ -97,7 +97,7 @@ def bgp_extvp(t) -> DataFrame:
     """
     choice = extvp.choose_tables(t.spark, CHOICE_BGP, t.reduction_stats).collect()
     tables = extvp.bgp_tables(t.stored, t.reductions, choice)
-    return bgp(t.stored, CHOICE_BGP, tables=tables).select("review", "product", "r4", "label", "t4")
+    return bgp(t.stored, CHOICE_BGP, tables=tables, sizes=extvp.bgp_sizes(CHOICE_BGP, choice)).select("review", "product", "r4", "label", "t4")
 
 
 def _merged_sketches(t) -> DataFrame:

@@ -42,6 +42,9 @@ def test_choose_and_empty(spark, graph):
     stats = extvp.reduction_stats(graph)
     choice = {r.idx: r for r in extvp.choose_tables(spark, pats, stats, 1.0).collect()}
     assert choice[1].rel == "SO" and choice[1].size == 1
+    assert extvp.bgp_sizes([*pats, ("?r", "?q", "?v")], list(choice.values())) == [1.0, 1.0, float("inf")]
+    lacking = extvp.choose_tables(spark, [("?x", "p:none", "?y")], stats, 1.0).collect()
+    assert extvp.bgp_sizes([("?x", "p:none", "?y")], lacking) == [0.0]
     empty = extvp.empty_relations(spark, [("?x", "shop:num", "?n"), ("?x", "rev:text", "?t")], stats)
     assert empty.count() == 2
 
