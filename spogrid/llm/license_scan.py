@@ -19,7 +19,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spogrid.llm.shared import bounded_batches
@@ -156,8 +156,13 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES, id_col: str = "doc_id", te
     return rows.mapInArrow(run, f"doc_id long, n_words long, hits {HITS}")
 
 
+def _span(hit: Column) -> Column:
+    return F.struct(*(hit[c].alias(c) for c in ("begin", "end", "label", "base", "edits")))
+
+
 def digest(found: DataFrame, notices=NOTICES) -> DataFrame:
-    """One row for each document: counts, first and last base hit, labels, and the best hit's likeness."""
+    """One row for each document: counts, first and last base hit, labels, the best hit's likeness, and
+    the spans of all hits (bytes of the text, label, whether exact, edits) in order of their place."""
     sizes = F.create_map(*[x for label, size in sorted({n.label: len(n.phrase) for n in notices}.items()) for x in (F.lit(label), F.lit(size))])
     exact = F.filter("hits", lambda h: h.base)
     names = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h.label))), ",")
@@ -166,5 +171,5 @@ def digest(found: DataFrame, notices=NOTICES) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size(exact).cast("long").alias("n_base"), F.array_min(words).alias("first_word"),
         F.array_max(words).alias("last_word"), names(exact).alias("base_labels"), names(F.col("hits")).alias("labels"),
-        F.coalesce(F.array_max(like), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_max(like), F.lit(0.0)).alias("score"), F.array_sort(F.transform("hits", _span)).alias("spans"),
     )

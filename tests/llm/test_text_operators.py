@@ -349,6 +349,12 @@ def test_licenses(spark):
         assert 0 <= r["score"] <= 1
     exact = [h for h in found.where(f"doc_id = {len(ODD)}").first()["hits"] if h["base"]]
     assert [NOTICES[0][h["begin"] : h["end"]] for h in exact] == ["CC BY"]
+    for k, t in enumerate(texts):
+        r, raw = got[k], (t or "").encode().lower()
+        assert [s["begin"] for s in r["spans"]] == sorted(s["begin"] for s in r["spans"]), k
+        assert {s["label"] for s in r["spans"]} == set(filter(None, r["labels"].split(",")))
+        exact = [b" ".join(re.findall(rb"[0-9a-z\x80-\xff]+", raw[s["begin"] : s["end"]])).decode() for s in r["spans"] if s["base"]]
+        assert len(exact) == r["n_base"] and set(exact) <= {phrase for _, phrase in license_scan.BASE}
     assert license_scan.digest(license_scan.scan(odd_rows(spark).limit(0))).count() == 0
 
 
