@@ -183,8 +183,9 @@ def interval_lookup(ids: DataFrame, bounds: DataFrame, order: str, size: str, id
     parts = both.select("part").distinct().join(firsts, "part", "left")
     later = F.first("f", ignorenulls=True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing))
     parts = parts.select("part", later.alias("later"))
-    w = Window.partitionBy("part").orderBy("v", "bound", "owner").rowsBetween(0, Window.unboundedFollowing)
-    here = F.first(F.when(F.col("bound"), F.struct("owner")), ignorenulls=True).over(w)
+    # backwards, the next bound is the last one seen: a frame that only grows, where one to the end would be read again for each row
+    w = Window.partitionBy("part").orderBy(*[F.desc(c) for c in ("v", "bound", "owner")]).rowsBetween(Window.unboundedPreceding, 0)
+    here = F.last(F.when(F.col("bound"), F.struct("owner")), ignorenulls=True).over(w)
     found = both.withColumn("here", here).where("NOT bound").join(parts, "part")
     out = found.select(F.col("id").alias(id_col), F.coalesce("here.owner", "later.owner").alias("owner"))
     missing = ids.where(F.col(id_col).isNull()).select(id_col, F.lit(None).cast(out.schema["owner"].dataType).alias("owner"))
