@@ -47,12 +47,16 @@ def test_profiles_are_few_and_give_the_same_statistics(spark):
     assert extvp.value_profiles(store).where("side = 'S'").count() < 6  # 24 subjects
     from spogrid.sources.triplify import iri, iri_obj
 
+    lost = TripleStore.from_branches([iri_obj(spark.createDataFrame([(k, k) for k in (None, None, 1, 2)], "n long, m long"), iri("a/", "n"), p, iri("a/", "m")) for p in ("p:x", "p:y")]
+                                     + [iri_obj(spark.range(3), F.lit(None).cast("string"), "p:z", iri("a/", "id"))])
+    assert rows(extvp.reduction_stats(lost)) == rows(extvp.reduction_stats(lost, extvp.reduction_rows(lost)))
+    assert {r.p1: r.vp_size for r in extvp.reduction_stats(lost).collect()} == {"p:x": 2, "p:y": 2, "p:z": 3}
     twice = TripleStore.from_branches([iri_obj(df.union(df), iri("a/", "n"), "p:x", iri("a/", "n")) for df in [spark.range(3).withColumnRenamed("id", "n")]])
     assert rows(extvp.reduction_counts(twice, ["OS"])) == [("OS", "p:x", "p:x", 3)]
 
 
 def test_summary_counts_distinct_values_of_many_groups(spark):
-    df = spark.range(1000).select((F.col("id") % 130).alias("g"), F.lit("k").alias("h"), (F.col("id") % 7).alias("v"), F.col("id").cast("string").alias("t"))
+    df = spark.range(1000).select((F.col("id") % 130).alias("g"), F.lit("k").alias("h"), F.when(F.col("id") % 13 > 0, F.col("id") % 7).alias("v"), F.col("id").cast("string").alias("t"))
     aggs = {"n": F.count(F.lit(1)), "low": F.min("t"), "high": F.max("t")}
     plain = df.groupBy("g", "h").agg(*[c.alias(k) for k, c in aggs.items()], F.countDistinct("v").alias("d"))
     got = summary(df, ["g", "h"], {"d": "v"}, aggs)
