@@ -55,6 +55,36 @@ def test_profiles_are_few_and_give_the_same_statistics(spark):
     assert rows(extvp.reduction_counts(twice, ["OS"])) == [("OS", "p:x", "p:x", 3)]
 
 
+def test_joined_source_is_counted_by_its_sides(spark, monkeypatch):
+    from spogrid.sources import store as module
+    from spogrid.sources.triplify import branch, iri
+
+    counted, count = [], module._no_key_twice
+    monkeypatch.setattr(module, "_no_key_twice", lambda source, keys: counted.append(id(source)) or count(source, keys))
+    base = spark.createDataFrame([(k, k % 3) for k in range(9)], "nr long, doc long")
+    for ids, once in (([0, 1, 2, None], True), ([0, 1, 1, 2], False)):
+        side = spark.createDataFrame([(k, f"text {k}") for k in ids], "doc long, text string")
+        wider = base.join(side, "doc")
+        b = branch(wider, iri("review/", "nr"), "rev:text", F.col("text"))
+        store = TripleStore.from_branches([b])
+        store.extend(wider, base, side, "doc")
+        counted.clear()
+        assert store.unique(b) is once and store.unique(b) is once
+        assert counted == [id(base), id(side)] + ([] if once else [id(wider)])
+
+
+def test_keys_are_told_apart_by_value(spark, monkeypatch):
+    from spogrid.sources.store import _no_key_twice
+
+    keys = [F.col("a"), F.col("b")]
+    frame = lambda *r: spark.createDataFrame(r, "a long, b string")
+    assert _no_key_twice(frame((1, "x"), (1, "y"), (2, "x"), (None, "x"), (None, None)), keys)
+    assert not _no_key_twice(frame((1, "x"), (None, "x"), (None, "x")), keys)
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))  # all hashes clash
+    assert _no_key_twice(frame((1, "x"), (1, "y"), (None, "x")), keys)
+    assert not _no_key_twice(frame((1, "x"), (1, "y"), (1, "x")), keys)
+
+
 def test_summary_counts_distinct_values_of_many_groups(spark):
     df = spark.range(1000).select((F.col("id") % 130).alias("g"), F.lit("k").alias("h"), F.when(F.col("id") % 13 > 0, F.col("id") % 7).alias("v"), F.col("id").cast("string").alias("t"))
     aggs = {"n": F.count(F.lit(1)), "low": F.min("t"), "high": F.max("t")}
