@@ -55,6 +55,13 @@ def test_profiles_are_few_and_give_the_same_statistics(spark):
     assert rows(extvp.reduction_counts(twice, ["OS"])) == [("OS", "p:x", "p:x", 3)]
 
 
+def test_values_are_grouped_with_one_item_a_row(spark):
+    store = _store(spark)
+    sizes = {r["v"]: r["n"] for r in extvp._value_items(store).groupBy("v").agg(F.max(F.size("items")).alias("n")).collect()}
+    assert set(sizes.values()) == {1} and {f"offer/{k}" for k in range(20)} <= set(sizes)
+    assert rows(extvp.reduction_stats(store)) == rows(extvp.reduction_stats(store.all))
+
+
 def test_joined_source_is_counted_by_its_sides(spark, monkeypatch):
     from spogrid.sources import store as module
     from spogrid.sources.triplify import branch, iri
