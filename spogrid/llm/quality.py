@@ -35,7 +35,7 @@ from spogrid.llm.textkit import LOWER, SOLID, WORD, byte_view, chunks, kept, wor
 CELLS, WIDTH, SLOT = 1 << 14, 48, 256
 FIT_ROWS = 20_000
 HIDDEN, EPOCHS, RATE = 64, 60, 6e-3
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 SEED = 7
 _MARK = SOLID & ~WORD
 

@@ -393,3 +393,21 @@ def test_urls(spark):
     con.register("pages", pa.table({"page_id": list(range(len(urls))), "url": list(urls)}))
     sql = con.execute(url_vocabulary.sql() + " ORDER BY page_id").fetchall()
     assert [r[1:] for r in sql] == list(urls.values())
+
+
+def test_quality_holds_little_beside_a_batch():
+    """What a task holds for word vectors and pooling, over 4 MB of text in one batch."""
+    import tracemalloc
+
+    from spogrid.llm import quality
+
+    batch = pa.record_batch([pa.array(["a quality text, with marks; " * 40] * 3_700)], ["text"])
+    index = quality.index_vectors()
+    tracemalloc.start()
+    try:
+        for _, texts in quality.chunks(batch, "text", quality.CHUNK):
+            quality.context_sums(*quality.token_cells(texts), index)
+            quality.pool(*quality.token_cells(texts), len(texts), index)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
