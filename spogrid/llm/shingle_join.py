@@ -13,8 +13,9 @@ size, meet it in some tree with the target recall (``prefix_length``): short set
 have a different partner stay out. A node counts if it has two classes, one of which stops at its level. (3) A class lives
 at the fullest of its nodes; the classes of a home are cut by hash into blocks of a bounded number
 of classes and shingles. Two blocks are compared as a tile if some node has classes of both, and every block with itself, so
-all pairs that meet are in exactly one tile, and pages that are merely chained over others are not compared. (4) A tile
-reads its sets again from the texts and multiplies its incidence matrix by itself, which gives exact intersections; it
+all pairs that meet are in exactly one tile, and pages that are merely chained over others are not compared. (4) The sets
+of a block are read again from the texts and packed into one row, in which a shingle that several of them have stands once; a tile
+is dealt its two blocks and multiplies their incidence matrices, which gives exact intersections; it
 returns each class's links and a spanning forest. (5) Components of the links are the groups.
 
 Nodes are told apart by a hash; two that clash only add pairs that the exact comparison turns down.
@@ -202,6 +203,39 @@ def tile_links(sets: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, threshold
     return np.nonzero((common > 0) & (common >= threshold * union - 1e-9 * union))
 
 
+def _packed_block(rows: pa.Table) -> pa.RecordBatch:
+    """One row for the sets of a block, each class once: a shingle that several sets have is kept once, the sets as numbers of shingles."""
+    ids, first = np.unique(rows["id"].to_numpy(), return_index=True)
+    raw = rows["sets"].take(pa.array(first)).combine_chunks()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
+    known, columns = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum([0, *map(len, sets)], dtype=np.int64)
+    whole = [ids, rows["size"].to_numpy()[first], columns.astype(np.uint32), starts, known]
+    return pa.record_batch(
+        [rows["block"].slice(0, 1).combine_chunks(), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in whole)],
+        ["block", "ids", "sizes", "columns", "starts", "known"],
+    )
+
+
+def tile_blocks(blocks: DataFrame, sides: DataFrame) -> DataFrame:
+    """The packed blocks of each tile: at most two rows a tile, however many sets a block has."""
+    return blocks.join(few(sides), "block")
+
+
+def _unpacked(tile: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(ids, sizes, blocks, sets) of a tile's classes, in order of id; each of its blocks counts once."""
+    found: dict[int, tuple] = {}
+    for row in tile.select(["block", "ids", "sizes", "columns", "starts", "known"]).to_pylist():
+        if row["block"] not in found:
+            ids, sizes, starts = (np.frombuffer(row[c], np.int64) for c in ("ids", "sizes", "starts"))
+            flat = np.frombuffer(row["known"], np.uint64)[np.frombuffer(row["columns"], np.uint32)]
+            found[row["block"]] = ids, sizes, np.full(len(ids), row["block"]), np.split(flat, starts[1:-1])
+    ids, sizes, home = (np.concatenate([x[k] for x in found.values()]) for k in range(3))
+    sets = [one for x in found.values() for one in x[3]]
+    order = np.argsort(ids, kind="stable")
+    return ids[order], sizes[order], home[order], [sets[k] for k in order.tolist()]
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH,
                     recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, component_id, n_links, kept): the smallest id of the same set, the smallest id
@@ -244,25 +278,30 @@ def _grouped(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
                 names = ["id", "size", "block"]
                 yield pa.record_batch([*(part.column(c) for c in names), raw], [*names, "sets"]).filter(own)
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["block"]):
+            yield _packed_block(rows)
+
     # while they are few, the texts stay where they are
     one = texts.join(few(members), "doc_id").select("id", "size", "block", "set_a", "set_b", "text")
     with_sets = one.mapInArrow(sets_of, "id long, size long, block long, sets binary")
+    # a row for each block: what is dealt to a tile are its two blocks, not their sets one by one
+    blocks = with_sets.repartition(partitions, "block").sortWithinPartitions("block", "id")
+    blocks = blocks.mapInArrow(packed, "block long, ids binary, sizes binary, columns binary, starts binary, known binary")
     sides = tiles.select(F.col("lo").alias("block"), "lo", "hi").unionByName(tiles.where("lo < hi").select(F.col("hi").alias("block"), "lo", "hi"))
     keys = ["lo", "hi"]
     sides = stored(sides, "tile-sides")
     total = sides.join(members.groupBy("block").agg(F.sum("n").alias("n")), "block").agg(F.sum("n")).first()[0]
     tasks = max(partitions, (total or 0) // TASK_SHINGLES)
-    dealt = with_sets.join(few(sides), "block").repartition(tasks, *keys).sortWithinPartitions(*keys, "id")
+    dealt = tile_blocks(blocks, sides).repartition(tasks, *keys).sortWithinPartitions(*keys, "block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, keys):
-            ids, size, home = (tile[c].to_numpy() for c in ("id", "size", "block"))
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile["sets"].combine_chunks()]
-            keep = np.array([k == 0 or ids[k] != ids[k - 1] for k in range(len(ids))])
             lo, hi = tile["lo"][0].as_py(), tile["hi"][0].as_py()
-            a, b = np.flatnonzero(keep & (home == lo)), np.flatnonzero(keep & (home == hi))
-            if len(a) == 0 or len(b) == 0:
-                continue
+            if len(set(tile["block"].to_pylist())) < len({lo, hi}):
+                continue  # a block without sets
+            ids, size, home, sets = _unpacked(tile)
+            a, b = np.flatnonzero(home == lo), np.flatnonzero(home == hi)
             i, j = tile_links(sets, a, b, threshold)
             i, j = a[i], b[j]
             if lo == hi:

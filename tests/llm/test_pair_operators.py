@@ -193,6 +193,30 @@ def test_a_chain_is_not_compared_whole(spark, monkeypatch):
     assert sum(r["n_links"] for r in got.values()) == 2 * (n // 10)
 
 
+def test_a_large_group_is_dealt_by_blocks(spark, monkeypatch):
+    """Sets of near copies are not joined one by one with every tile of their block."""
+    base = ["w%d" % k for k in range(200)]
+    texts = [" ".join(["x%d" % k, *base[1:]]) for k in range(60)]
+    seen, joined = [], shingle_join.tile_blocks
+    monkeypatch.setattr(shingle_join, "tile_blocks", lambda *a: seen.append((*a, joined(*a))) or seen[-1][-1])
+    got = shingle_join.near_duplicates(frame(spark, texts), block=4).collect()
+    assert all(r["n_links"] == 59 and r["component_id"] == 0 for r in got) and len(got) == 60
+    (blocks, sides, dealt), = seen
+    n, tiles = blocks.count(), sides.select("lo", "hi").distinct().count()
+    assert 15 <= n < 30 and tiles == n * (n + 1) // 2 and dealt.count() == sides.count() == n * n
+
+
+def test_packed_blocks_hold_every_set():
+    sets = {7: [1, 5, 9], 3: [5], 9: [1, 2, 5, 9]}
+    raw = [np.array(x, np.uint64).tobytes() for x in sets.values()]
+    table = pa.table({"id": [*sets, 7], "size": [2, 1, 4, 2], "block": [6] * 4, "sets": pa.array([*raw, raw[0]], pa.binary())})
+    other = pa.table({"id": [8], "size": [1], "block": [5], "sets": pa.array([raw[0]], pa.binary())})
+    packed = pa.Table.from_batches([shingle_join._packed_block(table), shingle_join._packed_block(other)])
+    ids, sizes, home, found = shingle_join._unpacked(packed)
+    assert ids.tolist() == [3, 7, 8, 9] and sizes.tolist() == [1, 2, 1, 4] and home.tolist() == [6, 6, 5, 6]
+    assert [x.tolist() for x in found] == [sets[3], sets[7], sets[7], sets[9]]
+
+
 def test_shingle_hashes_tell_sets_apart():
     texts = copies() + ["a b c d", "a b c d e", "b a c d"]
     sets, who = shingle_join.shingles(pa.array([t or "" for t in texts], pa.large_string()))
