@@ -108,3 +108,20 @@ def test_updates_compare_whole_terms(spark):
     assert sorted((r["kind"], r["lang"] or "") for r in left) == [("iri", ""), ("lit", "en"), ("lit", "fr")]
     left = delete_where(both, [("?s", "p", Lit("chat", lang="en"))]).collect()
     assert len(left) == 3 and not [r for r in left if r["lang"] == "en"]
+
+
+def test_delete_where_meets_rows_before_their_triples(spark):
+    from spogrid.sources.store import TripleStore
+    from spogrid.sources.triplify import int_lit, iri, iri_obj, string_lit, typed
+
+    things = spark.createDataFrame([(k, f"n{k}" if k % 3 else None, k % 4) for k in range(20)] + [(None, "lost", 1)], "nr long, name string, size int")
+    links = spark.createDataFrame([(k, k % 3) for k in range(20)] * 2, "nr long, to int")
+    s = iri("thing/", "nr")
+    parts = [typed(things, s, "c:Thing"), string_lit(things, s, "c:name", "name"), int_lit(things, s, "c:size", "size"), iri_obj(links, s, "c:to", iri("thing/", "to"))]
+    store = TripleStore.from_branches(parts)
+    patterns = [("?s", "c:size", 1), ("?s", "?p", "?o")]
+    out = delete_where(store, patterns)
+    told = lambda df: sorted(map(repr, df.select(*TRIPLE_SCHEMA.names).collect()))
+    assert told(out) == told(delete_where(store.all, patterns)) and 0 < len(told(out)) < len(told(store.all))
+    plan = out.where(F.col("pred").isin("c:name", "c:size"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter")
