@@ -137,3 +137,23 @@ def test_summary_of_the_store(spark, key):
     store = _store(spark)
     plain = store.all.groupBy("pred").agg(F.count("*").alias("n"), F.countDistinct("sub").alias("n_sub"), F.min("obj").alias("min_obj"), F.max("obj").alias("max_obj"))
     assert rows(getattr(graph_io, key)(store)) == rows(plain)
+
+
+def test_rows_that_stand_apart_are_not_shuffled_by_value(spark):
+    from spogrid.sources.triplify import iri, iri_obj
+
+    store = _store(spark)
+    groups = store.sources()
+    assert [extvp._apart(store, g) for g in groups] == [True, False]  # products are objects of offers
+    left = extvp._value_items(store, [0]).select("v").collect()
+    assert {r.v for r in left} == {f"product/{k}" for k in range(4)}
+    assert rows(extvp.value_profiles(store).groupBy("side").agg(F.sum("n"))) == [("O", 20), ("S", 24)]
+    # an object, or another source's subject, that may be an offer
+    for other in (iri_obj(spark.range(2), iri("x/", "id"), "p:of", iri("offer/", "id")), iri_obj(spark.range(2), iri("offer/", "id"), "p:z", iri("y/", "id"))):
+        shared = TripleStore.from_branches([*groups[0], *groups[1], other])
+        assert not extvp._apart(shared, shared.sources()[0])
+        assert rows(extvp.reduction_stats(shared)) == rows(extvp.reduction_stats(TripleStore.from_table(shared.all)))
+    # null subjects meet nothing; a store of one such source has nothing to shuffle
+    alone = TripleStore.from_branches([iri_obj(spark.createDataFrame([(None, 1), (1, 2), (2, None)], "n long, m long"), iri("a/", "n"), "p:x", iri("b/", "m"))])
+    assert extvp._value_items(alone, [0]) is None
+    assert rows(extvp.value_profiles(alone).select("side", "n")) == [("N", 1), ("S", 1)]
