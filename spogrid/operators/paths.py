@@ -152,6 +152,11 @@ def _repeated(triples, a: str, e: Rep, b: str) -> DataFrame:
     return reachable(triples, start, Rep(part, e.least, e.most)).select(F.col("node").alias(name), *iri_aux(name))
 
 
+def _turned(e):
+    """The same part backwards."""
+    return e.part if isinstance(e, Inv) else Inv(e)
+
+
 # Nodes of a frontier up to which a scan of the edges gets them as a list; larger ones are joined.
 PUSHED = 1000
 
@@ -167,10 +172,33 @@ class _Steps:
         if (pred, back) not in self.edges:
             found = triple_pattern(self.triples, ("?a", pred, "?b"))
             found = found.where(F.col(aux("b", "kind")) == "iri") if aux("b", "kind") in found.columns else found
-            near, far = ("b", "a") if back else ("a", "b")
-            found = found.select(F.col(near).alias("near"), F.col(far).alias("far"))
-            self.edges[pred, back] = materialize(found.repartitionByRange("near").sortWithinPartitions("near"), "path-edges")
-        edges = self.edges[pred, back]
+            self._write((pred, back), found, *(("b", "a") if back else ("a", "b")))
+        return self._next((pred, back), nodes)
+
+    def _write(self, name, found: DataFrame, near: str, far: str) -> None:
+        found = found.select(F.col(near).alias("near"), F.col(far).alias("far"))
+        self.edges[name] = materialize(found.repartitionByRange("near").sortWithinPartitions("near"), "path-edges")
+
+    def through(self, pred: str, then: str, nodes: DataFrame) -> DataFrame:
+        """Backwards by ``pred`` and on by ``then``, as one step: what lies between has one value of each."""
+        if (pred, then) not in self.edges:
+            found = bgp(self.triples, [("?m", pred, "?a"), ("?m", then, "?b")])
+            for v in ("a", "b"):
+                found = found.where(F.col(aux(v, "kind")) == "iri") if aux(v, "kind") in found.columns else found
+            self._write((pred, then), found, "a", "b")
+        return self._next((pred, then), nodes)
+
+    def one_value(self, pred: str) -> bool:
+        """No subject has two values of the predicate, as far as the store tells."""
+        store = as_store(self.triples)
+        branches = store._branches.get(pred, []) if store.virtual else []
+        return len(branches) == 1 and branches[0].functional and store.unique(branches[0])
+
+    def _passes(self, part, then) -> bool:
+        return isinstance(part, Inv) and isinstance(part.part, str) and isinstance(then, str) and self.one_value(part.part) and self.one_value(then)
+
+    def _next(self, name, nodes: DataFrame) -> DataFrame:
+        edges = self.edges[name]
         few = [r[0] for r in nodes.limit(PUSHED + 1).collect()]
         near = edges.where(F.col("near").isin(few)) if len(few) <= PUSHED else edges.join(nodes.withColumnRenamed("node", "near"), "near")
         return near.select(F.col("far").alias("node")).distinct()
@@ -180,8 +208,13 @@ class _Steps:
         if isinstance(e, Inv):
             return self.step(e.part, nodes, not back)
         if isinstance(e, Seq):
-            for part in reversed(e.parts) if back else e.parts:
-                nodes = materialize(self.step(part, nodes, back), "path-nodes")
+            parts = [_turned(part) for part in reversed(e.parts)] if back else list(e.parts)
+            while parts:
+                if len(parts) > 1 and self._passes(parts[0], parts[1]):
+                    found, parts = self.through(parts[0].part, parts[1], nodes), parts[2:]
+                else:
+                    found, parts = self.step(parts[0], nodes), parts[1:]
+                nodes = materialize(found, "path-nodes")
             return nodes
         if isinstance(e, Alt):
             return reduce(DataFrame.unionByName, [self.step(p, nodes, back) for p in e.parts]).distinct()

@@ -125,3 +125,27 @@ def test_delete_where_meets_rows_before_their_triples(spark):
     assert told(out) == told(delete_where(store.all, patterns)) and 0 < len(told(out)) < len(told(store.all))
     plan = out.where(F.col("pred").isin("c:name", "c:size"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join LeftOuter")
+
+
+def test_steps_through_a_node_of_one_value_are_one(spark):
+    from pyspark.sql import functions as F
+
+    from spogrid.operators import paths as P
+    from spogrid.sources.store import TripleStore
+    from spogrid.sources.triplify import branch, iri, iri_obj
+
+    review = spark.createDataFrame([(1, 1, 1), (2, 2, 1), (3, 2, 2), (4, 3, 2), (5, 4, 4), (6, None, 1), (7, 5, None)], "nr long, p long, w long")
+    links = spark.createDataFrame([(1, 1), (1, 2)], "nr long, p long")
+    r = iri("review/", "nr")
+    one = [iri_obj(review, r, "p:for", iri("product/", "p")), iri_obj(review, r, "p:by", iri("person/", "w"))]
+    store = TripleStore.from_branches([*one, iri_obj(links, iri("list/", "nr"), "p:many", iri("product/", "p"), False), branch(review, r, "p:text", F.col("nr").cast("string"))])
+    steps = P._Steps(store)
+    assert steps.one_value("p:for") and not steps.one_value("p:many") and not steps.one_value("p:none")
+    both = P.seq(P.inv("p:for"), "p:by", P.inv("p:by"), "p:for")
+    assert sorted(x.node for x in steps.search(P.plus(both), steps.node("product/1")).collect()) == [f"product/{k}" for k in (1, 2, 3)]
+    assert set(steps.edges) == {("p:for", "p:by"), ("p:by", "p:for")}  # no edge names a review
+    plain = P._Steps(store.all)
+    assert sorted(x.node for x in plain.search(P.plus(both), plain.node("product/1")).collect()) == [f"product/{k}" for k in (1, 2, 3)]
+    assert P.between(store, "product/1", P.plus(both), "product/3").collect() == P.between(store.all, "product/1", P.plus(both), "product/3").collect() == [("product/1", "product/3", 2)]
+    literal = P._Steps(store)
+    assert literal.search(P.Rep(P.seq(P.inv("p:for"), "p:text"), 1, 1), literal.node("product/1")).count() == 0  # a text is no node
