@@ -8,15 +8,18 @@ turns one predicate per column (``groupBy(sub).pivot(pred)``), multi-valued ones
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spogrid.functions.terms import DATETIME_FMT, TRIPLE_COLUMNS
-from spogrid.sources.store import as_frame, select_preds
+from spogrid.sources.store import TripleStore, as_frame, compatible, explode_branches, select_preds
 
 DEFAULT_GRAPH = "graph/default"
 PUBLISHER = "site/publisher"
+# What the IRIs of offers and reviews begin with.
+LINE_PREFIXES = ("offer/", "review/")
 
 
 def with_graph(triples, graph: Column) -> DataFrame:
@@ -27,16 +30,36 @@ def with_graph(triples, graph: Column) -> DataFrame:
 
 def order_graphs(tables, triples) -> DataFrame:
     """Shop quads: offers and reviews live in the graph of their order's priority."""
-    t = as_frame(triples)
-    key = F.split_part(F.split_part(F.col("sub"), F.lit("/"), F.lit(2)), F.lit("-"), F.lit(1)).try_cast("bigint")
-    is_line = F.col("sub").startswith("offer/") | F.col("sub").startswith("review/")
+    if not (isinstance(triples, TripleStore) and triples.virtual):
+        return _line_graphs(tables, as_frame(triples), F.col("sub"))
+    frames = []
+    for group in triples.sources():
+        if len({str(b.sub) for b in group}) > 1 or not triples.is_set(group):
+            frames.append(_line_graphs(tables, triples.frame_of(group), F.col("sub")))
+            continue
+        # a row meets its order once, not each of its triples
+        sub = group[0].sub_key
+        if sub is not None and not any(compatible(sub.prefix, p) for p in LINE_PREFIXES):
+            frames.append(with_graph(triples.frame_of(group).where("sub IS NOT NULL"), F.lit(None).cast("string")))
+            continue
+        placed = _line_rows(tables, group[0].source, group[0].sub)
+        frames += [with_graph(explode_branches(rows, group, ["__graph"]), F.col("__graph")) for rows in placed]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _line_rows(tables, rows: DataFrame, sub: Column) -> list[DataFrame]:
+    """Rows with ``__graph``, the graph of the subject's order (null: none), those of line items and the others."""
+    key = F.split_part(F.split_part(sub, F.lit("/"), F.lit(2)), F.lit("-"), F.lit(1)).try_cast("bigint")
+    is_line = reduce(lambda x, y: x | y, [sub.startswith(p) for p in LINE_PREFIXES])
     # only line-item subjects join the orders; the rest never enter the shuffle
     # (a NULL join key would pile up in one partition)
-    lines = t.where(is_line).withColumn("__ok", key)
-    o = tables.orders.select(F.col("o_orderkey").alias("__ok"), F.col("o_orderpriority").alias("__prio"))
-    j = lines.join(o, "__ok", "left")
-    graphs = with_graph(j, F.concat(F.lit("graph/"), F.col("__prio")))
-    return graphs.unionByName(with_graph(t.where(~is_line), F.lit(None).cast("string")))
+    lines = rows.where(is_line).withColumn("__ok", key)
+    o = tables.orders.select(F.col("o_orderkey").alias("__ok"), F.concat(F.lit("graph/"), F.col("o_orderpriority")).alias("__graph"))
+    return [lines.join(o, "__ok", "left").drop("__ok"), rows.where(~is_line).withColumn("__graph", F.lit(None).cast("string"))]
+
+
+def _line_graphs(tables, t: DataFrame, sub: Column) -> DataFrame:
+    return reduce(DataFrame.unionByName, [with_graph(rows, F.col("__graph")) for rows in _line_rows(tables, t, sub)])
 
 
 def provenance(quads: DataFrame) -> DataFrame:
