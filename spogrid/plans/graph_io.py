@@ -54,20 +54,31 @@ def tsv_read(t) -> DataFrame:
     return _read_summary(textio.read_tsv(t.spark, path))
 
 
-def literal_parse(tr) -> DataFrame:
-    """Object terms to text and back: lexical form, kind, datatype and language."""
-    t = as_frame(tr).withColumn("__text", format_term(F.col("obj"), F.col("kind"), F.col("dt"), F.col("lang")))
+# Bytes above which an object's text is written and read back once for all triples that have it.
+LONG = 256
+
+
+def _read_back(t: DataFrame, value: str, name: str) -> DataFrame:
+    """``t`` with ``name``: whether the object term of ``value``, written and read back, is the same."""
+    t = t.withColumn("__text", format_term(F.col(value), F.col("kind"), F.col("dt"), F.col("lang")))
     t = t.withColumn("__p", parse_term(F.col("__text")))
     p = F.col("__p")
     # IRIs are written expanded; compare them after shortening back
-    value = F.when(p["kind"] == "iri", shorten(p["value"])).otherwise(p["value"])
-    same = (
-        (value == F.col("obj"))
-        & (p["kind"] == F.col("kind"))
-        & p["lang"].eqNullSafe(F.col("lang"))
-        & p["dt"].eqNullSafe(F.col("dt"))
-    )
-    return t.groupBy("kind", "dt", "lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(same, 1)).alias("same"))
+    read = F.when(p["kind"] == "iri", shorten(p["value"])).otherwise(p["value"])
+    same = (read == F.col(value)) & (p["kind"] == F.col("kind")) & p["lang"].eqNullSafe(F.col("lang")) & p["dt"].eqNullSafe(F.col("dt"))
+    return t.withColumn(name, same)
+
+
+def literal_parse(tr) -> DataFrame:
+    """Object terms to text and back: lexical form, kind, datatype and language.
+
+    Long texts are grouped before, so that one that many triples have is written and read back once."""
+    term = ["kind", "dt", "lang"]
+    is_long = F.coalesce(F.octet_length("obj") > LONG, F.lit(False))
+    t = as_frame(tr).select(*term, F.when(~is_long, F.col("obj")).alias("short"), F.when(is_long, F.col("obj")).alias("long"))
+    t = _read_back(t, "short", "same").groupBy(*term, "long").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("same"), 1)).alias("n_short"))
+    t = _read_back(t, "long", "same")
+    return t.groupBy(*term).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(F.col("n_short"))).alias("same"))
 
 
 def typed_objects(tr) -> DataFrame:

@@ -1,5 +1,7 @@
 """Steps that must not move whole texts or all triples: stored layout, profiles, summaries, updates, lookups."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,33 @@ def test_rows_that_stand_apart_are_not_shuffled_by_value(spark):
     alone = TripleStore.from_branches([iri_obj(spark.createDataFrame([(None, 1), (1, 2), (2, None)], "n long, m long"), iri("a/", "n"), "p:x", iri("b/", "m"))])
     assert extvp._value_items(alone, [0]) is None
     assert rows(extvp.value_profiles(alone).select("side", "n")) == [("N", 1), ("S", 1)]
+
+
+def test_rows_meet_their_order_before_their_triples_are_made(spark):
+    from types import SimpleNamespace
+
+    from spogrid.sources import quads as Q
+    from spogrid.sources.triplify import branch, iri
+
+    tables = SimpleNamespace(orders=spark.createDataFrame([(1, "1-URGENT"), (2, None)], "o_orderkey long, o_orderpriority string"))
+    offer = spark.createDataFrame([("1-1", "a", "b"), ("2-1", "a", None), ("3-1", None, "b"), (None, "a", "b")], "nr string, x string, y string")
+    other = spark.createDataFrame([("1-1", "a")], "nr string, x string")
+    parts = [branch(offer, iri("offer/", "nr"), p, F.col(c)) for p, c in (("p:x", "x"), ("p:y", "y"))] + [branch(other, iri("thing/", "nr"), "p:x", F.col("x"))]
+    quads = Q.order_graphs(tables, TripleStore.from_branches(parts))
+    plain = Q.order_graphs(tables, TripleStore.from_branches(parts).all)
+    assert rows(quads.select("sub", "pred", "obj", "graph")) == rows(plain.select("sub", "pred", "obj", "graph"))
+    assert rows(quads.groupBy("graph").count()) == [("graph/1-URGENT", 2), ("graph/default", 3)]
+    lines = quads._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins, made = ([k for k, line in enumerate(lines) if word in line] for word in ("Join", "Generate"))
+    assert len(joins) == 1 and made[0] < joins[0]  # the triples are made above the join
+
+
+def test_long_texts_are_read_back_once(spark):
+    from spogrid.plans import graph_io
+
+    long = 'a "quoted"\ttext\\ of\n' * 40
+    terms = [(long, "xsd:string", None)] * 5 + [(long, None, "en")] * 2 + [("short", "xsd:string", None), ("7", "xsd:integer", None)]
+    t = spark.createDataFrame([(f"s/{k}", "p:t", o, "lit", dt, lang, None, None) for k, (o, dt, lang) in enumerate(terms)] + [_row("s/0", "p:l", "o/" + "x" * 300)], TRIPLE_SCHEMA)
+    got = graph_io.literal_parse(t)
+    assert Counter(map(tuple, got.collect())) == Counter([("lit", "xsd:string", None, 6, 6), ("lit", None, "en", 2, 2), ("lit", "xsd:integer", None, 1, 1), ("iri", None, None, 1, 1)])
+    assert "text" not in got.columns and got._jdf.queryExecution().analyzed().toString().count("Aggregate") == 2
