@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spogrid.functions.terms import DATETIME_FMT, TRIPLE_COLUMNS
-from spogrid.sources.store import TripleStore, as_frame, compatible, explode_branches, select_preds
+from spogrid.sources.store import TripleStore, as_frame, compatible, explode_branches, select_preds, with_mask
 
 DEFAULT_GRAPH = "graph/default"
 PUBLISHER = "site/publisher"
@@ -42,7 +42,8 @@ def order_graphs(tables, triples) -> DataFrame:
         if sub is not None and not any(compatible(sub.prefix, p) for p in LINE_PREFIXES):
             frames.append(with_graph(triples.frame_of(group).where("sub IS NOT NULL"), F.lit(None).cast("string")))
             continue
-        placed = _line_rows(tables, group[0].source, group[0].sub)
+        # the mask is made before the join, so that a row moves with no more than is asked for
+        placed = _line_rows(tables, with_mask(group[0].source, group), group[0].sub)
         frames += [with_graph(explode_branches(rows, group, ["__graph"]), F.col("__graph")) for rows in placed]
     return reduce(DataFrame.unionByName, frames)
 

@@ -189,3 +189,27 @@ def test_long_texts_are_read_back_once(spark):
     got = graph_io.literal_parse(t)
     assert Counter(map(tuple, got.collect())) == Counter([("lit", "xsd:string", None, 6, 6), ("lit", None, "en", 2, 2), ("lit", "xsd:integer", None, 1, 1), ("iri", None, None, 1, 1)])
     assert "text" not in got.columns and got._jdf.queryExecution().analyzed().toString().count("Aggregate") == 2
+
+
+def test_columns_that_nobody_asks_for_do_not_move(spark):
+    from types import SimpleNamespace
+
+    from spogrid.sources import quads as Q
+    from spogrid.sources.store import explode_branches
+    from spogrid.sources.triplify import branch, iri, iri_obj
+
+    tables = SimpleNamespace(orders=spark.createDataFrame([(k, "1-URGENT") for k in range(3)], "o_orderkey long, o_orderpriority string"))
+    review = spark.createDataFrame([(f"{k % 3}-{k}", f"text {k}" if k % 2 else None, k) for k in range(9)] + [(None, "x", 1)], "nr string, text string, product long")
+    r = iri("review/", "nr")
+    store = TripleStore.from_branches([branch(review, r, "p:text", F.col("text"), lang=F.lit("en")), iri_obj(review, r, "p:of", iri("product/", "product"))])
+    quads = Q.order_graphs(tables, store)
+    counted = quads.groupBy("graph", "pred").count()
+    join = next(x for x in counted._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    moved = [x for x in plan[plan.index(join) :].splitlines() if "Project" in x and "__mask" in x]
+    assert moved and not any("text#" in x.split("[", 1)[1].rsplit("]", 1)[0].split(" AS ")[-1] for x in moved)
+    assert rows(counted) == [("graph/1-URGENT", "p:of", 9), ("graph/1-URGENT", "p:text", 4)]
+    # as many branches as no mask tells apart give the same triples
+    many = [iri_obj(review, r, f"p:{k}", iri("product/", "product")) for k in range(70)]
+    assert explode_branches(review, many).count() == 700
+    assert Counter(tuple(x) for x in store.all.collect()) == Counter(tuple(x) for b in store.sources()[0] for x in store._frame(b).collect())
