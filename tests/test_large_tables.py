@@ -213,3 +213,25 @@ def test_columns_that_nobody_asks_for_do_not_move(spark):
     many = [iri_obj(review, r, f"p:{k}", iri("product/", "product")) for k in range(70)]
     assert explode_branches(review, many).count() == 700
     assert Counter(tuple(x) for x in store.all.collect()) == Counter(tuple(x) for b in store.sources()[0] for x in store._frame(b).collect())
+
+
+def test_subjects_are_stored_once_for_a_row(spark, tmp_path):
+    from spogrid.sources.triplify import branch, iri, iri_obj, typed
+
+    thing = spark.createDataFrame([(k, f"n {k}" if k % 3 else None, k % 4) for k in range(30)] + [(None, "lost", 1)], "nr long, name string, kind long")
+    again = spark.createDataFrame([(k % 5, "x") for k in range(20)], "nr long, note string")
+    s, a = iri("thing/", "nr"), iri("again/", "nr")
+    parts = [typed(thing, s, "c:Thing"), iri_obj(thing, s, "rdf:type", iri("kind/", "kind")), branch(thing, s, "p:name", F.col("name"), lang=F.lit("en"))]
+    parts += [branch(thing, iri("other/", "kind"), "p:name", F.col("name")), typed(again, a, "c:Again"), branch(again, a, "p:name", F.col("note"), num=F.lit(2))]
+    for store in (TripleStore.from_branches(parts), TripleStore.from_branches(parts[:3] + parts[4:])):
+        path = str(tmp_path / f"vp{len(store.sources()[0])}")
+        write_triples(store, path)
+        stored = load_triples(spark, path)
+        told = lambda df: Counter(map(tuple, df.select(*TRIPLE_SCHEMA.names).collect()))
+        assert told(stored.all) == told(store.all) and sorted(stored.predicates()) == ["p:name", "rdf:type"]
+        assert told(stored.vp("p:name")) == told(store.vp("p:name")) == told(stored.only(["p:name", "p:none"])) and stored.vp("p:none").count() == 0
+        held = spark.read.parquet(f"{path}/triples").where("pred LIKE 'rows%'")
+    # a row of three predicates has its subject once; counts read neither subjects nor objects
+    assert held.count() == 31 and stored.only(["rdf:type", "p:name"]).count() == 62 + 21 + 10
+    scan = [x for x in _plan(stored.all.groupBy("pred").count()).splitlines() if "FileScan" in x]
+    assert scan and not any("sub#" in x or "obj_" in x for x in scan)
