@@ -28,3 +28,13 @@ def test_no_triples(spark):
     assert sketches.merge(none, none).count() == 0 and sketches.estimates(none).count() == 0
     one = sketches.sketch(spark.createDataFrame([_row("a", "p:x", "b")], TRIPLE_SCHEMA))
     assert [r["n_sub"] for r in sketches.estimates(sketches.merge(none, one).union(sketches.merge(one, none))).where(F.col("n") == 1).collect()] == [1, 1]
+
+
+def test_exact_counts_move_a_value_once(spark):
+    from spogrid.plans import storage
+    from spogrid.sources.tables import Tables
+
+    got = storage.sketch_stats(Tables.get(spark, "/root/testdata/sf0.001"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "bit_or" in plan  # not once for each predicate and count
+    assert {(r.subjects_near, r.objects_near, r.median_near) for r in got.collect()} == {(True, True, True)}
