@@ -100,3 +100,18 @@ def test_kept_triples_move_once_and_only_where_they_can_meet(spark, tmp_path, mo
     assert sorted(len(r.hits) for r in extvp._kept_hits(graph, stats, None).where("at = 'sub'").collect()) == [2] * 4
     monkeypatch.setattr(extvp, "SPACES", 0)  # too many beginnings to tell: all triples are joined
     assert rows(extvp.kept_rows(graph, stats).select("rel", "p1", "p2", "sub", "obj")) == rows(plain.select("rel", "p1", "p2", "sub", "obj"))
+
+
+def test_kept_tables_move_as_bits(spark, graph):
+    bits, asked = extvp._kept_bits(graph, extvp.statistics(graph, 0.6), None)
+    assert dict(bits.dtypes)["__both"] == "array<bigint>" and "hits" not in bits.columns
+    assert len(asked) == len(set(asked)) and {s for s, _ in asked} <= {"S", "O"}
+    none = extvp.statistics(graph, 0.0)
+    assert extvp.kept_rows(graph, none).count() == 0 and extvp._kept_hits(graph, none, None).count() == 0
+    # more predicates than a mask of 64 bits tells apart
+    data = [(f"s/{k}", f"p:{k % 90}", f"o/{k}", "iri", None, None, None, None) for k in range(180)] + [(f"s/{k}", "p:all", "o/x", "iri", None, None, None, None) for k in range(180)]
+    wide = spark.createDataFrame(data, TRIPLE_SCHEMA)
+    stats = extvp.statistics(wide, 0.25)
+    plain = extvp.reduction_rows(wide).join(stats.where("stored").select("rel", "p1", "p2"), ["rel", "p1", "p2"], "left_semi")
+    got = extvp.kept_rows(wide, stats)
+    assert rows(got.select("rel", "p1", "p2", "sub", "obj")) == rows(plain.select("rel", "p1", "p2", "sub", "obj")) and got.count() >= 180
