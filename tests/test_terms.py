@@ -73,3 +73,16 @@ def test_cast_term(spark):
     df = spark.createDataFrame([("12.5",), ("x",)], "v string")
     got = [r[0] for r in df.select(T.cast_term(F.col("v"), "xsd:double")).collect()]
     assert got == [12.5, None]
+
+
+def test_a_line_is_taken_apart_once(spark):
+    text = 'a "quoted"\\ text\twith \\u0041\n' * 30
+    data = [(f"s/{k}", "p:t", t, "lit", dt, lang, None, None) for k, (t, dt, lang) in enumerate([(text, None, "en"), (text, "xsd:string", None), ("\u0001 \\u00e9", "xsd:string", None), ("", "xsd:string", None), ("7", "xsd:integer", None)])]
+    lines = textio.format_ntriples(spark.createDataFrame(data + [("s/9", "p:o", "o/1", "iri", None, None, None, None)], T.TRIPLE_SCHEMA))
+    odd = spark.createDataFrame([(x,) for x in ("no triple", '<a:s> <a:p> "open .', "<a:s><a:p>_:b.# note", '<a:s> <a:p> "x"@en-GB . # note', '<a:s> <a:p> "caf\\u00e9\\\\n\\U0001F600" .', "", "  # note")], "line string")
+    read = textio.parse_ntriples(lines.unionByName(odd))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"^\s*(<[^<>\s]*>|_:[^\s<>]+)\s*(<[^<>\s]*>)\s*, 0") == 1
+    got = {(r["sub"], r["obj"], r["kind"], r["dt"], r["lang"]) for r in read.collect()}
+    assert {(d[0], *d[2:6]) for d in data} | {("s/9", "o/1", "iri", None, None), ("a:s", "_:b", "bnode", None, None), ("a:s", "x", "lit", None, "en-gb"), ("a:s", "caf\u00e9\\n\U0001f600", "lit", "xsd:string", None)} == got
+    assert sorted(r[0] for r in textio.malformed(odd).collect()) == ['<a:s> <a:p> "open .', "no triple"]
